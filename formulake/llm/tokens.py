@@ -1,10 +1,13 @@
 """Token counts: exact lengths under a public tokenizer, without keeping any ids.
 
-A text is cut at safe boundaries: between a character that is no white space and
-a following space, tab or line end. No pre-token of the tokenizers used here
-reaches across such a place, so the parts encode as the whole does. Parts repeat
-(most are a word with its space), so a task encodes each distinct part once, in
-batches, and keeps a bounded table of the results.
+A text is cut at safe boundaries, where no pre-token of the tokenizer reaches
+across, so the parts encode as the whole does. For byte-level BPE over texts of
+Latin letters, digits and ASCII marks the parts are the pre-tokens themselves;
+other texts are cut between a character that is no white space and a following
+space, tab or line end; texts with other white space or with special strings,
+and other kinds of tokenizers, take the whole text. Parts repeat, so a task
+encodes each distinct part once, keeps a bounded table of the results, and
+encodes what is left in batches.
 """
 
 from __future__ import annotations
@@ -17,17 +20,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Parts that a task remembers; the table is emptied when full.
-CACHE_PARTS = 300_000
+CACHE_PARTS = 500_000
 #: Parts longer than this are encoded but not remembered.
 CACHE_PART_CHARS = 64
 #: Bytes of text encoded together.
 BATCH_BYTES = 4 << 20
-#: Missing parts encoded in one library call.
-BATCH_PARTS = 8192
 
 _PART = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-# White space other than space, tab and line ends (and controls that only some tools call white space): texts that hold any are encoded whole.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+# White space other than space, tab and line ends, and controls that only some tools call white space.
+_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+# Anything but ASCII and Latin letters: classes of such characters differ between tools.
+_UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u017f]")
+# The pre-tokens of byte-level BPE over texts without unusual characters.
+_PRE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+| ?[0-9]+| ?[^\sA-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u017f]+|\s+(?!\S)|\s+")
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -37,56 +42,68 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level BPE writes for bytes: printable ones for themselves, the others from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Known(dict):
+    """Results by part; a part that is missing is encoded and, if it is short, remembered."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, part: str):
+        value = self.make(part)
+        if len(part) <= CACHE_PART_CHARS:
+            if len(self) >= CACHE_PARTS:
+                self.clear()
+            self[part] = value
+        return value
+
+
 class PartEncoder:
     """Encodes texts part by part. ``keep`` turns a part's ids into what is remembered and returned for it."""
 
     def __init__(self, path: str, keep) -> None:
-        self.path, self.keep, self.known = path, keep, {}
+        self.keep = keep
+        self.by_part, self.special = False, ()
         if path.endswith(".model"):
             import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.by_part = False  # pieces may span spaces
-            self._encode = lambda texts: model.encode(texts, num_threads=1)
-        else:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            model = Tokenizer.from_file(path)
-            model.no_truncation()
-            model.no_padding()
-            pre = model.pre_tokenizer
-            self.by_part = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and model.normalizer is None
-            self._encode = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, parts: Iterable[str]) -> dict:
-        """The parts that are not remembered, encoded; short ones are remembered from now on."""
-        missing, new = [p for p in parts if p not in self.known], {}
-        for i in range(0, len(missing), BATCH_PARTS):
-            some = missing[i : i + BATCH_PARTS]
-            new.update(zip(some, map(self.keep, self._encode(some)), strict=True))
-        return new
-
-    def parts(self, text: str) -> list[str]:
-        if not text:
-            return []
-        return _PART.findall(text) if self.by_part and not _ODD_SPACE.search(text) else [text]
-
-    def encode(self, texts: list[str]) -> Iterator[list]:
+            pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+            self._batch = lambda texts: pieces.encode(texts, num_threads=1)
+            return
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        pre, model, letters = library.pre_tokenizer, library.model, byte_letters()
+        self.special = tuple(x.content for x in library.get_added_tokens_decoder().values())
+        self.by_part = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex and library.normalizer is None
+        self._batch = lambda texts: [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+        self._pre = _Known(lambda p: keep([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]))
+        self._parts = _Known(lambda p: keep(self._batch([p])[0]))
+
+    def encode(self, texts: list[str]) -> list[list]:
         """For each text the kept results of its parts, in order."""
-        lists = [self.parts(t) for t in texts]
-        distinct = set()
-        for x in lists:
-            distinct.update(x)
-        new = self._learn(distinct)
-        batch = {p: new[p] if p in new else self.known[p] for p in distinct}
-        if len(self.known) + len(new) > CACHE_PARTS:
-            self.known = {}
-        if len(new) <= CACHE_PARTS:
-            self.known.update((p, v) for p, v in new.items() if len(p) <= CACHE_PART_CHARS)
-        get = batch.__getitem__
-        for x in lists:
-            yield list(map(get, x))
+        out: list = [None] * len(texts)
+        whole = []
+        for i, text in enumerate(texts):
+            if not self.by_part or any(x in text for x in self.special) or _ODD_SPACE.search(text):
+                whole.append(i)
+            elif _UNUSUAL.search(text):
+                out[i] = list(map(self._parts.__getitem__, _PART.findall(text)))
+            else:
+                out[i] = list(map(self._pre.__getitem__, _PRE.findall(text)))
+        for i, ids in zip(whole, self._batch([texts[i] for i in whole]) if whole else (), strict=True):
+            out[i] = [self.keep(ids)]
+        return out
 
 
 def byte_batches(frames: Iterable[pd.DataFrame], column: str, limit: int = BATCH_BYTES) -> Iterator[pd.DataFrame]:
