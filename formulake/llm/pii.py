@@ -54,7 +54,7 @@ def _luhn(m: Column) -> Column:
 
 
 def _small_parts(m: Column) -> Column:
-    return F.forall(F.split(m, r"\."), lambda p: let(F.ltrim(F.lit("0"), p), lambda x: (F.length(x) <= 3) & (F.when(F.length(x) <= 3, F.when(x == "", F.lit(0)).otherwise(x.cast("int"))).otherwise(999) <= 255)))
+    return F.forall(F.split(m, r"\."), lambda p: let(F.ltrim(p, F.lit("0")), lambda x: (F.length(x) <= 3) & (F.when(F.length(x) <= 3, F.when(x == "", F.lit(0)).otherwise(x.cast("int"))).otherwise(999) <= 255)))
 
 
 _HOLDS = {"email": lambda m: F.lit(True), "ip": _small_parts, "card": _luhn, "phone": lambda m: F.length(_digits(m)).between(9, 15)}
