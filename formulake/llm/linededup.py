@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,29 +20,21 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WINDOW = 3
-_LINE = re.compile(r"\s*+(?:(?:\S++\s++){7,14}?\S*[.!?](?=\s|$)\s*+|(?:\S++(?:\s++|$)){1,16})|\s+")
+_LINE = re.compile(r"(?:\s*+\S++){8,15}?(?<=[.!?])(?!\S)\s*+|(?:\s*+\S++){1,16}+\s*+|\s+")
 
 
 def wrapped_lines(text: str) -> list[str]:
     """The text's lines, long ones wrapped; joined they give the text."""
-    return [part for line in text.splitlines(keepends=True) for part in (_LINE.findall(line) or [line])] if text else []
+    return [part for line in text.splitlines(keepends=True) for part in _LINE.findall(line)]
 
 
-def window_hashes(lines: list[str], window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
-    """(position, high, low) of each run of ``window`` lines that has words, as signed halves of 128 bits."""
+def window_digests(lines: list[str], window: int = WINDOW) -> list[bytes]:
+    """128-bit digests of the runs of ``window`` lines that have words."""
     import xxhash
 
-    one, three = xxhash.xxh3_64_digest, xxhash.xxh3_128_digest
-    own = [(i, one(s.encode("utf-8", "surrogatepass"))) for i, x in enumerate(lines) if (s := x.strip())]
-    for k in range(len(own) - window + 1):
-        h = three(b"".join(d for _, d in own[k : k + window]))
-        yield k, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)
-
-
-def text_key(text: str) -> int:
-    import xxhash
-
-    return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
+    one, all_of = xxhash.xxh3_64_digest, xxhash.xxh3_128_digest
+    own = [one(s.encode("utf-8", "surrogatepass")) for x in lines if (s := x.strip())]
+    return [all_of(b"".join(run)) for run in zip(*(own[i:] for i in range(window)), strict=False)]
 
 
 def without(lines: list[str], starts: list[int], window: int = WINDOW) -> str:
@@ -69,16 +62,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for key, text in zip(f[id_col].tolist(), f[text_col], strict=True):
-                if text:
-                    t = text_key(text)
-                    out += [(high, low, key, t, k) for k, high, low in window_hashes(wrapped_lines(text))]
-            got = pd.DataFrame(out, columns=["high", "low", "id", "t", "k"])
-            got["id"] = got["id"].astype(f[id_col].dtype) if len(got) else got["id"]
-            yield got
-
-    found = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()).mapInPandas(windows, f"high long, low long, id {kind}, t long, k int")
+            own = [window_digests(wrapped_lines(text)) for text in f["text"]]
+            n = np.array([len(x) for x in own], np.int64)
+            halves = np.frombuffer(b"".join(d for x in own for d in x), "<i8").reshape(-1, 2)
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pd.DataFrame({"high": halves[:, 0], "low": halves[:, 1], "id": f["id"].repeat(n).to_numpy(), "t": f["t"].repeat(n).to_numpy(), "k": k.astype(np.int32)})
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")).filter("text IS NOT NULL")
+    found = texts.mapInPandas(windows, f"high long, low long, id {kind}, t long, k int")
     place = F.struct("id", "t", "k")
     # Counts and first places combine before the shuffle, so a window that many documents share is one row a task.
     repeated = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -90,20 +81,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _rebuilt(docs: DataFrame, covered: DataFrame, names: list[str], id_col: str, text_col: str, length_col: str | None) -> DataFrame:
-    @F.pandas_udf("long")
-    def key_of(text: pd.Series) -> pd.Series:
-        return pd.Series([0 if t is None else text_key(t) for t in text], dtype="int64")
-
     @F.pandas_udf("string")
     def shortened(text: pd.Series, starts: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else without(wrapped_lines(t), [int(k) for k in s]) for t, s in zip(text, starts, strict=True)], dtype=object)
 
     # The row travels as one struct, so no name of its columns can clash.
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")).withColumn("key", key_of(F.col("row")[text_col]))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")).withColumn("key", F.xxhash64(F.col("row")[text_col]))
     both = rows.join(covered, rows["row"][id_col].eqNullSafe(covered["id"]) & (rows["key"] == covered["t"]), "left")
     text = F.col("row")[text_col]
-    # Only changed rows go through Python.
-    both = both.withColumn("new", F.when(F.col("starts").isNull(), text).otherwise(shortened(text, "starts")))
+    # Texts that change go through Python; the others are sent as nulls.
+    changed = F.when(F.col("starts").isNotNull(), text)
+    both = both.withColumn("new", F.when(F.col("starts").isNull(), text).otherwise(shortened(changed, "starts")))
     own = {text_col: F.col("new")}
     if length_col and length_col in names:
         own[length_col] = F.length("new").cast(docs.schema[length_col].dataType)
