@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import text_queries  # noqa: F401
+from . import expr_queries, relational_queries, text_queries  # noqa: F401

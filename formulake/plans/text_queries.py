@@ -221,3 +221,13 @@ def identifiers(spark, d):
 @query("latex_symbols", cte(FO) + "SELECT id, array_to_string(list_sort(list_distinct(list_filter(" + " || ".join(f"regexp_extract_all(formula, {text(p)}, {g})" for p, g in [(r"\\([a-zA-Z]+)", 1), (r"\\([a-zA-Z]+)\{([^}]+)\}", 1), (r"\\([a-zA-Z]+)\{([^}]+)\}", 2), (r"([a-zA-Z])_\{([^}]+)\}", 1), (r"([a-zA-Z])_\{([^}]+)\}", 2), (r"([a-zA-Z])\^\{([^}]+)\}", 1), (r"([a-zA-Z])\^\{([^}]+)\}", 2)]) + ", lambda s: s <> ''))), '|') AS symbols FROM formulas")
 def latex_symbols(spark, d):
     return corpus.formulas(spark, d).select("id", F.array_join(L.latex_symbols(F.col("formula")), "|").alias("symbols"))
+
+
+@query("flagship", cte(D, FOUND, GOOD) + f"""SELECT shape, kind, count(*) AS formulas, count(DISTINCT doc_id) AS docs, round(avg(confidence), 6) AS mean_confidence, min(cleaned) AS first_cleaned, sum(commands)::BIGINT AS commands
+ FROM (SELECT doc_id, doc_id % 20 AS shape, kind, confidence, {clean_sql("expression")} AS cleaned, {n_of("expression", L.COMMAND)} AS commands FROM good WHERE r = 1) GROUP BY shape, kind""")
+def flagship(spark, d):
+    e = extract.extract_formulas(corpus.documents(spark, d))
+    e = e.select("doc_id", (F.col("doc_id") % 20).alias("shape"), "kind", "confidence", L.clean(F.col("expression")).alias("cleaned"), L.count(F.col("expression"), L.COMMAND).alias("commands"))
+    return e.groupBy("shape", "kind").agg(
+        F.count(F.lit(1)).alias("formulas"), F.count_distinct("doc_id").alias("docs"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.min("cleaned").alias("first_cleaned"), F.sum("commands").alias("commands")
+    )
