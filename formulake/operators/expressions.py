@@ -293,7 +293,7 @@ def prove(text: str, rules: list, seed: int = 11) -> list[tuple[str, str, float]
     steps = path(a, b, rules, depth=4, budget=BUDGET / 2)
     out.append(("pattern", "proved" if steps is not None else "unknown", 0.95 if steps is not None else 0.2))
     rng = np.random.default_rng(seed)
-    values = {s: rng.uniform(0.1, 3.0, 20) for s in own}
+    values = {s: rng.uniform(0.1, 3.0, 20) for s in sorted({*own, *E.symbols(a)})}
     v = np.broadcast_to(np.asarray(E.evaluate(difference, values), np.float64), (20,))
     size = np.broadcast_to(np.abs(np.asarray(E.evaluate(a, values), np.float64)), (20,))
     good = np.abs(v) <= 1e-10 * np.maximum(1.0, size)
