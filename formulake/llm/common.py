@@ -39,3 +39,24 @@ def ascii_lower(c: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often ``body`` names it, also inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_WHOLE = {"tinyint", "smallint", "int", "bigint"}
+
+
+def text_keys(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with whole numbers among ``names`` as strings: pandas would turn a column of numbers with nulls to floats."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.col(f"`{c}`").cast("string") for c in names if kinds[c] in _WHOLE})
+
+
+def keyed_schema(df: DataFrame, *names: str) -> str:
+    """Columns of ``text_keys(df, *names)`` for a schema string."""
+    kinds = dict(df.dtypes)
+    return ", ".join(f"`{c}` {'string' if kinds[c] in _WHOLE else kinds[c]}" for c in names)
+
+
+def number_keys(made: DataFrame, df: DataFrame, *names: str) -> DataFrame:
+    """``made`` with the types that ``names`` have in ``df``."""
+    kinds = dict(df.dtypes)
+    return made.withColumns({c: F.col(f"`{c}`").cast(kinds[c]) for c in names if kinds[c] in _WHOLE})

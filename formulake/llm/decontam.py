@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, keyed_schema, number_keys, text_keys
 
 #: UTF-8 bytes of benchmark text in a block, which each task holds.
 BLOCK_BYTES = 16 << 20
@@ -189,7 +189,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_c
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("matches", "n_words")]
     names = list(dict.fromkeys([*keep, text_col]))
-    rows = docs.select(*names, F.expr(f"CAST(array() AS {_MATCH})").alias("matches"), F.lit(0).cast("long").alias("n_words"))
+    given = docs.select(*(f"`{c}`" for c in names))
+    rows = text_keys(given, *names).select("*", F.expr(f"CAST(array() AS {_MATCH})").alias("matches"), F.lit(0).cast("long").alias("n_words"))
     # Blocks by a running size over the stated query set.
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("words"))
     size = items.agg(F.sum(F.coalesce(F.octet_length("words"), F.lit(0))).alias("n")).first()["n"] or 0
@@ -199,7 +200,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_c
         own = (dealt if blocks == 1 else dealt.filter(F.col("block") == b)).collect()
         test = index_windows([(r["item"], r["words"]) for r in own], window)
         rows = _pass(rows, test, window, text_col, keep if b == blocks - 1 else names)
-    return rows.select(*keep, "n_words", "matches")
+    return number_keys(rows, given, *keep).select(*(f"`{c}`" for c in keep), "n_words", "matches")
 
 
 def summarize(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -215,8 +216,9 @@ def summarize(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 "contaminated": [h > 0 and 20 * h >= n for h, n in zip(hit, f["n_words"], strict=True)],
             })
 
-    kind = found.schema[id_col].dataType.simpleString()
-    return found.select(id_col, "n_words", "matches").mapInPandas(run, f"{id_col} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    rows = found.select(id_col, "n_words", "matches")
+    made = text_keys(rows, id_col).mapInPandas(run, f"{keyed_schema(rows, id_col)}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return number_keys(made, rows, id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:

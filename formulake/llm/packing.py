@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, keyed_schema, number_keys, text_keys
 from .tokens import PartEncoder, byte_batches
 
 
@@ -49,13 +49,12 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_c
                     own = ids[4 * start : 4 * (start + length)]
                     out.append((key, k, start, length, zlib.crc32(own), part, seen[length], *([np.frombuffer(own, "<u4").tolist()] if with_ids else ())))
                     seen[length] += 1
-            got = pd.DataFrame(out, columns=names)
-            got[id_col] = pd.array(got[id_col], dtype=f[id_col].dtype) if len(got) else got[id_col]
-            yield got
+            yield pd.DataFrame(out, columns=names)
 
     names = [id_col, "piece", "start", "length", "ids_crc32", "part", "rank", *(["ids"] if with_ids else [])]
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<long>" * with_ids)
+    rows = docs.select(id_col, text_col)
+    made = text_keys(rows, id_col).mapInPandas(run, f"{keyed_schema(rows, id_col)}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<long>" * with_ids)
+    return number_keys(made, rows, id_col)
 
 
 def fullest(left: dict[int, int], room: int) -> dict[int, int]:
@@ -120,6 +119,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int) -> DataFrame:
     table = np.array(sorted(segments), dtype=np.int64).reshape(-1, 5)
     keys, span = table[:, 0] * (1 << 50) + table[:, 1], 1 << 50
     columns = [c for c in pieces.columns if c not in ("part", "rank")]
+    kinds, keys_of = dict(pieces.dtypes), [c for c in columns if c not in ("piece", "start", "length", "ids_crc32", "ids")]
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -128,8 +128,9 @@ def best_fit_pack(pieces: DataFrame, capacity: int) -> DataFrame:
             nth = rank - row[:, 1]
             yield f[columns].assign(sequence_id=row[:, 2] + nth // row[:, 3], offset=row[:, 4] + nth % row[:, 3] * length)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(columns).schema)
-    return pieces.join(runs.drop("n"), ["part", "length"]).mapInPandas(place, f"{schema}, sequence_id long, offset long")
+    schema = ", ".join(keyed_schema(pieces, c) if c in keys_of else f"`{c}` {kinds[c]}" for c in columns)
+    placed = text_keys(pieces, *keys_of).join(runs.drop("n"), ["part", "length"]).mapInPandas(place, f"{schema}, sequence_id long, offset long")
+    return number_keys(placed, pieces, *keys_of)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import keyed_schema, number_keys, text_keys
+
 #: Order of kinds at equal starts.
 KINDS = ("assign", "access", "hex", "random")
 #: A string is random where it has fewer characters per token than this.
@@ -86,5 +88,6 @@ def scan_secrets(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 out.append((*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
             yield pd.concat([f[[id_col]].reset_index(drop=True), pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])], axis=1)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    rows = docs.select(id_col, text_col)
+    made = text_keys(rows, id_col).mapInPandas(run, f"{keyed_schema(rows, id_col)}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return number_keys(made, rows, id_col)

@@ -19,6 +19,8 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import keyed_schema, number_keys, text_keys
+
 #: Parts that a task remembers; the table is emptied when full.
 CACHE_PARTS = 500_000
 #: Parts longer than this are encoded but not remembered.
@@ -133,5 +135,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pd.DataFrame({id_col: f[id_col], "n_bytes": size, "n_tokens": n, "over_limit": [x > limit for x in n]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    rows = docs.select(id_col, text_col)
+    made = text_keys(rows, id_col).mapInPandas(run, f"{keyed_schema(rows, id_col)}, n_bytes long, n_tokens long, over_limit boolean")
+    return number_keys(made, rows, id_col)

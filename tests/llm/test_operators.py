@@ -309,3 +309,21 @@ def test_empty_and_repeated(spark, sf_dir, tmp_path):
 
 def test_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_large_ids_beside_nulls(spark):
+    """Ids over 2**53 stay exact in a partition that holds a null id."""
+    big = 2**60 + 1
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen. " * 6
+    docs = spark.createDataFrame([(big, text), (None, text), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    path = tokens.vocabulary()
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = docs.selectExpr("doc_id AS page_id", "'http://a' AS url", "text AS html")
+    for made in (
+        tokens.count_tokens(docs, path, 10), packing.pack_documents(docs, path), simhash.near_duplicates(docs), decontam.summarize(decontam.find_matches(docs, items)), decontam.find_matches(docs, items), linededup.dedup_lines(docs),
+        secrets.scan_secrets(docs, tokens.vocabulary("byte_bpe_50k.tiktoken")), pii.find_pii(docs), licenses.scan_licenses(docs), quality.judge(docs, labels), html.extract_text(pages).withColumnRenamed("page_id", "doc_id"),
+    ):
+        assert {r["doc_id"] for r in made.select("doc_id").collect()} == {big, None, big + 2}
+        assert dict(made.dtypes)["doc_id"] == "bigint"
+    assert decontam.drop_contaminated(docs, items).select("doc_id").collect()[0][0] == big + 2
