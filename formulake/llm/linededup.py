@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -59,6 +59,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of fewer than three lines have no window. Other columns pass through.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    # Null whole numbers travel as the smallest one: pandas would turn the column to floats.
+    no_id = F.lit({"int": -(2**31), "bigint": -(2**63)}.get(kind)).cast(kind)
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -68,26 +70,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             yield pd.DataFrame({"high": halves[:, 0], "low": halves[:, 1], "id": f["id"].repeat(n).to_numpy(), "t": f["t"].repeat(n).to_numpy(), "k": k.astype(np.int32)})
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")).filter("text IS NOT NULL")
+    texts = docs.select(F.coalesce(F.col(id_col), no_id).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")).filter("text IS NOT NULL")
     found = texts.mapInPandas(windows, f"high long, low long, id {kind}, t long, k int")
     place = F.struct("id", "t", "k")
     # Counts and first places combine before the shuffle, so a window that many documents share is one row a task.
     repeated = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # As a table of its own it meets the windows in a join whose skewed partitions can be split.
+    repeated = cut(repeated)
     later = found.join(repeated, ["high", "low"]).filter(~place.eqNullSafe(F.col("first")))
     covered = cut(later.groupBy("id", "t").agg(F.collect_set("k").alias("starts")))
 
     names = docs.columns
-    return _rebuilt(docs, covered, names, id_col, text_col, length_col)
+    return _rebuilt(docs, covered, no_id, names, id_col, text_col, length_col)
 
 
-def _rebuilt(docs: DataFrame, covered: DataFrame, names: list[str], id_col: str, text_col: str, length_col: str | None) -> DataFrame:
+def _rebuilt(docs: DataFrame, covered: DataFrame, no_id: Column, names: list[str], id_col: str, text_col: str, length_col: str | None) -> DataFrame:
     @F.pandas_udf("string")
     def shortened(text: pd.Series, starts: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else without(wrapped_lines(t), [int(k) for k in s]) for t, s in zip(text, starts, strict=True)], dtype=object)
 
     # The row travels as one struct, so no name of its columns can clash.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")).withColumn("key", F.xxhash64(F.col("row")[text_col]))
-    both = rows.join(covered, rows["row"][id_col].eqNullSafe(covered["id"]) & (rows["key"] == covered["t"]), "left")
+    both = rows.join(covered, F.coalesce(rows["row"][id_col], no_id).eqNullSafe(covered["id"]) & (rows["key"] == covered["t"]), "left")
     text = F.col("row")[text_col]
     # Texts that change go through Python; the others are sent as nulls.
     changed = F.when(F.col("starts").isNotNull(), text)
