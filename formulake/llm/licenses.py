@@ -92,9 +92,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null texts count as empty: no words, no labels, score 0. Null ids and
-    repeated rows give a row each; an empty table gives none. ``score`` is the
-    share of the index entries (rare words in place) that the best start of any
-    template has, weighed by IDF; 1 where a template stands as a whole.
+    repeated rows give a row each; an empty table gives none. ``score`` is
+    1 - 0.5 ** (number of labels).
     """
     known = templates()
     frequency = document_frequency(docs, text_col)
@@ -131,10 +130,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.withColumn("__bl", F.array_compact(F.array(*given)) if given else none)
     rows = rows.withColumn("__al", F.array_union("__bl", F.array_compact(F.array(*more)) if more else none))
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    score = _score(live, entries, frequency) if live else F.lit(0.0)
+    n_labels = F.size(F.array_distinct("__al"))
     return rows.select(
         F.col("__id").alias(id_col), "n_words", F.size("__base").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
-        joined("__bl").alias("base_labels"), joined("__al").alias("labels"), score.alias("score"),
+        joined("__bl").alias("base_labels"), joined("__al").alias("labels"), (F.lit(1.0) - F.pow(F.lit(0.5), n_labels)).alias("score"),
     )
 
 
@@ -158,18 +157,3 @@ def _starts(t: Template, entries: list[int], k: int) -> Column:
         return ok
 
     return F.transform(F.filter(start, stands), lambda s: F.struct(F.lit(k).alias("t"), s.cast("int").alias("at")))
-
-
-def _has(word: str) -> Column:
-    return F.exists("__rare", lambda x: x["w"] == word)
-
-
-def _score(live: list[Template], entries: dict[Template, list[int]], frequency: dict[str, int]) -> Column:
-    """1 where a template stands; else half the best share of a template's index entries, by rarity, that the text has."""
-    shares = []
-    for t in live:
-        own = [t.words[q] for q in entries[t][:2]]
-        weights = [1.0 / frequency[w] for w in own]
-        shares.append(sum((F.when(_has(w), v / sum(weights)).otherwise(0.0) for w, v in zip(own, weights, strict=True)), F.lit(0.0)))
-    best = F.greatest(*shares, F.lit(0.0))
-    return F.when(F.size("__own") > 0, 1.0).when(F.size("__rare") > 0, best / 2).otherwise(0.0)

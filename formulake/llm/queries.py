@@ -68,5 +68,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '{licenses.WORD}')"
+
+
+def _licenses_sql() -> str:
+    """Phrases by comparing slices of the words at every place."""
+    phrases = sorted({*licenses.BASE, *(k for keys in licenses.LICENSES.values() for k in keys)})
+    stands = {p: f"contains(joined, ' {p} ')" for p in phrases}
+    base = " || ".join(f"list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()})" for p in licenses.BASE)
+    given = ", ".join(f"CASE WHEN {stands[p]} THEN '{label}' END" for p, label in licenses.BASE.items())
+    more = ", ".join(f"CASE WHEN {' AND '.join(stands[k] for k in keys)} THEN '{label}' END" for label, keys in licenses.LICENSES.items())
+    names = lambda own: f"list_sort(list_distinct(list_filter([{own}], lambda x: x IS NOT NULL)))"
+    return f"""SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, array_to_string(base, ',') AS base_labels, array_to_string(labels, ',') AS labels,
+ 1 - power(0.5::DOUBLE, len(labels)) AS score FROM (SELECT doc_id, w, {base} AS places, {names(given)} AS base, {names(f"{given}, {more}")} AS labels FROM (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS joined FROM (SELECT doc_id, {_WORDS} AS w FROM documents)))"""
+
+
+def _decontamination_sql(window: int = 13) -> str:
+    """Windows of documents and items joined by their words; hit words counted once."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ iw AS (SELECT DISTINCT item_id, least({window}, len(w)) AS n, array_to_string(w[k:k + least({window}, len(w)) - 1], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - least({window}, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+ dw AS (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS t FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+ hits AS (SELECT r, k, dw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.t = iw.t),
+ words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hits) GROUP BY r),
+ items AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS own FROM hits GROUP BY r)
+ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(own), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(own, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have no SQL form: tokenizers, HTML, XXH64, possessive patterns. Tests hold them against brute force."""
+    return {"op4_license_scans": _licenses_sql(), "op7_benchmark_decontamination": _decontamination_sql()}
