@@ -10,28 +10,31 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from formulake.llm import decontam, linededup, packing, quality, simhash, tokens
-from formulake.llm.common import checkpoint_dir, read
+from formulake.llm.common import checkpoint_dir, cut, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    names = docs.columns
-    judged = quality.judge(docs, read(spark, sf_dir, "labels"))
-    return judged.filter("kept").select(names)
+    """Rejected documents go: those that fail a base rule (null, empty and short texts among them) or score too low."""
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # no name can clash
+    judged = quality.judge(docs.withColumnsRenamed(own), read(spark, sf_dir, "labels"))
+    return judged.filter("kept").select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated passages go from the texts; n_chars follows."""
+    """Later occurrences of repeated passages go from the texts; n_chars follows. No row goes, also where its text becomes empty."""
     return linededup.dedup_lines(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of near duplicates the document with the smallest id stays; rows equal in all columns are one document. Rows without id stay."""
+    found = cut(simhash.near_duplicates(docs).select("doc_id", "component_id"))
     gone = found.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    repeated = not found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    return kept.dropDuplicates() if repeated else kept
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
