@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import cut
+from .common import cut, keyed_schema, number_keys, text_keys
 
 BITS = 64
 #: Fingerprints of a shard; larger ones are split by further blocks.
@@ -59,8 +59,8 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             fp = np.array([shingle_fingerprint(t, words) for t in f[text_col]], dtype=np.uint64)
             yield pd.DataFrame({id_col: f[id_col], "fp": fp.view(np.int64)})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, fp long")
+    rows = docs.select(id_col, text_col)
+    return number_keys(text_keys(rows, id_col).mapInPandas(run, f"{keyed_schema(rows, id_col)}, fp long"), rows, id_col)
 
 
 class BKTree:
@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, id_col: st
     of = least.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
     roots = of.filter("component is not null").groupBy("component").agg(F.min("least").alias("root"))
     label = of.join(roots, "component", "left").select("fp", F.coalesce("root", "least").alias("component_id"))
-    return own.join(label, "fp", "left")
+    # As a table of its own it meets the documents in a join whose skewed partitions can be split: a group of copies is one fingerprint.
+    return own.join(cut(label), "fp", "left")
 
 
 def hex_fingerprint(fp):
