@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sets
 from .components import connected_components
 from .graph import degrees
 
@@ -80,3 +81,25 @@ def hypothesis_rank(confidence: Column, kind: Column, sources: Column) -> Column
 
 def promising(rows: DataFrame, least: float = 0.7) -> DataFrame:
     return rows.filter((F.col("confidence") >= least) & F.col("status").isin("validated", "promising"))
+
+
+def related_concepts(nodes: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(src, dst, weight) of concepts (node, topics, symbols) with 0.6 J(topics) + 0.4 J(symbols) above ``threshold``.
+
+    Concepts with equal topics and symbols are one class, named by the smallest
+    node. A positive score needs a shared topic or symbol, so classes meet on
+    these by an equi-join.
+    """
+    own = nodes.select("node", F.array_sort(F.array_distinct("topics")).alias("topics"), F.array_sort(F.array_distinct("symbols")).alias("symbols"))
+    classes = own.groupBy("topics", "symbols").agg(F.min("node").alias("c"))
+    keys = F.concat(F.transform("topics", lambda t: F.concat(F.lit("t:"), t)), F.transform("symbols", lambda s: F.concat(F.lit("s:"), s)))
+    keyed = classes.select("c", F.explode(keys).alias("key"))
+    pairs = keyed.withColumnRenamed("c", "src").join(keyed.withColumnRenamed("c", "dst"), "key").filter("src < dst").select("src", "dst").distinct()
+    x, y = classes.withColumnsRenamed({"c": "src", "topics": "tx", "symbols": "sx"}), classes.withColumnsRenamed({"c": "dst", "topics": "ty", "symbols": "sy"})
+    score = sets.jaccard(F.col("tx"), F.col("ty")) * 0.6 + sets.jaccard(F.col("sx"), F.col("sy")) * 0.4
+    return pairs.join(x, "src").join(y, "dst").select("src", "dst", score.alias("weight")).filter(F.col("weight") > threshold)
+
+
+def holds_preconditions(symbols: Column, known: Column) -> Column:
+    """No symbol beyond the known ones and the constants."""
+    return F.size(F.array_except(symbols, F.array_union(known, F.array(*(F.lit(c) for c in ("pi", "E", "e")))))) == 0

@@ -356,3 +356,57 @@ def theorems_from(rows: DataFrame, hypothesis: str = "hypothesis", kind: str = "
         F.concat(F.lit("THM_"), F.upper(F.left(F.md5(F.concat_ws(":", e, k)), F.lit(8)))).alias("id"), B.formal_statement(e, own).alias("statement"), "theorem_type", own.alias("symbols"), B.assumptions(own, k).alias("assumptions"),
         B.describe(e, k).alias("natural_language"), e.alias("expression"),
     )
+
+
+def variations(rows: DataFrame, formula: str = "formula", most: int = 5) -> DataFrame:
+    """(variation) of each formula by expanding, differentiating, integrating; those that are no formula of ``rows``, the first ``most`` in order."""
+
+    def work(text: str) -> list[tuple]:
+        t = E.parse(text)
+        if t is None or t[0] == "eq":
+            return []
+        own = E.symbols(t)
+        made = [E.normal(t), *(E.derivative(t, x) for x in own[:1])]
+        if len(text) < 50:
+            made += [E.integral(t, x) for x in own[:1]]
+        return [(i, E.show(E.normal(m))) for i, m in enumerate(made) if m is not None]
+
+    known = fingerprints(rows, formula).filter("parsed").select(F.col("canonical").alias("variation")).distinct()
+    new = _distinct(rows, formula, work, "ordinal int, variation string").filter("variation IS NOT NULL").join(known, "variation", "left_anti")
+    names = [*rows.columns, "variation"]
+    place = Window.partitionBy(*rows.columns).orderBy("ordinal", "variation")
+    return new.dropDuplicates(names).withColumn("__n", F.row_number().over(place)).filter(F.col("__n") <= most).select(*names)
+
+
+def applicable_rules(rows: DataFrame, rules: DataFrame, formula: str = "formula") -> DataFrame:
+    """(rule, result) of each rule that changes each formula; the pack travels to the tasks, there is no join."""
+    known = load_rules(rules)
+
+    def work(text: str) -> list[tuple]:
+        t = E.parse(text)
+        if t is None or t[0] == "eq":
+            return []
+        out = [(name, E.rewrite(t, p, q)) for name, p, q, _ in known]
+        return [(name, E.show(new)) for name, new in out if new is not None and same_value(t, new)]
+
+    return _distinct(rows, formula, work, "rule string, result string").filter("rule IS NOT NULL")
+
+
+def execute_strategies(rows: DataFrame, rules: DataFrame, formula: str = "formula", id_col: str = "id") -> DataFrame:
+    """(id, strategy, success, confidence, seconds) of the six strategies on each equation, for ``strategy.integrate``.
+
+    Symbolic is the best of the algebraic methods, rule-based the pattern
+    method, formal the simulated verdict; hybrids are means of their parts.
+    """
+    tried = proof_attempts(rows, rules, formula)
+    ok = lambda *m: F.max(F.when(F.col("method").isin(*m), (F.col("status") == "proved").cast("double")))
+    conf = lambda *m: F.max(F.when(F.col("method").isin(*m) & ((F.col("status") == "proved") | (F.col("method") == m[0])), F.col("confidence")))
+    algebra = ("direct", "simplify", "algebraic", "solver")
+    each = tried.groupBy(id_col).agg(ok(*algebra).alias("s"), conf(*algebra).alias("sc"), ok("pattern").alias("r"), conf("pattern").alias("rc"))
+    formal = lean_statements(rows, formula, id_col).select(id_col, simulated_verdict(F.col("lean")).alias("v")).distinct()
+    both = each.join(formal, id_col).na.fill(0.0, ["s", "sc", "r", "rc"])
+    f, fc = (F.col("v") == "proved").cast("double"), F.when(F.col("v") == "proved", 0.95).otherwise(0.5)
+    s, sc, r, rc = (F.col(c) for c in ("s", "sc", "r", "rc"))
+    parts = {"symbolic": (s, sc), "rule_based": (r, rc), "formal": (f, fc), "hybrid_sr": (F.greatest(s, r), (sc + rc) / 2), "hybrid_sf": (F.greatest(s, f), (sc + fc) / 2), "comprehensive": (F.greatest(s, r, f), (sc + rc + fc) / 3)}
+    rows_ = F.array(*(F.struct(F.lit(k).alias("strategy"), (a > 0).alias("success"), c.alias("confidence"), F.lit(0.0).alias("seconds")) for k, (a, c) in parts.items()))
+    return both.select(F.col(id_col).alias("id"), F.explode(rows_).alias("x")).select("id", "x.*")

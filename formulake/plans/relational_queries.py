@@ -550,6 +550,19 @@ def cosine_matrix(spark, d):
     return _rounded(cluster.cosine_to(t, t.filter("vec_id % 50 = 0")), "cosine")  # the stated query set against all rows
 
 
-@query("cluster_sizes", "SELECT label, count(*) AS n, min(vec_id) AS first FROM embeddings GROUP BY label")
+@query("cluster_sizes", "SELECT label, count(*) AS n, array_to_string(list_sort(list(vec_id))[1:3], ',') AS first, label = -1 AS noise FROM embeddings GROUP BY label")
 def cluster_sizes(spark, d):
-    return cluster.cluster_sizes(table(spark, d, "embeddings"), "label", "vec_id")
+    t = cluster.cluster_sizes(table(spark, d, "embeddings"), "label", "vec_id")
+    return t.withColumn("first", F.array_join(F.transform("first", lambda x: x.cast("string")), ","))
+
+
+BRANDS = "c AS (SELECT class, n, hash, symbols, operations, functions, complexity, 'c' || (class % 40) AS cluster FROM classes)"
+
+
+@query("cluster_confidence", cte(PRINTS, CLASSES, BRANDS, f"""each_ AS (SELECT a.cluster, a.class, a.n, max((a.n - 1) * ({SIM.replace("b.", "a.")})) + coalesce(sum(CASE WHEN a.class <> b.class THEN b.n * ({SIM}) ELSE 0 END), 0) AS total FROM c a JOIN c b ON a.cluster = b.cluster GROUP BY a.cluster, a.class, a.n)""") + f"""SELECT cluster,
+ {r("CASE WHEN sum(n) < 2 THEN 1 ELSE sum(total * n) / (sum(n) * (sum(n) - 1.0)) END")} AS confidence, (list(class ORDER BY round(total, 9) DESC, class))[1] AS center FROM each_ GROUP BY cluster""")
+def cluster_confidence(spark, d):
+    prints = _prints(spark, d)
+    _, members = cluster.similar_fingerprints(prints, 0.7)
+    named = members.select("class").distinct().withColumn("cluster", F.concat(F.lit("c"), (F.col("class") % 40).cast("string")))
+    return _rounded(cluster.confidence_and_center(prints, members, named), "confidence")

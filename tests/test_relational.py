@@ -110,10 +110,20 @@ def test_known_cluster_confidence(spark):
     prints = spark.createDataFrame(rows, "id long, hash string, symbols array<string>, operations array<string>, functions array<string>, complexity int")
     links, members = cluster.similar_fingerprints(prints, 0.5)
     found = cluster.density_clusters(links, members, cut)
-    out = cluster.confidence_and_center(links, members, found).first()
+    out = cluster.confidence_and_center(prints, members, found).first()
     assert out["confidence"] == pytest.approx(0.25 + 0.25 * 6 / 8 + 0.1 + 0.1 * 0.4) and out["center"] == 1
 
 
+def test_known_confidence_through_a_third(spark):
+    """Pairs .51, .5667 and .49: the last is below the threshold, yet joined through the first member; the mean is 0.5222."""
+    rows = [(1, "a", ["x"], list("abcd"), [], 3), (2, "b", ["x"], list("abcde"), [], 5), (3, "c", ["x"], list("abcd"), [], 2)]
+    prints = spark.createDataFrame(rows, "id long, hash string, symbols array<string>, operations array<string>, functions array<string>, complexity int")
+    links, members = cluster.similar_fingerprints(prints, 0.5)
+    assert {(r["src"], r["dst"]) for r in links.collect()} == {(1, 2), (1, 3)}
+    out = cluster.confidence_and_center(prints, members, cluster.density_clusters(links, members, cut)).collect()
+    assert len(out) == 1 and out[0]["center"] == 1 and out[0]["confidence"] == pytest.approx((0.51 + 0.25 + 0.25 + 0.1 * 2 / 3 + 0.49) / 3)
+
+
 def test_neighborhood_and_statistics(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (5, 6)], "src long, dst long")
     near = {r["node"]: r["hops"] for r in graph.neighborhood(edges, [1], 2).collect()}
