@@ -247,7 +247,7 @@ def test_secrets_random(spark):
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><ul><li><a>Home</a></ul></nav>
-<div class="ad">Buy</div><article><h1>Title {i} &amp; more</h1><p><b>First  {i}
+<div class="ad">Buy</div><header><h1>Site</h1></header><article><header class="entry-header"><h1>Title {i} &amp; more</h1></header><p><b>First  {i}
 line<br>tail.<p>Second &eacute; {i}</p><aside>Aside</aside><div class="comments"><p>Nice {i}</p></div></article><footer>&copy; x</footer></body></html>"""
 
 
