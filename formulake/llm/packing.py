@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, keyed_schema, number_keys, text_keys
-from .tokens import PartEncoder, byte_batches
+from .tokens import byte_batches, encoder_for, to_bytes
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -39,8 +39,8 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_c
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = PartEncoder(path, lambda ids: np.asarray(ids, "<u4").tobytes())
-        end, part, seen = np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encoder = encoder_for(path, to_bytes)
+        end, part, seen = to_bytes([end_id]), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for f in byte_batches(frames, text_col):
             out = []
             for key, parts in zip(f[id_col].tolist(), encoder.encode(f[text_col].fillna("").tolist()), strict=True):

@@ -14,15 +14,17 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+import struct
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import keyed_schema, number_keys, text_keys
 
-#: Parts that a task remembers; the table is emptied when full.
-CACHE_PARTS = 500_000
+#: Parts that a worker process remembers, over all its tasks; the table is emptied when full.
+CACHE_PARTS = 800_000
 #: Parts longer than this are encoded but not remembered.
 CACHE_PART_CHARS = 64
 #: Bytes of text encoded together.
@@ -108,6 +110,17 @@ class PartEncoder:
         return out
 
 
+def to_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=2)
+def encoder_for(path: str, keep: Callable) -> PartEncoder:
+    """The worker process's encoder; what it remembers serves later tasks, too."""
+    return PartEncoder(path, keep)
+
+
 def byte_batches(frames: Iterable[pd.DataFrame], column: str, limit: int = BATCH_BYTES) -> Iterator[pd.DataFrame]:
     """The rows of ``frames`` in slices of about ``limit`` bytes of ``column`` (one row at least)."""
     for frame in frames:
@@ -128,7 +141,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = PartEncoder(path, len)
+        encoder = encoder_for(path, len)
         for f in byte_batches(frames, text_col):
             texts = f[text_col].fillna("").tolist()
             n = [sum(x) for x in encoder.encode(texts)]
