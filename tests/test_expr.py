@@ -80,3 +80,14 @@ def test_values_agree(text, x, y, z):
     a = float(E.evaluate(E.parse(text), values))
     assert a == pytest.approx(float(eval(text, {}, values)))  # noqa: S307
     assert a == pytest.approx(float(E.evaluate(E.normal(E.parse(text)), values)))
+
+
+def test_sql_functions(spark):
+    from formulake.functions.register import register
+
+    register(spark)
+    r = spark.sql("SELECT expr_equal('(x+1)**2', 'x**2 + 2x + 1') a, expr_equal('x', 'y') b, expr_equal('sin(2x)', '2sin(x)cos(x)') c, expr_symbols('a*b + a') s, expr_complexity('x +') n, expr_normal('(x+1)*(x-1)') t").first()
+    assert (r["a"], r["b"], r["c"], r["s"], r["n"]) == (True, False, None, ["a", "b"], None) and r["t"] == "-1 + x**2" or r["t"] == "x**2 - 1"
+    found = spark.sql(r"SELECT kind, start, expression FROM latex_matches('a $x$ b $$y$$')").collect()
+    assert {tuple(x) for x in found} == {("inline", 2, "x"), ("block", 8, "y")}
+    assert spark.sql("SELECT d.k, m.expression FROM VALUES (1, '$u$'), (2, '') AS d(k, t), LATERAL latex_matches(d.t) m").collect() == [(1, "u")]
