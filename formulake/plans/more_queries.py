@@ -61,10 +61,10 @@ def related_concepts(spark, d):
     return discover.related_concepts(t).withColumn("weight", F.round("weight", 6))
 
 
-@query("graph_write_back", "SELECT p_partkey AS node_id, p_name, coalesce(status, p_type) AS status FROM part LEFT JOIN (SELECT l_partkey, min(l_returnflag) AS status FROM lineitem WHERE l_quantity > 40 GROUP BY 1) ON l_partkey = p_partkey")
+@query("graph_write_back", "SELECT p_partkey AS node_id, p_name, coalesce(status, p_type) AS status FROM part LEFT JOIN (SELECT l_partkey, min(l_returnflag) AS status FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
 def graph_write_back(spark, d):
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), "p_name", F.col("p_type").alias("status"))
-    results = table(spark, d, "lineitem").filter("l_quantity > 40").select(F.col("l_partkey").alias("node_id"), F.col("l_returnflag").alias("status"))
+    results = table(spark, d, "lineitem").select(F.col("l_partkey").alias("node_id"), F.col("l_returnflag").alias("status"))
     return writers.write_back(nodes, results, ["status"])
 
 
@@ -85,7 +85,7 @@ def random_sample(spark, d):
     return search.sample(table(spark, d, "orders").select("o_orderkey"), 100, 42, "o_orderkey")
 
 
-@query("degree_table", "WITH e AS (SELECT p_partkey AS src, p_partkey + 7 + p_size AS dst FROM part WHERE p_size % 5 = 0) SELECT degree, count(*) AS nodes FROM (SELECT p_partkey, count(n) AS degree FROM part LEFT JOIN (SELECT src AS n FROM e UNION ALL SELECT dst FROM e) ON n = p_partkey GROUP BY 1) GROUP BY degree")
+@query("degree_table", "WITH e AS (SELECT p_partkey AS src, p_partkey - p_partkey % 16 + p_size % 16 AS dst FROM part) SELECT degree, count(*) AS nodes FROM (SELECT p_partkey, count(n) AS degree FROM part LEFT JOIN (SELECT src AS n FROM e UNION ALL SELECT dst FROM e) ON n = p_partkey GROUP BY 1) GROUP BY degree")
 def degree_table(spark, d):
     from ..operators import graph
 
@@ -113,12 +113,12 @@ def proof_trace(spark, d):
     return writers.proof_trace(X.rewrites(_formulas(spark, d), R.builtin(spark), steps=5).select("id", "step", "rule", "result"))
 
 
-STEPS = "steps AS (SELECT l_orderkey AS id, l_linenumber AS step, l_returnflag AS rule, l_linestatus AS result FROM lineitem WHERE l_linenumber <= 3)"
+STEPS = "steps AS (SELECT l_orderkey AS id, l_linenumber AS step, l_returnflag AS rule, l_linestatus AS result FROM lineitem)"
 
 
 @query("trace_text", cte(STEPS) + "SELECT id, string_agg('Step ' || step || ' [' || rule || ']: ' || result, chr(10) ORDER BY step, rule, result) AS text FROM steps GROUP BY id")
 def trace_text(spark, d):
-    t = table(spark, d, "lineitem").filter("l_linenumber <= 3")  # three steps each
+    t = table(spark, d, "lineitem")
     return writers.proof_trace(t.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("step"), F.col("l_returnflag").alias("rule"), F.col("l_linestatus").alias("result"))).select("id", "text")
 
 

@@ -258,9 +258,9 @@ def symbol_postings(spark, d):
     return search.symbol_postings(corpus.theorems(spark, d), "symbols", "statement").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("index_upsert", cte(POSTINGS) + "SELECT field, count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT token, id, field FROM postings WHERE id % 10 <> 3 UNION ALL SELECT unnest(['new', 'tokens', 'here']), doc_id, 'statement' FROM documents WHERE doc_id % 10 = 3) GROUP BY field")
+@query("index_upsert", cte(POSTINGS) + "SELECT field, count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT token, id, field FROM postings WHERE id NOT IN (SELECT doc_id FROM documents WHERE lang = 'es') UNION ALL SELECT unnest(['new', 'tokens', 'here']), doc_id, 'statement' FROM documents WHERE lang = 'es') GROUP BY field")
 def index_upsert(spark, d):
-    new = table(spark, d, "documents").filter("doc_id % 10 = 3").withColumn("text", F.lit("new tokens here"))  # the changed rows
+    new = table(spark, d, "documents").filter("lang = 'es'").withColumn("text", F.lit("new tokens here"))  # the rows that change
     index = search.upsert(_postings(spark, d), search.text_postings(new, {"statement": "text"}, "doc_id"))
     return index.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
 
@@ -278,13 +278,13 @@ def semi_anti_ids(spark, d):
 
 # -- graphs --------------------------------------------------------------------------------------------
 
-CHAIN_EDGES = "edges AS (SELECT p_partkey AS src, p_partkey + 7 + p_size AS dst FROM part WHERE p_size % 5 = 0)"
+CHAIN_EDGES = "edges AS (SELECT p_partkey AS src, p_partkey - p_partkey % 16 + p_size % 16 AS dst FROM part)"
 MESH = "mesh AS (SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_size % 3 <> 0 AND p_partkey % 16 <> 15 UNION SELECT p_partkey, p_partkey + 2 FROM part WHERE p_size % 2 = 0 AND p_partkey % 16 < 14)"
 
 
 def _chain_edges(spark, d):
-    t = table(spark, d, "part").filter("p_size % 5 = 0")
-    return t.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 7 + F.col("p_size")).alias("dst"))
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(k.alias("src"), (k - k % 16 + F.col("p_size") % 16).alias("dst"))
 
 
 def _mesh(spark, d):
@@ -536,10 +536,10 @@ def density_clusters(spark, d):
     return members.join(found, "class").select("id", "class", "cluster")
 
 
-@query("cluster_summary", cte(PRINTS, "c AS (SELECT p_partkey AS id, p_brand AS cluster FROM part WHERE p_size % 7 = 0)", "b AS (SELECT * FROM prints JOIN c USING (id))", "s AS (SELECT cluster, count(*) AS size, avg(complexity) AS mc, min(complexity) AS lc, max(complexity) AS xc FROM b GROUP BY 1)") + f"""SELECT s.cluster, size, {r("mc")} AS mean_complexity, lc AS least_complexity, xc AS most_complexity,
+@query("cluster_summary", cte(PRINTS, "c AS (SELECT p_partkey AS id, p_brand || ' ' || p_type AS cluster FROM part)", "b AS (SELECT * FROM prints JOIN c USING (id))", "s AS (SELECT cluster, count(*) AS size, avg(complexity) AS mc, min(complexity) AS lc, max(complexity) AS xc FROM b GROUP BY 1)") + f"""SELECT s.cluster, size, {r("mc")} AS mean_complexity, lc AS least_complexity, xc AS most_complexity,
  (SELECT coalesce(array_to_string(list_sort(list(t)), ','), '') FROM (SELECT t, count(*) AS k FROM (SELECT id, unnest(operations) AS t FROM b WHERE b.cluster = s.cluster) GROUP BY t) WHERE k = size) AS common_operations FROM s""")
 def cluster_summary(spark, d):
-    own = table(spark, d, "part").filter("p_size % 7 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("cluster"))  # the clustered rows
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_type").alias("cluster"))
     t = cluster.summarize(_prints(spark, d), own)
     return _rounded(t.select("cluster", "size", "mean_complexity", "least_complexity", "most_complexity", F.coalesce(F.array_join("common_operations", ","), F.lit("")).alias("common_operations")), "mean_complexity")
 

@@ -165,10 +165,9 @@ def latex_comments(spark, d):
 BLOCKS_SQL = sub(sub(sub(sub("text", ("%[^\\n]*\\n", "")), *(("(?s)" + p, "") for p in L.DISPLAY)), (r"\$([^$\n]+)\$", ""), ("(?s)" + L.INLINE[1], "")), (r"\\[a-zA-Z]+\{[^}]*\}", ""), (L.COMMAND, ""), (r"[{}]", ""))
 
 
-@query("latex_blocks", cte(D) + f"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split({BLOCKS_SQL}, chr(10) || chr(10)), lambda x: {sub("x", STRIP)}), lambda x: length(x) >= 10), '|') AS blocks FROM documents_ WHERE NOT text LIKE '%$$$%'""")
+@query("latex_blocks", cte(D) + f"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split({BLOCKS_SQL}, chr(10) || chr(10)), lambda x: {sub("x", STRIP)}), lambda x: length(x) >= 10), '|') AS blocks FROM documents_""")
 def latex_blocks(spark, d):
-    t = corpus.documents(spark, d).filter("NOT text LIKE '%$$$%'")  # runs of dollars need lookaround, which the SQL lacks
-    return t.select("doc_id", F.array_join(L.text_blocks(L.strip_comments(F.col("text"))), "|").alias("blocks"))
+    return corpus.documents(spark, d).select("doc_id", F.array_join(L.text_blocks(L.strip_comments(F.col("text"))), "|").alias("blocks"))
 
 
 NAMES = "MAP {'cdot': '*', 'times': '*', 'div': '/', 'frac': '', 'ln': 'log', 'e': 'E'}"
