@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import keyed_schema, number_keys, text_keys
 
 #: Parts that a worker process remembers, over all its tasks; the table is emptied when full.
-CACHE_PARTS = 800_000
+CACHE_PARTS = 400_000
 #: Parts longer than this are encoded but not remembered.
 CACHE_PART_CHARS = 64
 #: Bytes of text encoded together.
