@@ -271,6 +271,26 @@ def test_html_real(spark, sf_dir):
         assert got[r["page_id"]] == "\n".join(x for x in parts if x)
 
 
+def extracted(spark, bodies, host="h.org"):
+    rows = [(i, f"http://{host}/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i].split("\n") for i in range(len(rows))]
+
+
+def test_html_repeats_are_no_template(spark, monkeypatch):
+    """One page of repeated paragraphs, copied pages, and template text among varying texts in one slot."""
+    page = lambda i, more="": f"<article><h1>Title {i}</h1><p>First {i}</p><p>Second {i}</p>{more}</article>"
+    bodies = [page(0, "<p>Again</p>" * 120), *map(page, range(1, 20))]
+    for limit in (html.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(html, "BROADCAST_BYTES", limit)
+        for i, got in enumerate(extracted(spark, bodies)):
+            assert got == [f"Title {i}", f"First {i}", f"Second {i}", *["Again"] * (120 if i == 0 else 0)]
+        for got, i in zip(extracted(spark, [page(k) for k in [0] * 12 + list(range(1, 13))]), [0] * 12 + list(range(1, 13)), strict=True):
+            assert got == [f"Title {i}", f"First {i}", f"Second {i}"]
+        for i, got in enumerate(extracted(spark, [page(i, "<p>Read more on our site</p>") for i in range(20)])):
+            assert got == [f"Title {i}", f"First {i}", f"Second {i}"]
+
+
 def test_html_join_form(spark, sf_dir, monkeypatch):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     one = {r["page_id"]: r["text"] for r in html.extract_text(pages).collect()}
