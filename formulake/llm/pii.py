@@ -1,10 +1,11 @@
 """Personal data: base patterns, and information-theoretic sanitisation. DataFrame functions only.
 
 The values of base spans are protected entities. The corpus tells how strongly
-a term reveals an entity beside which it stands: with document probabilities,
-the disclosure of t about e is log(p(e, t) / (p(e) p(t))) / -log p(e), the part
-of e's information that t gives away; 1 means that t occurs beside e alone.
-Terms above a threshold become spans of their own and can be generalised.
+a term reveals an entity with which it shares documents: with document
+probabilities, the disclosure of t about e is log(p(e, t) / (p(e) p(t))) / -log
+p(e), the part of e's information that t gives away; 1 means that t occurs with
+e alone. Terms above a threshold become spans of their own wherever they stand
+in the documents that hold the entity.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from .common import cut, let
 
 #: Order of kinds at equal starts.
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Code points on each side of a span whose words are its terms, and the shortest term.
-CONTEXT, LEAST_TERM = 40, 4
+#: The shortest term.
+LEAST_TERM = 4
 #: A term is told with an entity in so many documents at least, and discloses so much of it.
 SUPPORT, DISCLOSURE = 2, 0.8
 #: Most terms whose counts are found by a broadcast; beyond, all words are counted.
@@ -89,52 +90,59 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(_MAY[kind](text), spans).otherwise(F.expr(f"CAST(array() AS array<{_SPAN}>)"))
 
 
-def _terms(text: Column, span: Column) -> Column:
-    """(term, start, end) of the words beside a span; words that the context cuts are left out."""
-
-    def side(start: Column, length: Column) -> Column:
-        part = F.substr(text, start + 1, length)
-        near = F.filter(placed(part, _TERM), lambda x: ((x["s"] > 0) | (start == 0)) & ((x["s"] + F.length(x["m"]) < length) | (start + length >= F.length(text))))
-        return F.transform(near, lambda x: F.struct(F.lower(x["m"]).alias("t"), (start + x["s"]).cast("int").alias("s"), (start + x["s"] + F.length(x["m"])).cast("int").alias("e")))
-
-    left = F.greatest(span["s"] - CONTEXT, F.lit(0))
-    # One code point of the span itself shows that a word ends at it.
-    return F.concat(side(left, span["s"] - left + 1), side(span["e"] - 1, F.lit(CONTEXT + 1)))
-
-
 def joined(spans: Column) -> Column:
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
 def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, base, mentions) for each row: its base spans in order, and the terms beside them with the entity."""
+    """(id, text, key, base, words) for each row: its base spans in order, and, where it has any, all words outside them with their places."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
     rows = rows.withColumn("base", F.array_sort(F.concat(*(base_spans(F.col("text"), k) for k in KINDS[:4]))))
-    near = F.flatten(F.transform("base", lambda b: F.transform(_terms(F.col("text"), b), lambda t: F.struct(F.lower(b["v"]).alias("entity"), t["t"].alias("term"), t["s"].alias("s"), t["e"].alias("e")))))
-    none = F.expr("CAST(array() AS array<struct<entity: string, term: string, s: int, e: int>>)")
+    found = F.transform(placed(F.col("text"), _TERM), lambda w: F.struct(F.lower(w["m"]).alias("t"), w["s"].alias("s"), (w["s"] + F.length(w["m"])).cast("int").alias("e")))
+    none = F.expr("CAST(array() AS array<struct<t: string, s: int, e: int>>)")
     # A word inside another span is no term.
-    outside = F.filter(near, lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
-    return rows.withColumn("mentions", F.when(F.size("base") > 0, outside).otherwise(none)).drop("text")
+    outside = F.filter(found, lambda w: ~F.exists("base", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
+    return rows.withColumn("words", F.when(F.size("base") > 0, outside).otherwise(none))
 
 
 def disclosing(base: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, term, disclosure) of the pairs above the threshold; counts are of documents and cover all of them."""
-    total = docs.count()
-    told = base.select(F.explode(F.array_distinct(F.transform("mentions", lambda m: F.struct(m["entity"], m["term"])))).alias("p")).select("p.*")
-    pairs = cut(told.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= SUPPORT))
-    entities = base.select(F.explode(F.array_distinct(F.transform("base", lambda b: F.lower(b["v"])))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = cut(pairs.select("term").distinct())
+    """(key, terms): the terms of each text that disclose one of its entities above the threshold; counts are of documents and cover all of them."""
+    total = float(max(docs.count(), 2))
+    own = base.filter(F.size("base") > 0).select("key", F.array_distinct(F.transform("base", lambda b: F.lower(b["v"]))).alias("entities"), F.array_distinct(F.transform("words", lambda w: w["t"])).alias("terms"))
+    # Entities and terms follow from the text, so copies are one row with their number.
+    texts = cut(own.groupBy("key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count(F.lit(1)).alias("n")))
+    told = texts.select("key", "n", F.explode("entities").alias("entity"))
+    entities = cut(told.groupBy("entity").agg(F.sum("n").alias("n_entity")).filter(F.col("n_entity") >= SUPPORT))
+    told = cut(told.join(entities, "entity"))
+    # Both stand together in no more documents than the entity stands in, so a term in more than that leaves too little to disclose.
+    most = lambda n: F.pow(n.cast("double"), F.lit(DISCLOSURE)) * total ** (1 - DISCLOSURE) * (1 + 1e-9)
+    met = texts.join(told.select("key").distinct(), "key", "left_semi").select("key", "n", F.explode("terms").alias("term"))
+    terms = cut(met.groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT).select("term"))
     words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_TERM), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
     if terms.count() <= BROADCAST_TERMS:
         n_terms = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     else:
         n_terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term", "left_semi")
-    both = pairs.join(n_terms, "term").join(entities, "entity")
-    info = F.log(F.lit(float(max(total, 2))) / F.col("n_entity"))
-    share = F.log(F.col("both") * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.col("n_term"))) / F.greatest(info, F.lit(1e-9))
-    return both.withColumn("disclosure", F.least(share, F.lit(1.0))).filter(F.col("disclosure") >= DISCLOSURE).select("entity", "term", "disclosure")
+    largest = entities.agg(F.max("n_entity").alias("n")).first()["n"] or 0
+    n_terms = cut(n_terms.filter(F.col("n_term") <= most(F.lit(largest))))
+    pairs = cut(met.drop("n").join(n_terms, "term")).join(told, "key").filter(F.col("n_term") <= most(F.col("n_entity")))
+    both = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")).filter(F.col("both") >= SUPPORT)
+    info = F.log(F.lit(total) / F.col("n_entity"))
+    share = F.log(F.col("both") * F.lit(total) / (F.col("n_entity") * F.col("n_term"))) / F.greatest(info, F.lit(1e-9))
+    good = cut(both.filter(F.least(share, F.lit(1.0)) >= DISCLOSURE).select("entity", "term"))
+    return cut(pairs.join(good, ["entity", "term"], "left_semi").groupBy("key").agg(F.collect_set("term").alias("terms")))
+
+
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, base, spans) for each row of ``docs``: its base spans, and these with its disclosing terms, in order."""
+    base = find_base(docs, id_col, text_col)
+    terms = disclosing(base, docs, text_col).withColumnRenamed("key", "_key")
+    out = base.join(terms, base["key"] == terms["_key"], "left")
+    plain = F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e")))
+    added = F.transform(F.filter("words", lambda w: F.array_contains("terms", w["t"])), lambda w: F.struct(w["s"].alias("s"), F.lit(4).alias("k"), w["e"].alias("e")))
+    return out.select("id", "text", "base", F.array_sort(F.when(F.col("terms").isNull(), plain).otherwise(F.concat(plain, added))).alias("spans"))
 
 
 def _count(k: int) -> Column:
@@ -148,13 +156,6 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     and repeated rows give a row each (rows with equal id and text count twice
     in the corpus); an empty table gives none.
     """
-    base = cut(find_base(docs, id_col, text_col))
-    pairs = disclosing(base, docs, text_col)
-    own = base.select("id", "key", F.explode("mentions").alias("m")).select("id", "key", "m.*")
-    added = own.join(pairs, ["entity", "term"]).select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.struct("s", F.lit(4).alias("k"), "e").alias("x"))
-    added = added.groupBy("_id", "_key").agg(F.collect_set("x").alias("added"))
-    out = base.join(added, base["id"].eqNullSafe(added["_id"]) & (base["key"] == added["_key"]), "left")
-    plain = F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e")))
-    spans = F.array_sort(F.when(F.col("added").isNull(), plain).otherwise(F.concat(plain, "added")))
+    out = find_spans(docs, id_col, text_col)
     counts = [_count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
-    return out.select(F.col("id").alias(id_col), *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(spans).alias("spans"))
+    return out.select(F.col("id").alias(id_col), *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

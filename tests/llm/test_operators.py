@@ -232,6 +232,19 @@ def test_pii_disclosing_terms(spark):
     assert f"term:{at}:{at + 9}" in got[0].split(",") and got[9] == "" and f"email:{text.index('secret')}" in got[0]
 
 
+def test_pii_terms_anywhere(spark):
+    """A disclosing term far from the entity counts and is marked at every place in the documents that hold the entity, and there alone."""
+    far = "and many other plain words stand here between them " * 3
+    text = f"Zarkovian came. {far}Write to secret@mail.org. {far}Then Zarkovian left"
+    rows = [(i, text) for i in range(3)] + [(i, f"{far}Write came left Then") for i in range(10, 40)] + [(50, "Zarkovian alone"), (51, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs).collect()}
+    places = [text.index("Zarkovian"), text.rindex("Zarkovian")]
+    mail = text.index("secret")
+    assert got[0] == got[2] == f"term:{places[0]}:{places[0] + 9},email:{mail}:{mail + 15},term:{places[1]}:{places[1] + 9}"
+    assert got[10] == got[50] == got[51] == ""
+
+
 def test_secrets(table, docs):
     got = by_id(secrets.scan_secrets(table, tokens.vocabulary("byte_bpe_50k.tiktoken")), ["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
     for key, text in zip(docs.doc_id, docs.text, strict=True):
