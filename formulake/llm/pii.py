@@ -5,7 +5,7 @@ a term reveals an entity with which it shares documents: with document
 probabilities, the disclosure of t about e is log(p(e, t) / (p(e) p(t))) / -log
 p(e), the part of e's information that t gives away; 1 means that t occurs with
 e alone. Terms above a threshold become spans of their own wherever they stand
-in the documents that hold the entity.
+in the documents that hold the entity; sanitize() generalises all spans.
 """
 
 from __future__ import annotations
@@ -159,3 +159,23 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     out = find_spans(docs, id_col, text_col)
     counts = [_count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
     return out.select(F.col("id").alias(id_col), *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def generalized(text: Column, spans: Column) -> Column:
+    """The whole text with each span replaced by its kind in brackets; spans that overlap are one, of the first's kind."""
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+
+    def step(acc: Column, x: Column) -> Column:
+        apart = x["s"] >= acc["at"]
+        piece = F.concat(F.substr(text, acc["at"] + 1, x["s"] - acc["at"]), F.element_at(names, x["k"] + 1))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(apart, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<string>)").alias("out"))
+    done = let(F.aggregate(spans, start, step), lambda r: F.concat(F.array_join(r["out"], ""), F.substr(text, r["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text) for each row of ``docs``: its whole text with base spans and disclosing terms generalised; null texts are empty."""
+    out = find_spans(docs, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), generalized(F.col("text"), F.col("spans")).alias(text_col))

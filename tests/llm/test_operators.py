@@ -243,6 +243,8 @@ def test_pii_terms_anywhere(spark):
     mail = text.index("secret")
     assert got[0] == got[2] == f"term:{places[0]}:{places[0] + 9},email:{mail}:{mail + 15},term:{places[1]}:{places[1] + 9}"
     assert got[10] == got[50] == got[51] == ""
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitize(docs).collect()}
+    assert clean == {i: (t or "").replace("Zarkovian", "[TERM]").replace("secret@mail.org", "[EMAIL]") if i < 3 else t or "" for i, t in rows}
 
 
 def test_secrets(table, docs):
