@@ -314,10 +314,84 @@ def test_html_join_form(spark, sf_dir, monkeypatch):
 
 
 def test_tree_matching():
-    a = ("r", (("x", ()), ("y", (("z", ()),)), ("w", ())))
-    b = ("r", (("y", (("z", ()),)), ("w", ())))
-    assert html.tree_match(a, b) == (4, ((1, 0), (2, 1)))
-    assert html.tree_match(a, ("q", ())) == (0, ())
+    a, b = html.Tree("0 r\n1 x\n1 y\n2 z\n1 w"), html.Tree("0 r\n1 y\n2 z\n1 w")
+    assert html.tree_match(a, b) == {0: 0, 1: 2, 2: 3, 3: 4}
+    assert html.tree_match(a, html.Tree("0 q")) == {}
+    html.add_shape(b, a)
+    assert b.text() == "0 r\n1 x\n1 y\n2 z\n1 w"
+    rng = random.Random(4)
+    for _ in range(40):  # the size of the match against all order-preserving ones
+        trees = []
+        for _ in range(2):
+            lines, depth = ["0 r"], 0
+            for _ in range(rng.randint(0, 7)):
+                depth = rng.randint(1, depth + 1)
+                lines.append(f"{depth} {rng.choice('ab')}")
+            trees.append(html.Tree("\n".join(lines)))
+        x, y = trees
+
+        def most(p, q, x=x, y=y):
+            if x.labels[p] != y.labels[q]:
+                return 0
+
+            def row(u, v):
+                if not u or not v:
+                    return 0
+                own = most(u[0], v[0])
+                return max(row(u[1:], v), row(u, v[1:]), own and own + row(u[1:], v[1:]))
+
+            return 1 + row(x.kids[p], y.kids[q])
+
+        match = html.tree_match(x, y)
+        assert len(match) == most(0, 0) and all(x.labels[p] == y.labels[q] for q, p in match.items())
+
+
+def test_html_probes(spark):
+    """Nothing of an article is lost: refrains, recrawls, odd class names, forms, formulas; deep and long pages do not crash."""
+    song = "<article><h1>Song</h1>" + "".join(f"<p>Verse {i}</p><p>Refrain la la</p><p>Oh yes</p>" for i in range(6)) + "</article>"
+    assert extracted(spark, [song]) == [["Song", *(x for i in range(6) for x in (f"Verse {i}", "Refrain la la", "Oh yes"))]]
+    crawls = [f"<article><h1>Crawl {i}</h1><p>Text {i % 10} first</p><p>Text {i % 10} second</p></article>" for i in range(30)] + ["<article><h1>Again</h1><p>Text 0 first</p><p>Text 0 second</p></article>"] * 40
+    for i, got in enumerate(extracted(spark, crawls)):
+        assert got == [f"Crawl {i}" if i < 30 else "Again", f"Text {i % 10 if i < 30 else 0} first", f"Text {i % 10 if i < 30 else 0} second"]
+    odd = [
+        '<div class="layout has-sidebar"><article><p>One</p></article></div>', '<div id="content" class="no-sidebar"><p>Two</p></div>', "<form id=f><div><h1>T</h1><p>Three</p><button>Go</button></div></form>",
+        '<p>See <a class="related" href="x">this</a> and <math><mi>x</mi><mo>+</mo><mn>1</mn></math> end.</p>', "<form><p>Only</p></form>", '<div class="widget"><p>Whole</p></div>',
+        "<script><!-- no end </script><p>After</p>", "<head><title>t</title><p>Open head",
+    ]
+    assert [extracted(spark, [x])[0] for x in odd] == [["One"], ["Two"], ["T", "Three"], ["See this and x+1 end."], ["Only"], ["Whole"], ["After"], ["Open head"]]
+    large = ["<div>" * 100_000 + "deep" + "</div>" * 100_000, "<script>var a = '</p>';</script>" * 300_000 + "<p>end", "</b></p>" * 100_000 + "x", "<p>a<b>" * 50_000, "<" * 200_000]
+    got = extracted(spark, large)
+    assert got[:3] == [["deep"], ["end"], ["x"]] and got[3] == ["a"] * 50_000 and got[4][0].startswith("<<<")
+
+
+def test_html_alignment_decides(spark, monkeypatch):
+    """Hosts without articles, landmarks or classes, with two layouts: a plain count of texts by place of the layout gives the template."""
+    rng = random.Random(8)
+    bodies, layouts = [], []
+    for i in range(60):
+        own = [f"Own {i} {k} {rng.random()}" for k in range(rng.randint(1, 4))]
+        head, foot = "<div><ul><li>Home</li><li>About</li></ul></div>", "<div><h3>Legal</h3><p>All is well</p></div>"
+        extra = "<div><table><tr><td>Weather</td></tr></table></div>" if i % 3 else ""
+        if i % 2:
+            bodies.append(f"{head}{extra}<div><h2>Title {i}</h2>{''.join(f'<p>{x}</p>' for x in own)}</div>{foot}")
+        else:
+            bodies.append(f"<table><tr><td>Index<td>Search</tr></table><div><h2>Title {i}</h2>{''.join(f'<blockquote>{x}</blockquote>' for x in own)}</div><ol><li>Mail us</ol>{extra}")
+        # a text of the template in a slot of the content is content
+        bodies[-1] = bodies[-1].replace("</h2>", "</h2><p>Home</p>", 1) if i == 7 else bodies[-1]
+        layouts.append([f"Title {i}", *(["Home"] if i == 7 else []), *own])
+    for limit in (html.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(html, "BROADCAST_BYTES", limit)
+        assert extracted(spark, bodies) == layouts
+        monkeypatch.setattr(html, "MERGED_SHAPES", 1)  # merged in parts
+
+
+def test_html_columns_and_edges(spark):
+    names = ["host", "shape", "slot", "text", "copy", "layout", "n", "fixed", "n_chars", "part", "node"]
+    page = "<nav>x</nav><p>Body</p>"
+    rows = [(None, "http://a/1", page), (5, None, page), (5, None, page), (6, "http://a/2", None), (7, "http://a/3", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", *(f"{i} AS `{c}`" for i, c in enumerate(names)))
+    got = sorted(((r["page_id"], r["text"]) for r in html.extract_text(pages).collect()), key=str)
+    assert got == sorted([(None, "Body"), (5, "Body"), (5, "Body"), (6, ""), (7, "")], key=str)
 
 
 def test_empty_and_repeated(spark, sf_dir, tmp_path):
