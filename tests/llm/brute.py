@@ -77,6 +77,30 @@ def components(ids, fps, radius=2):
     return [least[find(i)] for i in range(len(fps))]
 
 
+def shingles(text, words=5):
+    w = SPACED.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def near_groups(texts, least=0.8):
+    """Class of each text by exact similarity, from all pairs that share a shingle; texts without words are one class."""
+    sets, root, having = [shingles(t) for t in texts], list(range(len(texts))), {}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, own in enumerate(sets):
+        shared = Counter(j for s in own or [()] for j in having.get(s, ()))
+        for j, n in shared.items():
+            if not own or n >= least * (len(own) + len(sets[j]) - n):
+                root[find(i)] = find(j)
+        for s in own or [()]:
+            having.setdefault(s, []).append(i)
+    return [find(i) for i in range(len(texts))]
+
+
 def decontam(texts, items, window=13):
     items = [(str(k), ALNUM.findall((t or "").translate(LOWER))) for k, t in items]
     known = {}

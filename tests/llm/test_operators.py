@@ -6,7 +6,7 @@ import re
 import pandas as pd
 import pytest
 
-from formulake.llm import decontam, html, licenses, linededup, packing, pii, quality, queries, secrets, simhash, tokens
+from formulake.llm import decontam, html, licenses, linededup, neardup, packing, pii, quality, queries, secrets, simhash, tokens
 
 from . import brute
 
@@ -160,6 +160,33 @@ def test_near_links_splits_hot_shards(spark):
     assert all(len(x) == 1 for x in groups.values()) and len({x for g in groups.values() for x in g}) == len(groups)
 
 
+def edited(rng, text, share):
+    """The text with about ``share`` of its words replaced, dropped or doubled."""
+    out = []
+    for w in text.split():
+        kind = rng.random() / share
+        out += [w] if kind > 1 else [] if kind < 0.3 else [w, w] if kind < 0.5 else [f"{w}{rng.randint(0, 9)}"]
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("limit", [neardup.SHARD_LIMIT, 6])
+def test_near_groups(spark, docs, limit):
+    """Groups by exact similarity, also where shards and groups are split; near copies at every distance."""
+    rng = random.Random(6)
+    texts = list(docs.text[::3] if limit == 6 else docs.text)
+    long = [t for t in texts if t and 60 < len(t.split()) < 1000]
+    texts += [edited(rng, rng.choice(long), s) for s in (0.005, 0.01, 0.015, 0.02, 0.025, 0.03) for _ in range(40)]
+    one = long[0]  # a hot group of different texts
+    texts += [edited(rng, one, 0.004) for _ in range(60)]
+    expected = brute.near_groups(texts)
+    rows, groups = neardup.near_groups(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5), limit=limit)
+    of = {r["same"]: r["group"] for r in groups.collect()}
+    got = {int(r["id"]): of.get(r["same"], r["same"]) for r in rows.collect()}
+    pairs = {(expected[i], got[i]) for i in range(len(texts))}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    assert max(expected.count(c) for c in set(expected)) > 40
+
+
 def test_decontamination(spark, sf_dir, table, docs, monkeypatch):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("cast(item_id AS string) item_id", "text")
     extra = spark.createDataFrame([("s1", "a b c"), ("s2", "Emoji"), ("n", None), ("s1", "one two")], "item_id string, text string")

@@ -38,8 +38,10 @@ def test_whole_pipeline(spark, sf_dir, tmp_path):
         expected[r["doc_id"]] = linededup.without(lines, later) if later else r["text"]
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in steps[1][1].collect()} == {k: (t, len(t)) for k, t in expected.items()}
     rows = sorted(steps[2][0].collect(), key=lambda r: r["doc_id"])
-    label = brute.components([r["doc_id"] for r in rows], [brute.fingerprint(r["text"]) for r in rows])
-    assert ids(steps[2][1]) == {r["doc_id"] for r, c in zip(rows, label, strict=True) if r["doc_id"] == c}
+    groups = {}
+    for r, c in zip(rows, brute.near_groups([r["text"] for r in rows]), strict=True):
+        groups.setdefault(c, r["doc_id"])
+    assert ids(steps[2][1]) == set(groups.values()) and steps[2][1].count() == len(groups)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     rows = steps[3][0].collect()
     found = list(brute.decontam([r["text"] for r in rows], items))
@@ -77,6 +79,16 @@ def test_stage_edges(spark, sf_dir, n):
         assert out.columns == wide.columns and all(r[c] == i for r in rows for i, c in enumerate(names))
     assert stage(spark, docs.limit(0), sf_dir).count() == 0
     if n == 2:
-        assert sum(r["doc_id"] == real[0][0] for r in rows) == 1
+        assert sum(r["doc_id"] == real[0][0] for r in rows) == 1 and {r["doc_id"] for r in rows} >= {None, 10**7} and 10**7 + 1 not in {r["doc_id"] for r in rows}
     if n in (1, 3, 4):
         assert {r["doc_id"] for r in rows} >= {None, 10**7, 10**7 + 1}
+
+
+def test_near_dedup_by_row(spark, sf_dir):
+    """Rows of one id are documents of their own; rows without id take part, after the others."""
+    word = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    a, b, c = word, word.upper().replace("PI", "other"), "quite another text of some more words that nobody else has"
+    rows = [(1, a), (5, a), (5, c), (None, a), (None, b + " x"), (None, b + " x"), (7, c), (9, None), (10, ""), (11, " "), (12, "short text"), (13, "Short  text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.simhash_near_dedup(spark, docs, sf_dir).collect()), key=str)
+    assert got == sorted([(1, a), (5, c), (None, b + " x"), (9, None), (12, "short text")], key=str)
