@@ -12,8 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formulake.llm import decontam, linededup, packing, quality, simhash, tokens
-from formulake.llm.common import checkpoint_dir, cut, read
+from formulake.llm import decontam, linededup, neardup, packing, quality, tokens
+from formulake.llm.common import checkpoint_dir, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; rows equal in all columns are one document. Rows without id stay."""
-    found = cut(simhash.near_duplicates(docs).select("doc_id", "component_id"))
-    gone = found.filter("doc_id <> component_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
-    repeated = not found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-    return kept.dropDuplicates() if repeated else kept
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays; rows equal in all columns are one document."""
+    return neardup.drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
