@@ -39,12 +39,12 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_c
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_for(path, to_bytes)
+        encoder = encoder_for(path, to_bytes, b"".join)
         end, part, seen = to_bytes([end_id]), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for f in byte_batches(frames, text_col):
+        for f, texts, _ in byte_batches(frames, text_col):
             out = []
-            for key, parts in zip(f[id_col].tolist(), encoder.encode(f[text_col].fillna("").tolist()), strict=True):
-                ids = memoryview(b"".join(parts) + end)
+            for key, encoded in zip(f[id_col].tolist(), encoder.encode(texts), strict=True):
+                ids = memoryview(encoded + end)
                 for k, (start, length) in enumerate(piece_bounds(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + length)]
                     out.append((key, k, start, length, zlib.crc32(own), part, seen[length], *([np.frombuffer(own, "<u4").tolist()] if with_ids else ())))
