@@ -6,6 +6,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,8 +25,11 @@ _HINTS = ("password", "passwd", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
-#: Known digests (MD5, SHA-1, SHA-2 in hexadecimal) and identifiers (UUID, plain numbers, words joined by marks) are no secrets.
-_KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|[A-Za-z+/_=-]+|(?:[A-Za-z]+|[0-9]+)(?:[-_/=](?:[A-Za-z]+|[0-9]+)?)*")
+#: Known digests (MD5, SHA-1, SHA-2 in hexadecimal) and identifiers (UUID, plain numbers) are no secrets.
+_KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+")
+#: Identifiers fall into words at marks, digits and changes of case; words of so many letters on average, each well tokenised, make one.
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+MEAN_PIECE = 3.5
 
 
 def load_encoding(path: str):
@@ -51,16 +55,27 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
+def identifier(run: str, n_tokens) -> bool:
+    """Whether ``run`` is made of words that the vocabulary knows, beside numbers and marks."""
+    pieces = _PIECE.findall(run)
+    letters = sum(map(len, pieces))
+    return bool(pieces) and letters >= MEAN_PIECE * len(pieces) and all(len(x) >= MAX_RATIO * n_tokens(x) for x in pieces)
+
+
 def random_spans(text: str, base: list[tuple[int, str, int]], n_tokens) -> list[tuple[int, str, int]]:
-    """Strings of ``MIN_RANDOM`` characters or more outside the base spans, with few characters per token."""
+    """Strings of ``MIN_RANDOM`` characters or more outside the base spans, with few characters per token, but for known digests and identifiers."""
     if max(map(len, text.split()), default=0) < MIN_RANDOM:
         return []
-    found = []
+    found, k = [], 0
+    base = sorted((a, b) for a, _, b in base)
+    ends = list(accumulate((b for _, b in base), max))
     for m in _RUN.finditer(text):
         run = m.group()
-        if _KNOWN.fullmatch(run) or any(a < m.end() and m.start() < b for a, _, b in base):
+        while k < len(base) and ends[k] <= m.start():
+            k += 1
+        if k < len(base) and base[k][0] < m.end() or _KNOWN.fullmatch(run):
             continue
-        if len(run) < MAX_RATIO * n_tokens(run):
+        if len(run) < MAX_RATIO * n_tokens(run) and not identifier(run, n_tokens):
             found.append((m.start(), "random", m.end()))
     return found
 
@@ -73,7 +88,8 @@ def scan_secrets(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """One row for each row of ``docs``: id, counts by base kind, digest of the base spans, all spans.
 
     Offsets are code points, ends exclusive. Null texts count as empty; repeated
-    rows and null ids give a row each; an empty table gives none.
+    rows and null ids give a row each; an empty table gives none. Texts of any
+    length are scanned whole.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -156,6 +156,32 @@ def secrets(text):
     return *(sum(k == x for _, k, _ in found) for x in range(3)), spans
 
 
+def random_runs(text, spans, count):
+    """Runs of 20 characters or more outside ``spans`` with less than two characters a token, but for digests, UUIDs, numbers, and words joined."""
+    found, at = [], 0
+    text = text or ""
+    allowed = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        run = text[at:end]
+        if len(run) >= 20 and not any(a < end and at < b for a, b in spans):
+            digest = len(run) in (32, 40, 56, 64, 96, 128) and not set(run) - set("0123456789abcdefABCDEF")
+            uuid = [len(x) for x in run.split("-")] == [8, 4, 4, 4, 12] and not set(run) - set("0123456789abcdefABCDEF-")
+            words, before = [], ""
+            for c, after in zip(run, [*run[1:], ""], strict=True):
+                if c.isalpha():
+                    new = not before.isalpha() or before.islower() and c.isupper() or before.isupper() and c.isupper() and after.islower()
+                    words = [*words, c] if new else [*words[:-1], words[-1] + c]
+                before = c
+            joined = bool(words) and sum(map(len, words)) >= 3.5 * len(words) and all(len(w) >= 2 * count(w) for w in words)
+            if not (digest or uuid or not words or joined) and len(run) < 2 * count(run):
+                found.append((at, end))
+        at = end + 1
+    return found
+
+
 #: Texts that try the edges of every operator.
 EDGE = [
     None, "", " ", "\n\n", "one", "two words", "a b c", "İ ſecret TOKEN = 'abcdEFGH12345' Password:  xx password=\"a.b-c+d/e_f=g", "api_key=ABCDEFGH APIKEY : 12345678, tokentoken=12345678",

@@ -62,6 +62,33 @@ def test_other_tokenizers(table, docs, name):
             assert got[key] == (count(text or ""),)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_chunks(docs, monkeypatch, name):
+    """Long texts cut into chunks, small batches, a small table: counts stay those of the whole texts."""
+    path = tokens.vocabulary(name)
+    if name.endswith(".model"):
+        import sentencepiece
+
+        count = lambda t: len(sentencepiece.SentencePieceProcessor(model_file=path).encode(t))
+    else:
+        from tokenizers import Tokenizer
+
+        count = lambda t, e=Tokenizer.from_file(path): len(e.encode(t, add_special_tokens=False).ids)
+    texts = [t or "" for t in [*docs.text[:60], *brute.EDGE]]
+    texts += ["no\xa0break space and more words here it's 7 o'clock ok " * 20, "one <|endoftext|> two three <|startoftext|> " * 30, "漢字 かな " * 200, "a  b   c \n\n d\t e " * 90, "x" * 3000]
+    for chunk, batch, table in ((40, 100, 10), (7, 1 << 20, 250_000)):
+        for k, v in (("CHUNK_CHARS", chunk), ("BATCH_BYTES", batch), ("CACHE_PARTS", table)):
+            monkeypatch.setattr(tokens, k, v)
+        encoder = tokens.PartEncoder(path, len, sum)
+        assert encoder.chunk_end and len(list(encoder._chunks("some words of a text " * 50))) > 10
+        got = encoder.encode(texts)
+        for text, n in zip(texts, got, strict=True):
+            assert n == count(text), repr(text)[:100]
+        if name.startswith("byte"):
+            ids = tokens.PartEncoder(path, tokens.to_bytes, b"".join).encode(texts)
+            assert [len(x) // 4 for x in ids] == got
+
+
 def test_packing(table, docs):
     got = packing.pack_documents(table, tokens.vocabulary()).toPandas()
     expected = {(key, k): (a, n, c) for key, ids in zip(docs.doc_id, library(docs.text), strict=True) for k, a, n, c in brute.pieces([*ids, 2])}
@@ -274,18 +301,33 @@ def test_pii_terms_anywhere(spark):
     assert clean == {i: (t or "").replace("Zarkovian", "[TERM]").replace("secret@mail.org", "[EMAIL]") if i < 3 else t or "" for i, t in rows}
 
 
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
 def test_secrets(table, docs):
-    got = by_id(secrets.scan_secrets(table, tokens.vocabulary("byte_bpe_50k.tiktoken")), ["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+    got = by_id(secrets.scan_secrets(table, tokens.vocabulary(VOCABULARY)), ["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+    count = lambda x, e=secrets.load_encoding(tokens.vocabulary(VOCABULARY)): len(e.encode_ordinary(x))
     for key, text in zip(docs.doc_id, docs.text, strict=True):
         *n, spans = brute.secrets(text)
         assert got[key][:4] == (*n, brute.sha(spans)), repr(text)[:200]
-        assert set(filter(None, spans.split(","))) <= set(got[key][4].split(","))
+        base = [x.split(":") for x in spans.split(",") if x]
+        more = brute.random_runs(text, [(int(a), int(b)) for _, a, b in base], count)
+        order = [(int(a), ("assign", "access", "hex").index(k), int(b), k) for k, a, b in base] + [(a, 3, b, "random") for a, b in more]
+        assert got[key][4] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(order)), repr(text)[:200]
 
 
 def test_secrets_random(spark):
-    rows = [(1, "key xQ9vT2mZk8Lw4RpB7nYc1J end"), (2, "id 123e4567-e89b-12d3-a456-426614174000 internationalization-of-everything"), (3, None)]
-    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), tokens.vocabulary("byte_bpe_50k.tiktoken")).collect()}
-    assert got == {1: "random:4:26", 2: "", 3: ""}
+    """Random strings with and without digits; digests, UUIDs and joined words are none."""
+    rng = random.Random(2)
+    letters, both = ("".join(rng.choice(a) for _ in range(24)) for a in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    plain = [
+        "id 123e4567-e89b-12d3-a456-426614174000 internationalization-of-everything", "getUserAccountByIdentifier_2024_final SomeVeryLongClassNameFactoryBean", "D41D8CD98F00B204E9800998ECF8427E", "2024-01-01/2025-12-31/00000001",
+        "shipping-label-00012345-large-998877-001", "MAX_CONNECTION_RETRY_COUNT_LIMIT", "", None,
+    ]
+    odd = ["xQ9vT2mZk8Lw4RpB7nYc1J", "xQvTmZkLwRpBnYcJAbCdEf", letters, both]
+    rows = [(i, t) for i, t in enumerate(plain)] + [(100 + i, f"key {x} end") for i, x in enumerate(odd)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), tokens.vocabulary(VOCABULARY)).collect()}
+    assert got == {i: "" for i in range(len(plain))} | {100 + i: f"random:4:{4 + len(x)}" for i, x in enumerate(odd)}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><ul><li><a>Home</a></ul></nav>
