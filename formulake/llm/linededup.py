@@ -1,15 +1,16 @@
 """Line dedup: repeated windows of three consecutive lines lose their later occurrences.
 
-A line ends at a line end. Long ones are wrapped first, at the end of a
-sentence of 8 words or more, and after 16 words at the latest, so a repeated
-passage of over 50 words holds whole windows even where it stands in one line.
-Windows are hashed (128 bits). The first occurrence of a hash, by document id
-and position, stays; lines inside any later one are removed.
+A line ends at a line end. Lines of over 16 words are wrapped first, by their
+content: a line ends after a word whose boundary ranks before those of the three
+words on either side. The rank follows from the words beside the boundary, ends
+of sentences first, so a passage is wrapped alike wherever it stands, but for
+four words at its ends. Windows are hashed (128 bits). Those whose first half
+occurs again are looked at whole; the first occurrence, by document id and
+position, stays; lines inside any later one are removed.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,80 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WINDOW = 3
-_LINE = re.compile(r"(?:\s*+\S++){8,15}?(?<=[.!?])(?!\S)\s*+|(?:\s*+\S++){1,16}+\s*+|\s+")
+#: Longer lines are wrapped; so are longer gaps between the boundaries found.
+LONG_LINE, LONG_GAP = 16, 15
+#: A boundary ranks before this many on either side.
+REACH = 3
+#: Characters of a text that are wrapped at once; longer texts are cut before a word about there.
+SPAN_CHARS = 1 << 20
+
+_LAST = np.uint64((1 << 64) - 1)
+
+
+def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h = (h ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+def _ranks(chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Rank of the boundary after each word but the last: from the lengths of the words beside it, two characters of each, and whether a sentence ends."""
+    size = end - start
+    last, first = chars[end[:-1] - 1], chars[start[1:]]
+    h = _mix(np.zeros(len(last), np.uint64), last)
+    for x in (chars[np.maximum(end[:-1] - 2, start[:-1])], size[:-1], first, chars[np.minimum(start[1:] + 1, end[1:] - 1)], size[1:]):
+        h = _mix(h, x)
+    ends = (last == 46) | (last == 33) | (last == 63)
+    return (h >> np.uint64(2)) | (np.where(ends, 0, 1).astype(np.uint64) << np.uint64(62))
+
+
+def _cuts(text: str) -> list[int]:
+    """Where lines begin, after the first: behind line ends, and at words that begin a wrapped line."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    space = (chars == 32) | ((chars >= 9) & (chars <= 13))
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    breaks = np.flatnonzero(chars == 10) + 1
+    line = np.searchsorted(breaks, start, side="right")
+    n = len(start)
+    if not n or np.bincount(line).max() <= LONG_LINE:
+        return breaks.tolist()
+    rank = np.full(n + 2 * REACH, _LAST)  # the last word of a line has no boundary
+    same = line[1:] == line[:-1]
+    rank[REACH : REACH + n - 1][same] = _ranks(chars, start, end)[same]
+    wide = np.concatenate([[-1] * REACH, line, [-1] * REACH])
+    own, chosen = rank[REACH : REACH + n], np.bincount(line)[line] > LONG_LINE
+    chosen &= own < _LAST
+    for d in range(1, REACH + 1):
+        before, after = slice(REACH - d, REACH - d + n), slice(REACH + d, REACH + d + n)
+        chosen &= (wide[before] != line) | (own < rank[before])
+        chosen &= (wide[after] != line) | (own <= rank[after])
+    # Gaps without any boundary are cut at their least, over and over.
+    stops = np.flatnonzero(chosen | np.append(line[1:] != line[:-1], True))
+    heads = np.concatenate([[0], stops[:-1] + 1])
+    todo = list(zip(heads[stops - heads >= LONG_GAP].tolist(), stops[stops - heads >= LONG_GAP].tolist(), strict=True))
+    counts = np.bincount(line)
+    while todo:
+        a, b = todo.pop()
+        if b - a + 1 <= (LONG_GAP if counts[line[a]] > LONG_LINE else LONG_LINE):
+            continue
+        at = a + REACH + int(own[a + REACH : b - REACH].argmin())
+        chosen[at] = True
+        todo += [(a, at), (at + 1, b)]
+    return sorted({*breaks.tolist(), *start[np.flatnonzero(chosen) + 1].tolist()})
 
 
 def wrapped_lines(text: str) -> list[str]:
     """The text's lines, long ones wrapped; joined they give the text."""
-    return [part for line in text.splitlines(keepends=True) for part in _LINE.findall(line)]
+    out, at = [], 0
+    while at < len(text):
+        stop = at + SPAN_CHARS
+        while stop < len(text) and not (text[stop - 1].isspace() and not text[stop].isspace()):
+            stop += 1
+        span = text if not at and stop >= len(text) else text[at:stop]
+        cuts = [0, *_cuts(span), len(span)]
+        out += [span[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+        at = stop
+    return out
 
 
 def window_digests(lines: list[str], window: int = WINDOW) -> list[bytes]:
@@ -38,16 +107,16 @@ def window_digests(lines: list[str], window: int = WINDOW) -> list[bytes]:
 
 
 def without(lines: list[str], starts: list[int], window: int = WINDOW) -> str:
-    """The text without the lines that the windows at ``starts`` cover (counted over lines with words)."""
+    """The text without the lines that the windows at ``starts`` cover (counted over lines with words); a line's end goes with the whole line only."""
     worded = [i for i, x in enumerate(lines) if x.strip()]
     gone = {worded[k + j] for k in starts for j in range(window)}
     kept = []
     for i, x in enumerate(lines):
         if i not in gone:
             kept.append(x)
-        elif x.endswith(("\n", "\r")) and kept and not kept[-1].endswith(("\n", "\r")):
+        elif x.endswith("\n") and kept and not kept[-1].endswith("\n"):
             kept.append("\n")  # the line's head stays, so its end does
-    return "".join(kept).strip("\n") if gone else "".join(lines)
+    return "".join(kept)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -64,24 +133,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            own = [window_digests(wrapped_lines(text)) for text in f["text"]]
-            n = np.array([len(x) for x in own], np.int64)
-            halves = np.frombuffer(b"".join(d for x in own for d in x), "<i8").reshape(-1, 2)
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield pd.DataFrame({"high": halves[:, 0], "low": halves[:, 1], "id": f["id"].repeat(n).to_numpy(), "t": f["t"].repeat(n).to_numpy(), "k": k.astype(np.int32)})
+            for at in range(0, len(f), 1000):
+                g = f.iloc[at : at + 1000]
+                own = [window_digests(wrapped_lines(text)) for text in g["text"]]
+                n = np.array([len(x) for x in own], np.int64)
+                halves = np.frombuffer(b"".join(d for x in own for d in x), "<i8").reshape(-1, 2)
+                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pd.DataFrame({"high": halves[:, 0], "low": halves[:, 1], "id": g["id"].repeat(n).to_numpy(), "t": g["t"].repeat(n).to_numpy(), "k": k.astype(np.int32)})
+
+    def halves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), 1000):
+                digests = b"".join(d for text in f["text"].iloc[at : at + 1000] for d in window_digests(wrapped_lines(text)))
+                yield pd.DataFrame({"high": np.frombuffer(digests, "<i8")[::2]})
 
     texts = docs.select(F.coalesce(F.col(id_col), no_id).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")).filter("text IS NOT NULL")
     found = texts.mapInPandas(windows, f"high long, low long, id {kind}, t long, k int")
+    # Most windows occur once. Counts of half digests combine before the shuffle, so a window that many documents share is one row a task.
+    again = texts.select("text").mapInPandas(halves, "high long").groupBy("high").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("high")
+    # As tables of their own they meet the windows in joins whose skewed partitions can be split.
+    some = cut(found.join(cut(again), "high", "left_semi"))
     place = F.struct("id", "t", "k")
-    # Counts and first places combine before the shuffle, so a window that many documents share is one row a task.
-    repeated = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    # As a table of its own it meets the windows in a join whose skewed partitions can be split.
-    repeated = cut(repeated)
-    later = found.join(repeated, ["high", "low"]).filter(~place.eqNullSafe(F.col("first")))
+    first = cut(some.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    later = some.join(first, ["high", "low"]).filter(~place.eqNullSafe(F.col("first")))
     covered = cut(later.groupBy("id", "t").agg(F.collect_set("k").alias("starts")))
-
-    names = docs.columns
-    return _rebuilt(docs, covered, no_id, names, id_col, text_col, length_col)
+    return _rebuilt(docs, covered, no_id, docs.columns, id_col, text_col, length_col)
 
 
 def _rebuilt(docs: DataFrame, covered: DataFrame, no_id: Column, names: list[str], id_col: str, text_col: str, length_col: str | None) -> DataFrame:

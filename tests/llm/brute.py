@@ -119,6 +119,61 @@ def decontam(texts, items, window=13):
         yield len(w), len(hit), len(own), sha(",".join(sorted(own))), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
+def _rank(word, after):
+    """Rank of the boundary between two words: ends of sentences first, then a hash of lengths and edges."""
+    m, h = (1 << 64) - 1, 0
+    for x in (ord(word[-1]), ord(word[-2] if len(word) > 1 else word[0]), len(word), ord(after[0]), ord(after[1] if len(after) > 1 else after[-1]), len(after)):
+        h = (h ^ x) * 0x9E3779B97F4A7C15 & m
+        h ^= h >> 32
+    return word[-1] not in ".!?", h >> 2
+
+
+def wrap(text):
+    """Lines of over 16 words end after words whose boundary ranks before the three on either side, and in gaps of over 15 words at the least."""
+    out = []
+    for line in re.findall("[^\n]*\n|[^\n]+", text):
+        found = list(SPACED.finditer(line))
+        if len(found) <= 16:
+            out.append(line)
+            continue
+        rank = [_rank(a.group(), b.group()) for a, b in zip(found, found[1:], strict=False)]
+        ends = [i for i, r in enumerate(rank) if all(r < x for x in rank[max(0, i - 3) : i]) and all(r <= x for x in rank[i + 1 : i + 4])]
+
+        def gaps(a, b, rank=rank):
+            if b - a + 1 <= 15:
+                return []
+            at = min(range(a + 3, b - 3), key=lambda i: rank[i])
+            return [*gaps(a, at), at, *gaps(at + 1, b)]
+
+        for a, b in zip([0, *(i + 1 for i in ends)], [*ends, len(found) - 1], strict=True):
+            ends = [*ends, *gaps(a, b)]
+        cuts = [0, *(found[i + 1].start() for i in sorted(ends)), len(line)]
+        out += [line[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    return out
+
+
+def line_dedup(rows):
+    """The texts of (id, text) rows without later places of runs of three lines."""
+    order = sorted({(k is not None, k or 0, t) for k, t in rows if t is not None}, key=lambda x: (x[0], x[1]))
+    first, gone = {}, {}
+    for _, key, t in order:
+        lines = [(i, x.strip()) for i, x in enumerate(wrap(t)) if x.strip()]
+        for k in range(len(lines) - 2):
+            window = tuple(x for _, x in lines[k : k + 3])
+            if first.setdefault(window, (key, t, k)) != (key, t, k):
+                gone.setdefault((key, t), set()).update(i for i, _ in lines[k : k + 3])
+    out = []
+    for key, t in rows:
+        kept = ""
+        for i, x in enumerate(wrap(t) if t else []):
+            if i not in gone.get((key or 0, t), ()):
+                kept += x
+            elif x.endswith("\n") and kept and not kept.endswith("\n"):
+                kept += "\n"
+        out.append(None if t is None else kept)
+    return out
+
+
 def luhn(d: str) -> bool:
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
 

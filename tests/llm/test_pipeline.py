@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from formulake.llm import linededup, tokens
+from formulake.llm import tokens
 
 from . import brute
 
@@ -30,12 +30,8 @@ def test_whole_pipeline(spark, sf_dir, tmp_path):
         kept = steps[-1][1]
     # line dedup: rows stay; near-dedup, decontamination: against brute force on the stage's own input
     assert ids(steps[1][0]) == ids(steps[1][1])
-    first, expected = {}, {}
-    for r in sorted(steps[1][0].collect(), key=lambda r: r["doc_id"]):
-        lines = linededup.wrapped_lines(r["text"])
-        words = [x.strip() for x in lines if x.strip()]
-        later = [i for i in range(len(words) - 2) if first.setdefault(tuple(words[i : i + 3]), (r["doc_id"], i)) != (r["doc_id"], i)]
-        expected[r["doc_id"]] = linededup.without(lines, later) if later else r["text"]
+    rows = [(r["doc_id"], r["text"]) for r in steps[1][0].collect()]
+    expected = {k: t for (k, _), t in zip(rows, brute.line_dedup(rows), strict=True)}
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in steps[1][1].collect()} == {k: (t, len(t)) for k, t in expected.items()}
     rows = sorted(steps[2][0].collect(), key=lambda r: r["doc_id"])
     groups = {}
