@@ -5,7 +5,6 @@ Each operator works on distinct formulas and is joined back, so copies cost noth
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,20 +12,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import algebra as A
 from ..functions import expr as E
 
 Frames = Iterator[pd.DataFrame]
-#: Seconds that one formula may take in a proof or a search; longer ones end as unsupported.
-BUDGET = 5.0
 
 
-def _distinct(rows: DataFrame, formula: str, work: Callable[[str], list[tuple]], schema: str) -> DataFrame:
-    """``work`` on each distinct formula, its rows joined back to all rows of the formula."""
+def _distinct(rows: DataFrame, formula: str, work: Callable[[str], list[tuple]], schema: str, failed: list[tuple] = ()) -> DataFrame:
+    """``work`` on each distinct formula, its rows joined back to all rows of the formula. A formula on which it fails gives the rows ``failed``."""
     names = [c.strip().split(" ")[0] for c in schema.split(", ")]
 
+    def alone(text: str) -> list[tuple]:
+        try:
+            return work(text)
+        except Exception:  # one formula fails, not the job
+            return list(failed)
+
     def run(frames: Frames) -> Frames:
         for f in frames:
-            out = [(x, *row) for x in f["__f"] for row in work(x)]
+            out = [(x, *row) for x in f["__f"] for row in alone(x)]
             yield pd.DataFrame(out, columns=["__f", *names])
 
     done = rows.select(F.col(formula).alias("__f")).filter("__f IS NOT NULL").distinct().mapInPandas(run, f"__f string, {schema}")
@@ -42,7 +46,8 @@ def fingerprints(rows: DataFrame, formula: str = "formula") -> DataFrame:
             return [(False, None, [], {}, 0, 0, [], [], None)]
         return [(True, E.show(t), E.symbols(t), E.operations(t), E.depth(t), E.complexity(t), E.functions(t), E.symmetries(t), E.structure_hash(t))]
 
-    return _distinct(rows, formula, work, "parsed boolean, canonical string, symbols array<string>, operations map<string,int>, depth int, complexity int, functions array<string>, symmetries array<string>, hash string")
+    schema = "parsed boolean, canonical string, symbols array<string>, operations map<string,int>, depth int, complexity int, functions array<string>, symmetries array<string>, hash string"
+    return _distinct(rows, formula, work, schema, [(False, None, [], {}, 0, 0, [], [], None)])
 
 
 FEATURES = 49
@@ -83,7 +88,7 @@ def embeddings(rows: DataFrame, formula: str = "formula") -> DataFrame:
         t = E.parse(text)
         return [(t is not None, features(t) if t is not None else [0.0] * FEATURES)]
 
-    return _distinct(rows, formula, work, "parsed boolean, features array<double>")
+    return _distinct(rows, formula, work, "parsed boolean, features array<double>", [(False, [0.0] * FEATURES)])
 
 
 # What edge-case tests put in.
@@ -108,53 +113,72 @@ def run_tests(text: str, identity: str | None = None, points: int = 100, span: f
                 out += [(kind, bool(x), False) for x in good(v)]
             except (KeyError, OverflowError, TypeError):
                 out += [(kind, False, True)] * n
-    form = E.normal(plain)
-    out.append(("round_trip", E.normal(form) == form, False))
+    form = A.simplified(plain)
+    out.append(("round_trip", A.same(form, A.simplified(form)) is True, False))
+    out += _expansion_trip(plain, own, span, seed)
     return out
 
 
+def _expansion_trip(t: E.Tree, own: list[str], span: float, seed: int) -> list[tuple[str, bool, bool]]:
+    """Where expanding changes the formula: whether it has the values of the factored expansion at three points."""
+    try:
+        wide = A.expanded(t)
+        if wide == t or not own:
+            return []
+        rng = np.random.default_rng(seed)
+        values = {s: rng.uniform(-span, span, 3) for s in own}
+        a, b = (np.broadcast_to(np.asarray(E.evaluate(x, values), np.float64), (3,)) for x in (t, A.factored(wide)))
+        known = np.isfinite(a) & np.isfinite(b)
+        return [("round_trip", bool(np.all(np.abs(a - b)[known] <= 1e-8 * np.maximum(1.0, np.abs(a[known])))), False)]
+    except (E.TooLarge, KeyError, TypeError, OverflowError):
+        return [("round_trip", False, True)]
+
+
 def tests(rows: DataFrame, formula: str = "formula", points: int = 100, seed: int = 42) -> DataFrame:
     """The tests of all formulas, a row each; to be rolled up by ``validation.roll_up``."""
-    return _distinct(rows, formula, lambda x: run_tests(x, points=points, seed=seed), "test_type string, passed boolean, errored boolean")
+    return _distinct(rows, formula, lambda x: run_tests(x, points=points, seed=seed), "test_type string, passed boolean, errored boolean", [("symbolic", False, True)])
 
 
 def unary_hypotheses(text: str) -> list[tuple[str, str, list[str]]]:
-    """(type, formula, lineage) that one formula gives: functional equations, generalizations, transformations, limits, series."""
+    """(type, formula, lineage) that one formula gives, by its first symbol: functional equations, series, limits, transformations, generalizations."""
     t = E.parse(text)
     if t is None or t[0] == "eq":
         return []
     own, out = E.symbols(t), []
-    if len(own) == 1:
+    if own:
         x = own[0]
         s = ("sym", x)
-        for label, arg in (("f(2x)", E.mul(E.num(2), s)), ("f(x/2)", E.mul(E.num("1/2"), s)), ("f(-x)", E.mul(E.MINUS, s)), ("f(x+1)", E.add(s, E.ONE))):
-            new = E.substitute(t, {x: arg})
-            ratio = E.normal(E.mul(new, E.power(t, E.MINUS))) if t != E.ZERO else None
-            if ratio is not None and not E.symbols(ratio):
-                out.append(("functional_equation", f"{label} = {E.show(ratio)}*f({x})", [label]))
-        series = E.taylor(t, x)
-        if series is not None:
-            out.append(("series", E.show(series), ["taylor"]))
-        for at in ("0", "1", "-1"):
-            v = E.evaluate(t, {x: np.float64(at)}) if not set(E.functions(t)) - set(E.FUNCTIONS) else np.nan
-            if np.isfinite(v):
-                out.append(("limit", f"lim({x}->{at}) = {round(float(v), 9) + 0.0:g}", ["limit"]))
-    for x in own:
-        for name, new in (("derivative", E.derivative(t, x)), ("integral", E.integral(t, x))):
+        for label, arg in ((f"f(2*{x})", E.mul(E.num(2), s)), (f"f({x}/2)", E.mul(E.num("1/2"), s)), (f"f(-{x})", E.mul(E.MINUS, s)), (f"f({x} + 1)", E.add(s, E.ONE))):
+            out.append(("functional_equation", f"{label} = {E.show(E.substitute(t, {x: arg}))}", ["substitution", "functional_transformation"]))
+        series = E.taylor(t, x, 3)
+        if series is not None and series != t:
+            out.append(("series", E.show(series), ["taylor_expansion"]))
+        for at in ("0", "1", "-1", "oo", "-oo"):
+            v = A.limit(t, x, at)
+            if v is not None:
+                out.append(("limit", f"limit({E.show(t)}, {x}, {at}) = {E.show(v)}", ["limit_evaluation"]))
+        for name, new in (("derivative", E.derivative(t, x)), ("integral", E.integral(t, x) if len(text) < 50 else None)):
             if new is not None:
-                out.append(("transformation", E.show(E.normal(new)), [name, x]))
-    form = E.normal(t)
-    if form != t:
-        out.append(("transformation", E.show(form), ["expand"]))
+                out.append(("transformation", E.show(E.normal(new)), [name]))
+    for name, new in (("expansion", A.expanded(t)), ("factorization", A.factored(t))):
+        if new != t:
+            out.append(("transformation", E.show(new), [name]))
     if _poly(t)[1] and own:
-        out.append(("generalization", E.show(E.add(t, ("sym", "a" if "a" not in own else "a_0"))), ["polynomial"]))
-    if {"sin", "cos", "tan"} & set(E.functions(t)):
-        out.append(("generalization", f"A*({E.show(t)})", ["trigonometric"]))
-    if "exp" in E.functions(t):
-        out.append(("generalization", f"k*({E.show(t)})", ["exponential"]))
+        out.append(("generalization", E.show(E.add(t, ("sym", "a" if "a" not in own else "a_0"))), ["parameter_addition", "polynomial_extension"]))
+    if {"sin", "cos"} & set(E.functions(t)) and own:
+        wider = _each_function(t, ("sin", "cos"), lambda name, arg: E.mul(("sym", "A"), E.fn(name, E.add(arg, ("sym", "phi")))))
+        out.append(("generalization", E.show(wider), ["amplitude_scaling", "phase_shift"]))
+    if "exp" in E.functions(t) and own:
+        out.append(("generalization", E.show(_each_function(t, ("exp",), lambda name, arg: E.fn(name, E.mul(("sym", "k"), arg)))), ["parameter_scaling", "exponential_extension"]))
     return out
 
 
+def _each_function(t: E.Tree, names: tuple[str, ...], change) -> E.Tree:
+    """``t`` with each function of ``names`` replaced by ``change(name, argument)``, inner ones first."""
+    t = A._map(t, lambda c: _each_function(c, names, change))
+    return change(t[1], t[2]) if t[0] == "fn" and t[1] in names and len(t) == 3 else t
+
+
 def hypotheses(rows: DataFrame, formula: str = "formula") -> DataFrame:
     return _distinct(rows, formula, unary_hypotheses, "hypothesis_type string, hypothesis string, lineage array<string>").filter("hypothesis IS NOT NULL")
 
@@ -193,16 +217,22 @@ def pair_hypotheses(rows: DataFrame, formula: str = "formula", first: int = 20,
 # -- rules and proofs ---------------------------------------------------------------------------------
 
 
+#: Most rules of a pack; a larger one is an error, as rules travel to all tasks.
+MOST_RULES = 10_000
+
+
 def load_rules(rules: DataFrame) -> list[tuple[str, E.Tree, E.Tree, int]]:
-    """Parsed rules by falling priority, for all tasks; a pack is a few hundred rules."""
-    rows = rules.select("id", "pattern", "replacement", "priority").orderBy(F.desc("priority"), "id").limit(5000).collect()
+    """Parsed rules by falling priority, for all tasks. Rules that are shown to be no identity are left out; the others are checked where they are applied."""
+    rows = rules.select("id", "pattern", "replacement", "priority").orderBy(F.desc("priority"), "id").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"a pack has at most {MOST_RULES} rules")
     found = [(r["id"], E.parse(r["pattern"]), E.parse(r["replacement"]), r["priority"]) for r in rows]
     return [(i, p, q, n) for i, p, q, n in found if p is not None and q is not None and p[0] != "sym" and E.equal(p, q) is not False]
 
 
 def same_value(a: E.Tree, b: E.Tree, seed: int = 7) -> bool:
-    """Equal by normal form, or, where that stays open, at random points."""
-    known = E.equal(a, b)
+    """Equal by its forms, or, where that stays open, at random points."""
+    known = A.same(a, b)
     if known is not None:
         return known
     own = sorted({*E.symbols(a), *E.symbols(b)})
@@ -231,27 +261,48 @@ def rewrite_sequence(t: E.Tree, rules: list, steps: int = 20) -> list[tuple[str,
     return out
 
 
-def path(start: E.Tree, goal: E.Tree, rules: list, depth: int = 10, branches: int = 5, budget: float = BUDGET) -> list[str] | None:
-    """Rules that lead from ``start`` to ``goal``, breadth first."""
-    level, seen, end = [(start, [])], {start}, time.monotonic() + budget
-    for _ in range(depth):
+#: Most expressions that a search looks at.
+MOST_STATES = 500
+
+
+def path(start: E.Tree, goal: E.Tree, rules: list, depth: int = 10, branches: int = 5, states: int = MOST_STATES) -> tuple[list[str] | None, bool]:
+    """Rules that lead from ``start`` to ``goal``, breadth first, and whether the search was cut off at ``states`` expressions.
+
+    A level's expressions are all followed, by the first ``branches`` rules that apply to each.
+    """
+    if not same_value(start, goal):  # rules keep the value
+        return None, False
+    level, seen = [(start, [])], {start}
+    for _ in range(depth + 1):
         after = []
         for t, own in level:
             if t == goal:
-                return own
+                return own, False
             n = 0
             for name, p, q, _ in rules:
-                if n >= branches or time.monotonic() > end:
-                    break
-                new = E.rewrite(t, p, q)
+                new = E.rewrite(t, p, q) if n < branches else None
                 if new is not None and new not in seen and same_value(t, new):
+                    if new == goal:
+                        return [*own, name], False
+                    if len(seen) >= states:
+                        return None, True
                     seen.add(new)
                     after.append((new, [*own, name]))
                     n += 1
-        if not after or time.monotonic() > end:
-            return None
-        level = after[:200]
-    return next((own for t, own in level if t == goal), None)
+        level = after
+    return None, False
+
+
+def paths(rows: DataFrame, rules: DataFrame, start: str = "start", goal: str = "goal", depth: int = 10, branches: int = 5) -> DataFrame:
+    """``rows`` with the ``rules`` that lead from one formula to the other, in order (null for none), and ``cut_off``."""
+    known = load_rules(rules)
+
+    def work(text: str) -> list[tuple]:
+        a, b = (E.parse(x) for x in text.split("\n"))
+        return [(None, False)] if a is None or b is None else [path(a, b, known, depth, branches)]
+
+    both = rows.withColumn("__pair", F.concat_ws("\n", F.translate(start, "\n", " "), F.translate(goal, "\n", " ")))
+    return _distinct(both, "__pair", work, "rules array<string>, cut_off boolean", [(None, False)]).drop("__pair")
 
 
 def rewrites(rows: DataFrame, rules: DataFrame, formula: str = "formula", steps: int = 20) -> DataFrame:
@@ -265,43 +316,111 @@ def rewrites(rows: DataFrame, rules: DataFrame, formula: str = "formula", steps:
     return _distinct(rows, formula, work, "step int, rule string, result string").filter("step IS NOT NULL")
 
 
-def prove(text: str, rules: list, seed: int = 11) -> list[tuple[str, str, float]]:
-    """(method, status, confidence) of each method on an equation; status proved, disproved, unknown or unsupported."""
+# What substitutions put for a symbol; confidences by method: shown, open.
+SUBSTITUTES = (0, 1, -1, 2, -2)
+SURE = {"direct": (1.0, 0.3), "simplify": (0.9, 0.2), "algebraic": (0.95, 0.3), "solver": (1.0, 0.4)}
+NUMERIC_POINTS, NUMERIC_SPAN = 20, 10.0
+
+
+def _direct(a: E.Tree, b: E.Tree) -> bool:
+    """Whether the difference simplifies to 0."""
+    return A.simplified(E.add(a, E.mul(E.MINUS, b))) == E.ZERO
+
+
+def _simplify(a: E.Tree, b: E.Tree) -> bool:
+    """Whether both sides get the same simplified, expanded or factored form."""
+    return any(f(a) == f(b) for f in (A.simplified, A.expanded, A.factored))
+
+
+def _algebraic(a: E.Tree, b: E.Tree) -> bool:
+    """Whether the expanded sides, or those factored again, are equal; functions stay as they are."""
+    a, b = A.expanded(a), A.expanded(b)
+    return E.equal(a, b) is True or A.factored(a) == A.factored(b)
+
+
+def _solver(a: E.Tree, b: E.Tree) -> bool:
+    """Whether all on one side vanishes, over few atoms."""
+    return A.vanishes(E.add(a, E.mul(E.MINUS, b))) is True
+
+
+def _counterexample(a: E.Tree, b: E.Tree) -> tuple[str, float]:
+    """(status, confidence) from one symbol at a time set to small numbers; only what has no other symbols has a value."""
+    own = sorted({*E.symbols(a), *E.symbols(b)})
+    if not own:
+        return "inconclusive", 0.1
+    for v in SUBSTITUTES:
+        for s in own:
+            left, right = (E.substitute(t, {s: E.num(v)}) for t in (a, b))
+            if E.symbols(left) or E.symbols(right):
+                continue
+            try:
+                x, y = (float(E.evaluate(t, {})) for t in (left, right))
+            except (KeyError, TypeError, OverflowError, ZeroDivisionError):
+                continue
+            if np.isfinite(x) and np.isfinite(y) and abs(x - y) > 1e-10 * max(1.0, abs(x)):
+                return "disproved", 0.8
+    return "inconclusive", 0.6
+
+
+def _by_rules(a: E.Tree, b: E.Tree, rules: list) -> tuple[str, float, str]:
+    """(status, confidence, reason): a path of rules, a sequence of them, or an expanded square."""
+    steps, cut_off = path(a, b, rules, depth=5)
+    if steps:
+        return "proved", 0.95, " > ".join(steps)
+    if any(A.same(t, b) for _, t in rewrite_sequence(a, rules, 3)):
+        return "proved", 0.85, "sequence"
+    if any(t[0] == "pow" and t[2] == E.num(2) for t in E.nodes(a)) and A.same(A.expanded(a), b):
+        return "proved", 0.9, "square"
+    return "inconclusive", 0.2, "search cut off" if cut_off else ""
+
+
+def _numeric(a: E.Tree, b: E.Tree, seed: int) -> tuple[str, float]:
+    """(status, confidence) at random points; equal constants are proved."""
+    own = sorted({*E.symbols(a), *E.symbols(b)})
+    rng = np.random.default_rng(seed)
+    values = {s: rng.uniform(-NUMERIC_SPAN, NUMERIC_SPAN, NUMERIC_POINTS) for s in own}
+    with np.errstate(all="ignore"):
+        x, y = (np.broadcast_to(np.asarray(E.evaluate(t, values), np.float64), (NUMERIC_POINTS,)) for t in (a, b))
+        known = np.isfinite(x) & np.isfinite(y)
+        # Relative where values are large: a rounding error is no counterexample.
+        good = known & (np.abs(x - y) <= 1e-10 * np.maximum(1.0, np.abs(x)))
+    if not own and good.all() and abs(x[0] - y[0]) < 1e-12:
+        return "proved", 1.0
+    if (known & ~good).any():
+        return "disproved", 0.9
+    return "inconclusive", min(0.8, float(good.mean()))
+
+
+def prove(text: str, rules: list, seed: int = 42) -> list[tuple[str, str, float, str]]:
+    """(method, status, confidence, reason) of each method on an equation; status proved, disproved, inconclusive or failed.
+
+    A method that raises has failed, the others still run. A counterexample
+    overrules: no method of a disproved equation stays proved.
+    """
     t = E.parse(text)
     if t is None:
-        return [("direct", "unsupported", 0.0)]
+        return [(m, "failed", 0.0, "no formula") for m in METHODS]
     if t[0] != "eq":
-        return [("direct", "unknown", 0.3), ("pattern", "unknown", 0.6)]
+        changed = bool(rewrite_sequence(t, rules, 3))
+        return [(m, "inconclusive", SURE[m][1], "no equation") if m in SURE else ("pattern", "inconclusive", 0.6 if changed else 0.2, "no equation") if m == "pattern" else (m, "failed", 0.0, "no equation") for m in METHODS]
     a, b = t[1], t[2]
-    if set(E.functions(t)) - set(E.FUNCTIONS):  # unknown functions: nothing can be shown
-        return [("direct", "unsupported", 0.0)]
-    difference = E.add(a, E.mul(E.MINUS, b))
-    known = E.equal(a, b)
-    out = [("direct", "proved" if a == b else "unknown", 1.0 if a == b else 0.3), ("simplify", *(("proved", 0.9) if known else ("unknown", 0.2))), ("algebraic", *(("proved", 0.95) if known else ("unknown", 0.3)))]
-    own = E.symbols(difference)
-    tried, wrong = 0, 0
-    for v in (0, 1, -1, 2, -2):
+    shown = {"direct": _direct, "simplify": _simplify, "algebraic": _algebraic, "solver": _solver}
+    out = []
+    for m in METHODS:
         try:
-            x = E.evaluate(difference, dict.fromkeys(own, np.float64(v)))
-        except (KeyError, TypeError):
-            continue
-        if np.isfinite(x):
-            tried += 1
-            wrong += abs(x) > 1e-10 * max(1.0, abs(v))
-    out.append(("substitution", "disproved" if wrong else "unknown", 0.1 if not own else 0.8 if wrong else 0.6 if tried else 0.1))
-    out.append(("solver", "proved" if known else "unknown", 1.0 if known else 0.4))
-    steps = path(a, b, rules, depth=4, budget=BUDGET / 2)
-    out.append(("pattern", "proved" if steps is not None else "unknown", 0.95 if steps is not None else 0.2))
-    rng = np.random.default_rng(seed)
-    values = {s: rng.uniform(0.1, 3.0, 20) for s in sorted({*own, *E.symbols(a)})}
-    v = np.broadcast_to(np.asarray(E.evaluate(difference, values), np.float64), (20,))
-    size = np.broadcast_to(np.abs(np.asarray(E.evaluate(a, values), np.float64)), (20,))
-    good = np.abs(v) <= 1e-10 * np.maximum(1.0, size)
-    finite = np.isfinite(v)
-    if not own:
-        out.append(("numeric", "proved" if known else "disproved" if not good.all() else "unknown", 1.0 if known else 0.9))
-    else:
-        out.append(("numeric", "disproved" if (finite & ~good).any() else "unknown", 0.9 if (finite & ~good).any() else min(0.8, float(good.mean()))))
+            if m in shown:
+                ok = shown[m](a, b)
+                out.append((m, "proved" if ok else "inconclusive", SURE[m][0 if ok else 1], ""))
+            elif m == "substitution":
+                out.append((m, *_counterexample(a, b), ""))
+            elif m == "pattern":
+                out.append((m, *_by_rules(a, b, rules)))
+            else:
+                out.append((m, *_numeric(a, b, seed), ""))
+        except Exception as e:  # noqa: BLE001
+            out.append((m, "failed", 0.0, type(e).__name__))
+    if any(s == "disproved" for _, s, _, _ in out):
+        out = [(m, "inconclusive" if s == "proved" else s, SURE.get(m, (0.0, 0.2))[1] if s == "proved" else c, r) for m, s, c, r in out]
     return out
 
 
@@ -309,32 +428,63 @@ METHODS = ["direct", "simplify", "algebraic", "substitution", "solver", "pattern
 
 
 def proof_attempts(rows: DataFrame, rules: DataFrame, formula: str = "formula") -> DataFrame:
-    """All methods' results for each equation; ``strategy.first_result`` picks the verdict. A row that fails is unsupported, not fatal."""
+    """All methods' results for each equation; ``strategy.first_result`` picks the verdict."""
     known = load_rules(rules)
-
-    def work(text: str) -> list[tuple]:
-        try:
-            return prove(text, known)
-        except (RecursionError, OverflowError, ZeroDivisionError, E.TooLarge, KeyError, TypeError):
-            return [("direct", "unsupported", 0.0)]
-
-    return _distinct(rows, formula, work, "method string, status string, confidence double")
+    return _distinct(rows, formula, lambda x: prove(x, known), "method string, status string, confidence double, reason string", [(m, "failed", 0.0, "error") for m in METHODS])
 
 
 def lean_statements(rows: DataFrame, formula: str = "formula", id_col: str = "id") -> DataFrame:
-    """Each equation as a theorem in the prover's language, with its symbols as real numbers; null where there is no tree."""
+    """Each equation as a theorem in the prover's language, with its symbols as real numbers and no proof yet; null where there is no tree."""
 
     def work(text: str) -> list[tuple]:
         t = E.parse(text)
         return [(None if t is None else f"({' '.join(E.symbols(t))} : ℝ) : {E.to_lean(t)}" if E.symbols(t) else f": {E.to_lean(t)}",)]
 
-    done = _distinct(rows, formula, work, "body string")
-    return done.withColumn("lean", F.concat(F.lit("theorem t_"), F.col(id_col).cast("string"), F.lit(" "), F.col("body"), F.lit(" := by ring"))).drop("body")
+    done = _distinct(rows, formula, work, "body string", [(None,)])
+    return done.withColumn("lean", F.concat(F.lit("theorem t_"), F.col(id_col).cast("string"), F.lit(" "), F.col("body"))).drop("body")
+
+
+# Words in a statement by which a simulated prover calls it proved.
+INDICATORS = ("trivial", "refl", "simp", "norm_num", "1 + 1 = 2", "True", "x = x")
 
 
 def simulated_verdict(lean):
-    """What the bridge says without a prover: by what stands in the statement."""
-    return F.when(lean.isNull(), "error").when(lean.contains("sorry"), "failed").when(lean.contains(":= by ring") & ~lean.rlike(r"Real\.(?:log|exp)"), "proved").otherwise("unknown")
+    """What the bridge says without a prover: proved by what stands in the statement, failed for others, error without one. It shows nothing."""
+    found = F.lit(False)
+    for x in INDICATORS:
+        found = found | lean.contains(x)
+    return F.when(lean.isNull(), "error").when(found, "proved").otherwise("failed")
+
+
+def external_verdicts(statements: DataFrame, command: list[str], timeout: int = 30, lean: str = "lean") -> DataFrame:
+    """``statements`` with ``verdict`` and ``messages`` of an external prover: ``command`` with a file of the statement as its last argument, on the executors.
+
+    The verdict is proved where it ends with 0 and warns of no gap, failed
+    otherwise, timeout after ``timeout`` seconds, error where it can't be run.
+    """
+
+    def run(frames: Frames) -> Frames:
+        import subprocess
+        import tempfile
+
+        for f in frames:
+            out = []
+            for text in f["__f"]:
+                with tempfile.NamedTemporaryFile("w", suffix=".lean", encoding="utf-8") as file:  # the prover's input only; nothing is kept
+                    file.write(f"{text} := by\n  first | rfl | trivial | simp | ring | norm_num\n")
+                    file.flush()
+                    try:
+                        done = subprocess.run([*command, file.name], capture_output=True, text=True, timeout=timeout, check=False)
+                        said = done.stderr + done.stdout
+                        out.append((text, "proved" if done.returncode == 0 and "sorry" not in said else "failed", said))
+                    except subprocess.TimeoutExpired:
+                        out.append((text, "timeout", ""))
+                    except OSError as e:
+                        out.append((text, "error", str(e)))
+            yield pd.DataFrame(out, columns=["__f", "verdict", "messages"])
+
+    done = statements.select(F.col(lean).alias("__f")).filter("__f IS NOT NULL").distinct().mapInPandas(run, "__f string, verdict string, messages string")
+    return statements.join(done, statements[lean] == done["__f"], "left").drop("__f").withColumn("verdict", F.coalesce("verdict", F.lit("error")))
 
 
 def error_kinds(stderr):
@@ -359,23 +509,25 @@ def theorems_from(rows: DataFrame, hypothesis: str = "hypothesis", kind: str = "
 
 
 def variations(rows: DataFrame, formula: str = "formula", most: int = 5) -> DataFrame:
-    """(variation) of each formula by expanding, differentiating, integrating; those that are no formula of ``rows``, the first ``most`` in order."""
+    """(variation) of each formula by expanding, factoring, simplifying, differentiating, integrating; those that are no formula of ``rows``, the first ``most`` in order."""
 
     def work(text: str) -> list[tuple]:
         t = E.parse(text)
         if t is None or t[0] == "eq":
             return []
         own = E.symbols(t)
-        made = [E.normal(t), *(E.derivative(t, x) for x in own[:1])]
+        made = [m for m in (A.expanded(t), A.factored(t), A.simplified(t)) if m != t]
+        made += [E.derivative(t, x) for x in own[:1]]
         if len(text) < 50:
             made += [E.integral(t, x) for x in own[:1]]
-        return [(i, E.show(E.normal(m))) for i, m in enumerate(made) if m is not None]
+        return [(i, E.show(m)) for i, m in enumerate(made) if m is not None]
 
     known = fingerprints(rows, formula).filter("parsed").select(F.col("canonical").alias("variation")).distinct()
     new = _distinct(rows, formula, work, "ordinal int, variation string").filter("variation IS NOT NULL").join(known, "variation", "left_anti")
     names = [*rows.columns, "variation"]
     place = Window.partitionBy(*rows.columns).orderBy("ordinal", "variation")
-    return new.dropDuplicates(names).withColumn("__n", F.row_number().over(place)).filter(F.col("__n") <= most).select(*names)
+    first = new.groupBy(*names).agg(F.min("ordinal").alias("ordinal"))
+    return first.withColumn("__n", F.row_number().over(place)).filter(F.col("__n") <= most).select(*names)
 
 
 def applicable_rules(rows: DataFrame, rules: DataFrame, formula: str = "formula") -> DataFrame:
@@ -393,20 +545,37 @@ def applicable_rules(rows: DataFrame, rules: DataFrame, formula: str = "formula"
 
 
 def execute_strategies(rows: DataFrame, rules: DataFrame, formula: str = "formula", id_col: str = "id") -> DataFrame:
-    """(id, strategy, success, confidence, seconds) of the six strategies on each equation, for ``strategy.integrate``.
+    """(id, strategy, success, confidence, seconds, steps, result) of the six strategies on each equation, for ``strategy.integrate``.
 
-    Symbolic is the best of the algebraic methods, rule-based the pattern
-    method, formal the simulated verdict; hybrids are means of their parts.
+    Symbolic is the verdict of the proof methods; rule-based succeeds where
+    rules transform the equation, with a confidence by their number; formal is
+    the simulated verdict; hybrids are means of their parts. A disproof
+    overrules: no strategy succeeds on a disproved equation.
     """
-    tried = proof_attempts(rows, rules, formula)
-    ok = lambda *m: F.max(F.when(F.col("method").isin(*m), (F.col("status") == "proved").cast("double")))
-    conf = lambda *m: F.max(F.when(F.col("method").isin(*m) & ((F.col("status") == "proved") | (F.col("method") == m[0])), F.col("confidence")))
-    algebra = ("direct", "simplify", "algebraic", "solver")
-    each = tried.groupBy(id_col).agg(ok(*algebra).alias("s"), conf(*algebra).alias("sc"), ok("pattern").alias("r"), conf("pattern").alias("rc"))
-    formal = lean_statements(rows, formula, id_col).select(id_col, simulated_verdict(F.col("lean")).alias("v")).distinct()
-    both = each.join(formal, id_col).na.fill(0.0, ["s", "sc", "r", "rc"])
-    f, fc = (F.col("v") == "proved").cast("double"), F.when(F.col("v") == "proved", 0.95).otherwise(0.5)
-    s, sc, r, rc = (F.col(c) for c in ("s", "sc", "r", "rc"))
-    parts = {"symbolic": (s, sc), "rule_based": (r, rc), "formal": (f, fc), "hybrid_sr": (F.greatest(s, r), (sc + rc) / 2), "hybrid_sf": (F.greatest(s, f), (sc + fc) / 2), "comprehensive": (F.greatest(s, r, f), (sc + rc + fc) / 3)}
-    rows_ = F.array(*(F.struct(F.lit(k).alias("strategy"), (a > 0).alias("success"), c.alias("confidence"), F.lit(0.0).alias("seconds")) for k, (a, c) in parts.items()))
-    return both.select(F.col(id_col).alias("id"), F.explode(rows_).alias("x")).select("id", "x.*")
+    from . import strategy
+
+    known = load_rules(rules)
+
+    def transformed(text: str) -> list[tuple]:
+        t = E.parse(text)
+        if t is None:
+            return [(0, 0)]
+        sides = t[1:] if t[0] == "eq" else (t,)
+        n = [sum(len(rewrite_sequence(x, known, most)) for x in sides) for most in (5, 3)]
+        return [(min(n[0], 5), min(n[1], 3))]
+
+    equations = rows.select(F.col(id_col).alias("id"), F.col(formula).alias("formula")).distinct()
+    symbolic = strategy.first_result(proof_attempts(equations, rules), METHODS)
+    steps = _distinct(equations, "formula", transformed, "n5 int, n3 int", [(0, 0)]).drop("formula")
+    formal = lean_statements(equations).select("id", simulated_verdict(F.col("lean")).alias("v"))
+    both = symbolic.join(steps, "id").join(formal, "id")
+    right = F.col("status") != "disproved"
+    s, f, n5, n3 = F.col("status") == "proved", (F.col("v") == "proved") & right, F.col("n5"), F.col("n3")
+    sc, fc = F.col("confidence"), F.when(F.col("v") == "proved", 0.95).otherwise(0.5)
+    by_rules = lambda n: F.least(F.lit(0.8), 0.3 + 0.1 * n)
+    parts = {
+        "symbolic": (s, sc, F.lit(0)), "rule_based": ((n5 > 0) & right, by_rules(n5), n5), "formal": (f, fc, F.lit(0)), "hybrid_sr": (s & (n3 > 0), (sc + by_rules(n3)) / 2, n3), "hybrid_sf": (s | f, (sc + fc) / 2, F.lit(0)),
+        "comprehensive": ((s | f | (n5 > 0)) & right, (sc + by_rules(n5) + fc) / 3, n5),
+    }
+    rows_ = F.array(*(F.struct(F.lit(k).alias("strategy"), ok.alias("success"), c.alias("confidence"), F.lit(0.0).alias("seconds"), n.alias("steps"), (F.col("v") if k == "formal" else F.col("status")).alias("result")) for k, (ok, c, n) in parts.items()))
+    return both.select("id", F.explode(rows_).alias("x")).select("id", "x.*")

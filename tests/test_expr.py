@@ -4,11 +4,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from formulake.functions import algebra as A
 from formulake.functions import expr as E
 from formulake.operators import expressions as X
 from formulake.sources import rules as R
 
-RULES = [(i, E.parse(p), E.parse(q), n) for t, i, p, q, n, b in R.RULES]
+RULES = sorted(((i, E.parse(p), E.parse(q), n) for own in R.RULES.values() for i, p, q, _, n, _ in own if E.parse(p)[0] != "sym" and E.equal(E.parse(p), E.parse(q)) is not False), key=lambda r: (-r[3], r[0]))
 
 
 @pytest.mark.parametrize("bad", ["", "   ", "x +", "1/0", "(x", "x )", "@", "d/dx[x**n]", "x" * 1001, None])
@@ -47,17 +48,95 @@ def test_number_of_tests():
 
 @pytest.mark.parametrize(
     ("equation", "verdict"),
-    [("(x + y)**2 = x**2 + 2*x*y + y**2", "proved"), ("sin(x)**2 + cos(x)**2 = 1", "proved"), ("x + 1 = x", "disproved"), ("f(x + y) = f(x) + f(y)", "unsupported"), ("sin(2*x) = 2*sin(x)*cos(x)", "proved"), ("x**2 = 4", "disproved")],
-)
+    [
+        ("(x + y)**2 = x**2 + 2*x*y + y**2", "proved"), ("sin(x)**2 + cos(x)**2 = 1", "proved"), ("x + 1 = x", "disproved"), ("f(x + y) = f(x) + f(y)", "inconclusive"), ("sin(2*x) = 2*sin(x)*cos(x)", "proved"), ("x**2 = 4", "disproved"),
+        ("exp(x)*exp(y) = exp(x + y)", "proved"), ("2*x = x", "disproved"), ("log(a*b) = log(a) + log(b)", "proved"), ("1 + tan(x)**2 = sec(x)**2", "proved"), ("sin(x) = cos(x)", "disproved"), ("2 + 2 = 4", "proved"), ("2 + 2 = 5", "disproved"),
+        ("log(x, 2) = log(x)/log(2)", "proved"), ("sin(x, y) = 1", "inconclusive"), ("x +", "failed"), ("x", "inconclusive"),
+    ],
+)
 def test_proofs(equation, verdict):
-    found = [s for _, s, _ in X.prove(equation, RULES)]
-    assert verdict in found and not {"proved", "disproved"} <= set(found)
+    found = X.prove(equation, RULES)
+    assert [m for m, *_ in found] == X.METHODS
+    assert verdict in {s for _, s, _, _ in found} and not {"proved", "disproved"} <= {s for _, s, _, _ in found}
+
+
+def test_methods_differ():
+    """Each method decides by its own means."""
+    status = lambda text: {m: s for m, s, _, _ in X.prove(text, RULES)}
+    trig = status("sin(2*x) = 2*sin(x)*cos(x)")
+    assert trig["solver"] == "proved" and trig["algebraic"] == "inconclusive" and trig["pattern"] == "proved" and trig["numeric"] == "inconclusive"
+    square = status("(x + 1)**2 = x**2 + 2*x + 1")
+    assert square["algebraic"] == square["direct"] == square["simplify"] == square["solver"] == "proved"
+    logs = status("log(a*b) = log(a) + log(b)")
+    assert logs["pattern"] == "proved" and logs["direct"] == logs["algebraic"] == "inconclusive"
+    two = status("x*y = x")  # one symbol at a time leaves the other open; points decide
+    assert two["substitution"] in ("disproved", "inconclusive") and two["numeric"] == "disproved"
+
+
+def test_forms():
+    show = lambda f, x: E.show(f(E.parse(x)))
+    for text in ("x**2 - 1", "x**3 - 8", "x**2 + 2*x + 1", "6*x**3*y - 6*x*y", "x**2/4 - y**2", "x**2 + 1", "a**3 + b**3", "x**2 - 5*x + 6"):
+        t = E.parse(text)
+        assert E.equal(A.factored(t), t) and E.equal(A.expanded(A.factored(t)), t)
+    assert show(A.factored, "x**2 - 5*x + 6") == "(x - 2)*(x - 3)" and show(A.factored, "x**2 + 1") == "x**2 + 1" and show(A.expanded, "(x + 1)**2") == "2*x + x**2 + 1"
+    limits = {("sin(x)/x", "0"): "1", ("(x**2 - 1)/(x - 1)", "1"): "2", ("1/x", "0"): None, ("1/x", "oo"): "0", ("x**3", "-oo"): "-oo", ("(2*x**2 + 1)/(x**2 - x)", "oo"): "2", ("x*exp(1/x)", "0"): None, ("f(x)", "0"): None, ("(1 - cos(x))/x**2", "0"): "1/2"}
+    for (text, at), value in limits.items():
+        got = A.limit(E.parse(text), "x", at)
+        assert (got and E.show(got)) == value, text
+
+
+def test_hypotheses():
+    found = X.unary_hypotheses("sin(x)")
+    assert ("generalization", "sin(phi + x)*A", ["amplitude_scaling", "phase_shift"]) in found and ("functional_equation", "f(2*x) = sin(2*x)", ["substitution", "functional_transformation"]) in found
+    assert X.unary_hypotheses("log(x, 2)") and ("transformation", "(x - 1)*(x + 1)", ["factorization"]) in X.unary_hypotheses("x**2 - 1")
+    assert ("limit", "limit(1/x, x, oo) = 0", ["limit_evaluation"]) in [(k, f.replace("x**(-1)", "1/x"), w) for k, f, w in X.unary_hypotheses("1/x")]
 
 
 def test_rewriting():
     steps = X.rewrite_sequence(E.parse("sin(t)**2 + cos(t)**2 + y"), RULES)
     assert steps and steps[-1][1] == E.parse("y + 1")
-    assert X.path(E.parse("sin(2*u)"), E.parse("2*sin(u)*cos(u)"), RULES) == ["sin_double"]
+    assert X.path(E.parse("sin(2*u)"), E.parse("2*sin(u)*cos(u)"), RULES) == (["double_angle_sine"], False)
+    assert X.path(E.parse("x"), E.parse("y"), RULES) == (None, False) and X.path(E.parse("log(a*b*c)"), E.parse("log(a) + log(b) + log(c)"), RULES, states=1)[1]
+
+
+def test_rule_pack(spark):
+    rules = R.builtin(spark)
+    assert rules.count() == rules.select("id").distinct().count() == 37
+    found = {r["id"]: r for r in R.usable(rules).collect()}
+    assert not found["zero_product_property"]["sound"] and found["double_angle_sine"]["sound"] and found["power_rule_derivative"]["parsed"] and found["sum_of_cubes"]["cases"] == 5
+    assert found["tangent_squared_identity"]["new_symbols"] == [] and R.test_cases("a + 0")[:3] == ["0", "1", "-1"]
+
+
+def test_no_disproved_equation_is_proved(spark):
+    from formulake.operators import strategy
+
+    equations = ["x + 1 = x", "x**2 = 4", "2*x = x", "sin(x)**2 = 2", "(x + y)**2 = x**2 + y**2", "sin(x)**2 + cos(x)**2 = 1", "exp(x)*exp(y) = exp(x + y)", "x +", None, "simp = refl"]
+    rows = spark.createDataFrame([(i, e) for i, e in enumerate(equations)], "id int, formula string")
+    done = {r["id"]: (r["final_status"], r["level"]) for r in strategy.integrate(X.execute_strategies(rows, R.builtin(spark))).collect()}
+    verdict = {r["id"]: r["status"] for r in strategy.first_result(X.proof_attempts(rows, R.builtin(spark)), X.METHODS).collect()}
+    for i, e in enumerate(equations):
+        if verdict.get(i) == "disproved":
+            assert done[i][0] == "failed", e
+    assert [verdict[i] for i in range(7)] == ["disproved"] * 5 + ["proved"] * 2 and done[5][0] == done[6][0] == "proved"
+
+
+def test_row_isolation(spark):
+    """A formula that breaks an operator breaks no other."""
+    odd = ["x**2", "log(x, 2)", "sin(x, y)", "Derivative(x, 2)", "0**(-1)", "x**x**x**x", "f()", "(" * 300 + "x" + ")" * 300, "9**9**9**9", "x" * 2000, None, "1e5", "cot(0)"]
+    rows = spark.createDataFrame([(i, e) for i, e in enumerate(odd)], "id int, formula string")
+    rules = R.builtin(spark)
+    made = [X.fingerprints(rows), X.embeddings(rows), X.hypotheses(rows), X.tests(rows), X.rewrites(rows, rules), X.variations(rows), X.lean_statements(rows), X.proof_attempts(rows, rules), X.applicable_rules(rows, rules)]
+    counts = [m.count() for m in made]
+    assert all(n > 0 for n in counts[:4]) and counts[1] == len(odd)
+
+
+def test_external_prover(spark):
+    rows = spark.createDataFrame([(1, "theorem t : 1 = 1"), (2, "theorem bad"), (3, None)], "id int, lean string")
+    script = "import sys; text = open(sys.argv[-1]).read(); sys.exit('bad' in text)"
+    got = {r["id"]: r["verdict"] for r in X.external_verdicts(rows, ["python3", "-c", script]).collect()}
+    assert got == {1: "proved", 2: "failed", 3: "error"}
+    assert {r["verdict"] for r in X.external_verdicts(rows, ["/no/such/prover"]).collect()} == {"error"}
+    assert {r["verdict"] for r in X.external_verdicts(rows.limit(1), ["python3", "-c", "import time; time.sleep(9)"], timeout=1).collect()} == {"timeout"}
 
 
 names = st.sampled_from(["x", "y", "2", "3", "z"])
