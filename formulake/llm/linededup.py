@@ -4,9 +4,10 @@ A line ends at a line end. Lines of over 16 words are wrapped first, by their
 content: a line ends after a word whose boundary ranks before those of the three
 words on either side. The rank follows from the words beside the boundary, ends
 of sentences first, so a passage is wrapped alike wherever it stands, but for
-four words at its ends. Windows are hashed (128 bits). Those whose first half
-occurs again are looked at whole; the first occurrence, by document id and
-position, stays; lines inside any later one are removed.
+four words at its ends. Windows are hashed (96 bits). The first occurrence of a
+hash, by document id and position, stays; lines inside any later one are removed.
+Occurrences that another one in the same batch of texts precedes are known as
+later at once, so a window that many documents share is one row a batch.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -27,6 +28,8 @@ LONG_LINE, LONG_GAP = 16, 15
 REACH = 3
 #: Characters of a text that are wrapped at once; longer texts are cut before a word about there.
 SPAN_CHARS = 1 << 20
+#: Characters of the texts whose windows are compared at once, and bytes of a window's digest.
+BATCH_CHARS, DIGEST = 8 << 20, 12
 
 _LAST = np.uint64((1 << 64) - 1)
 
@@ -97,13 +100,40 @@ def wrapped_lines(text: str) -> list[str]:
     return out
 
 
-def window_digests(lines: list[str], window: int = WINDOW) -> list[bytes]:
-    """128-bit digests of the runs of ``window`` lines that have words."""
+def window_digests(lines: list[str], window: int = WINDOW) -> bytes:
+    """Digests, 12 bytes each, of the runs of ``window`` lines that have words."""
     import xxhash
 
     one, all_of = xxhash.xxh3_64_digest, xxhash.xxh3_128_digest
     own = [one(s.encode("utf-8", "surrogatepass")) for x in lines if (s := x.strip())]
-    return [all_of(b"".join(run)) for run in zip(*(own[i:] for i in range(window)), strict=False)]
+    return b"".join([all_of(b"".join(run))[:DIGEST] for run in zip(*(own[i:] for i in range(window)), strict=False)])
+
+
+def _places(f: pd.DataFrame) -> pd.DataFrame:
+    """(high, low, id, t, k, sure) of the windows of the texts of ``f``: the first place of each; other places are ``sure`` to be later, under a hash of their own."""
+    own = [window_digests(wrapped_lines(text)) for text in f["text"]]
+    n = np.array([len(x) // DIGEST for x in own], np.int64)
+    digests = np.frombuffer(b"".join(own), [("high", "<i8"), ("low", "<i4")])
+    of = np.repeat(np.arange(len(f)), n)
+    k = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+    order = np.argsort(digests["high"], kind="stable")
+    ordered = digests["high"][order]
+    equal = ordered[1:] == ordered[:-1]
+    often = order[np.append(equal, False) | np.append(False, equal)] if len(order) else order
+    sure = np.zeros(len(k), bool)
+    again = pd.DataFrame({"at": often, "high": digests["high"][often], "low": digests["low"][often], "id": f["id"].to_numpy()[of[often]], "t": f["t"].to_numpy()[of[often]], "k": k[often]})
+    again = again.sort_values(["high", "low", "id", "t", "k"])
+    new = ~again.duplicated(["high", "low"]).to_numpy()
+    first = np.maximum.accumulate(np.where(new, np.arange(len(again)), 0))
+    # Rows of equal id and text have the same places: all of them are the first.
+    other = np.zeros(len(again), bool)
+    for c in ("id", "t", "k"):
+        values = again[c].to_numpy()
+        other |= values != values[first]
+    sure[again["at"].to_numpy()[other]] = True
+    high = digests["high"].copy()
+    high[sure] = f["t"].to_numpy()[of[sure]] + k[sure]
+    return pd.DataFrame({"high": high, "low": digests["low"], "id": f["id"].to_numpy()[of], "t": f["t"].to_numpy()[of], "k": k, "sure": sure})
 
 
 def without(lines: list[str], starts: list[int], window: int = WINDOW) -> str:
@@ -133,29 +163,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for at in range(0, len(f), 1000):
-                g = f.iloc[at : at + 1000]
-                own = [window_digests(wrapped_lines(text)) for text in g["text"]]
-                n = np.array([len(x) for x in own], np.int64)
-                halves = np.frombuffer(b"".join(d for x in own for d in x), "<i8").reshape(-1, 2)
-                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pd.DataFrame({"high": halves[:, 0], "low": halves[:, 1], "id": g["id"].repeat(n).to_numpy(), "t": g["t"].repeat(n).to_numpy(), "k": k.astype(np.int32)})
-
-    def halves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for at in range(0, len(f), 1000):
-                digests = b"".join(d for text in f["text"].iloc[at : at + 1000] for d in window_digests(wrapped_lines(text)))
-                yield pd.DataFrame({"high": np.frombuffer(digests, "<i8")[::2]})
+            size, start = f["text"].str.len().to_numpy().cumsum(), 0
+            while start < len(f):
+                stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + BATCH_CHARS)))
+                yield _places(f.iloc[start:stop])
+                start = stop
 
     texts = docs.select(F.coalesce(F.col(id_col), no_id).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")).filter("text IS NOT NULL")
-    found = texts.mapInPandas(windows, f"high long, low long, id {kind}, t long, k int")
-    # Most windows occur once. Counts of half digests combine before the shuffle, so a window that many documents share is one row a task.
-    again = texts.select("text").mapInPandas(halves, "high long").groupBy("high").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("high")
-    # As tables of their own they meet the windows in joins whose skewed partitions can be split.
-    some = cut(found.join(cut(again), "high", "left_semi"))
-    place = F.struct("id", "t", "k")
-    first = cut(some.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    later = some.join(first, ["high", "low"]).filter(~place.eqNullSafe(F.col("first")))
+    found = texts.mapInPandas(windows, f"high long, low int, id {kind}, t long, k int, sure boolean")
+    nth = F.rank().over(Window.partitionBy("high", "low", "sure").orderBy("id", "t", "k"))
+    later = found.withColumn("nth", nth).filter("nth > 1 OR sure")
     covered = cut(later.groupBy("id", "t").agg(F.collect_set("k").alias("starts")))
     return _rebuilt(docs, covered, no_id, docs.columns, id_col, text_col, length_col)
 
