@@ -44,8 +44,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.find_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=13, keep=["doc_id"])
-    return decontam.summarize(found)
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=13)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
