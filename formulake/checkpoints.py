@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut; ``spark.checkpoint.dir`` names the folder, a local one stands in where it is unset."""
+    """``df`` with its lineage cut in the folder ``spark.checkpoint.dir`` names; where it is unset, in a local one on one machine, and an error on a cluster."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/formulake/{uuid.uuid4().hex}")
+        found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not found and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(found or f"/tmp/checkpoints/formulake/{uuid.uuid4().hex}")
     return df.checkpoint()

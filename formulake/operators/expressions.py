@@ -577,5 +577,5 @@ def execute_strategies(rows: DataFrame, rules: DataFrame, formula: str = "formul
         "symbolic": (s, sc, F.lit(0)), "rule_based": ((n5 > 0) & right, by_rules(n5), n5), "formal": (f, fc, F.lit(0)), "hybrid_sr": (s & (n3 > 0), (sc + by_rules(n3)) / 2, n3), "hybrid_sf": (s | f, (sc + fc) / 2, F.lit(0)),
         "comprehensive": ((s | f | (n5 > 0)) & right, (sc + by_rules(n5) + fc) / 3, n5),
     }
-    rows_ = F.array(*(F.struct(F.lit(k).alias("strategy"), ok.alias("success"), c.alias("confidence"), F.lit(0.0).alias("seconds"), n.alias("steps"), (F.col("v") if k == "formal" else F.col("status")).alias("result")) for k, (ok, c, n) in parts.items()))
+    rows_ = F.array(*(F.struct(F.lit(k).alias("strategy"), ok.alias("success"), c.alias("confidence"), F.lit(0.0).alias("seconds"), n.alias("steps"), (F.col("v") if k in strategy.FORMAL else F.col("status")).alias("result")) for k, (ok, c, n) in parts.items()))
     return both.select("id", F.explode(rows_).alias("x")).select("id", "x.*")

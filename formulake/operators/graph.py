@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import sets
 from .components import connected_components
 from .setjoin import similar_classes
@@ -130,7 +131,8 @@ def positions(nodes: DataFrame, layout: str = "circular", order: str = "node") -
 
 def ranks(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` with ``rank`` from 1 by ``order``, from range partitions and their sizes."""
-    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    # A table of its own: both uses see the same partitions, also after a retry.
+    parts = cut(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))
     sizes = {r["__p"]: (r["n"], r["first"]) for r in parts.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("first")).collect()}  # a row a partition
     before, pairs = 0, []
     for p in sorted(sizes):

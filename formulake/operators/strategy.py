@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import bands
 
-# Strategies in order, their base scores, their weights in an integration.
+# Strategies in order, their base scores, their weights in an integration, those with a formal result, bounds of complexity.
 BASE = {"symbolic": 0.7, "rule_based": 0.5, "formal": 0.8, "hybrid_sr": 0.75, "hybrid_sf": 0.85, "comprehensive": 0.9}
 INTEGRATION = {"symbolic": 0.4, "rule_based": 0.3, "formal": 0.8, "hybrid_sr": 0.6, "hybrid_sf": 0.7, "comprehensive": 0.9}
+FORMAL = ("formal", "hybrid_sf", "comprehensive")
 VERY_SIMPLE, SIMPLE, MODERATE, COMPLEX = 0.2, 0.4, 0.6, 0.8
 
 
@@ -18,7 +19,7 @@ def _add(condition: Column, amount: float) -> Column:
 
 
 def adjustments(c: Column, algebraic: Column, trigonometric: Column, logarithmic: Column, exponential: Column, kind: Column) -> dict[str, Column]:
-    """What is added to each strategy's base score."""
+    """What is added to each strategy's base score. Fixed values."""
     identity, trig, functional = kind == "algebraic_identity", kind == "trigonometric", kind == "functional_equation"
     return {
         "symbolic": _add(c < SIMPLE, 0.3) + _add(c > COMPLEX, -0.4) + _add(algebraic & ~trigonometric & ~logarithmic & ~exponential, 0.2) + _add(trigonometric, -0.2) + _add(identity, 0.2),
@@ -61,14 +62,20 @@ def integrate(results: DataFrame, id_col: str = "id") -> DataFrame:
     """One row an id from its strategies' results (strategy, success, confidence, seconds).
 
     Weighted confidence with a bonus for agreement and a penalty for conflict,
-    level, final status, best and worst strategy, variance, convergence.
+    level, final status, best and worst strategy (the first on ties), variance,
+    convergence. With columns steps and result also the strategy with the most
+    steps, and the first formal result.
     """
     weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in INTEGRATION.items() for x in p)), F.col("strategy")), F.lit(0.5))
     ok, c = F.col("success"), F.col("confidence")
-    g = results.withColumn("w", weight).groupBy(id_col).agg(
+    # On ties the first strategy in their order.
+    place = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(k) for k in BASE)), F.col("strategy")), F.lit(0)), F.lit(len(BASE) + 1)).cast("int")
+    g = results.withColumns({"w": weight, "o": place}).groupBy(id_col).agg(
         F.count(F.lit(1)).alias("methods"), F.count_if(ok).alias("successes"), F.count_if(~ok & (c > 0.3)).alias("conflicts"), F.count_if(ok & (c > 0.7)).alias("strong"), F.count_if(ok & (c > 0.4)).alias("moderate"),
         F.max(F.when(ok, c)).alias("top"), F.try_divide(F.sum(c * F.col("w")), F.sum("w")).alias("weighted"), F.avg(c).alias("mean_confidence"), F.var_pop(c).alias("variance"),
-        F.max(F.struct("confidence", "strategy"))["strategy"].alias("best"), F.min(F.struct("confidence", "strategy"))["strategy"].alias("worst"), F.sum("seconds").alias("seconds"),
+        F.max(F.struct("confidence", (-F.col("o")).alias("o"), "strategy"))["strategy"].alias("best"), F.min(F.struct("confidence", "o", "strategy"))["strategy"].alias("worst"), F.sum("seconds").alias("seconds"),
+        *(F.max(F.struct("steps", (-F.col("o")).alias("o"), "strategy"))[k].alias(f"longest_{k}") for k in ("strategy", "steps") if "steps" in results.columns),
+        *([F.min(F.when(F.col("strategy").isin(*FORMAL), F.struct("o", "result")))["result"].alias("formal_result")] if "result" in results.columns else []),
     )
     bonus = F.when(F.col("successes") >= 2, F.least(F.lit(0.1), (F.col("successes") - 1) * 0.05)).otherwise(0.0)
     penalty = F.when((F.col("successes") > 0) & (F.col("conflicts") > 0), F.least(F.lit(0.1), F.col("conflicts") * 0.03)).otherwise(0.0)

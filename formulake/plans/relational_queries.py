@@ -279,7 +279,7 @@ def semi_anti_ids(spark, d):
 # -- graphs --------------------------------------------------------------------------------------------
 
 CHAIN_EDGES = "edges AS (SELECT p_partkey AS src, p_partkey - p_partkey % 16 + p_size % 16 AS dst FROM part)"
-MESH = "mesh AS (SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_size % 3 <> 0 AND p_partkey % 16 <> 15 UNION SELECT p_partkey, p_partkey + 2 FROM part WHERE p_size % 2 = 0 AND p_partkey % 16 < 14)"
+MESH = "mesh AS (SELECT * FROM (SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_size % 3 <> 0 AND p_partkey % 16 <> 15 UNION SELECT p_partkey, p_partkey + 2 FROM part WHERE p_size % 2 = 0 AND p_partkey % 16 < 14) WHERE dst IN (SELECT p_partkey FROM part))"
 
 
 def _chain_edges(spark, d):
@@ -420,13 +420,16 @@ def _results(spark, d):
 WEIGHT = "MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in strategy.INTEGRATION.items()) + "}"
 
 
+ORDER = "['symbolic', 'rule_based', 'formal', 'hybrid_sr', 'hybrid_sf', 'comprehensive']"
+
+
 @query("integrate_results", cte(RESULTS) + f"""SELECT id, methods, successes, {r("mean_confidence")} AS mean_confidence, round(variance + 1e-9, 6) AS variance, best, worst, seconds, round(integrated + 1e-9, 6) AS integrated, final_status, convergent,
  CASE WHEN round(integrated, 9) >= 0.8 THEN 'very_high' WHEN round(integrated, 9) >= 0.6 THEN 'high' WHEN round(integrated, 9) >= 0.4 THEN 'medium' WHEN round(integrated, 9) >= 0.2 THEN 'low' ELSE 'very_low' END AS level FROM (SELECT *,
  greatest(0, least(1, weighted + CASE WHEN successes >= 2 THEN least(0.1::DOUBLE, (successes - 1) * 0.05) ELSE 0 END - CASE WHEN successes > 0 AND conflicts > 0 THEN least(0.1::DOUBLE, conflicts * 0.03) ELSE 0 END)) AS integrated,
  CASE WHEN successes = 0 THEN 'failed' WHEN strong > 0 OR moderate >= 2 OR moderate = 1 AND top > 0.6 THEN 'proved' ELSE 'partially_proved' END AS final_status, methods >= 2 AND (successes >= methods * 0.6 OR methods - successes >= methods * 0.6) AS convergent
  FROM (SELECT id, count(*) AS methods, count(*) FILTER (success) AS successes, count(*) FILTER (NOT success AND confidence > 0.3) AS conflicts, count(*) FILTER (success AND confidence > 0.7) AS strong, count(*) FILTER (success AND confidence > 0.4) AS moderate,
  max(confidence) FILTER (success) AS top, sum(confidence * {WEIGHT}[strategy]) / sum({WEIGHT}[strategy]) AS weighted, avg(confidence) AS mean_confidence, var_pop(confidence) AS variance, sum(seconds) AS seconds,
- (list(strategy ORDER BY confidence DESC, strategy DESC))[1] AS best, (list(strategy ORDER BY confidence, strategy))[1] AS worst FROM results GROUP BY id))""")
+ (list(strategy ORDER BY confidence DESC, list_position({ORDER}, strategy)))[1] AS best, (list(strategy ORDER BY confidence, list_position({ORDER}, strategy)))[1] AS worst FROM results GROUP BY id))""")
 def integrate_results(spark, d):
     t = strategy.integrate(_results(spark, d)).withColumn("level", B.integrated_level(F.round("integrated", 9)))
     return _rounded(t.withColumns({c: F.col(c) + 1e-9 for c in ("variance", "integrated")}), "mean_confidence", "variance", "integrated")  # off the rounding ties
@@ -469,10 +472,10 @@ def domain_gaps(spark, d):
     return _rounded(discover.domain_gaps(table(spark, d, "documents"), "lang"), "mean")
 
 
-@query("neighbor_pairs", """SELECT p_brand, a, b FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY i, j) AS n FROM (SELECT x.p_brand, x.p_partkey AS a, y.p_partkey AS b, x.i, y.i AS j FROM
- (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part) x JOIN (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part) y ON x.p_brand = y.p_brand AND y.i BETWEEN x.i + 1 AND x.i + 4 WHERE x.i <= 10 AND x.p_size <> y.p_size)) WHERE n <= 5""")
+@query("neighbor_pairs", cte(T, "o AS (SELECT theorem_type, id, statement, list_sort(list_distinct(symbols)) AS s, row_number() OVER (PARTITION BY theorem_type ORDER BY id) AS i FROM theorems)") + """SELECT theorem_type, a, b FROM (SELECT *, row_number() OVER (PARTITION BY theorem_type ORDER BY i, j) AS n FROM
+ (SELECT x.theorem_type, x.id AS a, y.id AS b, x.i, y.i AS j FROM o x JOIN o y ON x.theorem_type = y.theorem_type AND y.i BETWEEN x.i + 1 AND x.i + 4 WHERE x.i <= 10 AND x.statement <> y.statement AND x.s = y.s AND len(x.s) > 0)) WHERE n <= 5""")
 def neighbor_pairs(spark, d):
-    return discover.neighbor_pairs(table(spark, d, "part"), "p_brand", "p_partkey", "p_size")
+    return discover.neighbor_pairs(corpus.theorems(spark, d), "theorem_type", "id", "statement", same="symbols")
 
 
 TOPICS = [t for g in discover.TOPIC_GROUPS for t in g[:2]]
@@ -481,12 +484,16 @@ GROUP_OF = "MAP {" + ", ".join(f"{text(t)}: 'group {i}'" for i, g in enumerate(d
 
 
 @query("disconnected_gaps", f"""WITH RECURSIVE links AS (SELECT n_nationkey AS src, n_nationkey + 7 AS dst FROM nation WHERE n_nationkey < 12), {_reach("links")}, named AS (SELECT n_nationkey, coalesce(component, n_nationkey) AS c, {NODE_TOPICS} AS topic FROM nation LEFT JOIN comp ON node = n_nationkey),
- keys AS (SELECT c, topic AS k FROM named UNION SELECT c, {GROUP_OF}[topic] FROM named) SELECT x.c AS a, y.c AS b, array_to_string(list_sort(list(x.k)), ',') AS shared FROM keys x JOIN keys y ON x.k = y.k AND x.c < y.c GROUP BY 1, 2""")
+ keys AS (SELECT c, topic AS k FROM named UNION SELECT c, {GROUP_OF}[topic] FROM named), sets AS (SELECT c, list_sort(list(k)) AS ks FROM keys GROUP BY c), cls AS (SELECT min(c) AS c, count(*) AS n, ks FROM sets GROUP BY ks)
+ SELECT x.c AS a, y.c AS b, x.n AS a_components, y.n AS b_components, array_to_string(list_sort(list_intersect(x.ks, y.ks)), ',') AS shared FROM cls x JOIN cls y ON x.c < y.c AND list_has_any(x.ks, y.ks)""")
 def disconnected_gaps(spark, d):
     t = table(spark, d, "nation")
     nodes = t.select(F.col("n_nationkey").alias("node"), F.array(F.element_at(F.array(*(F.lit(x) for x in TOPICS)), F.col("n_nationkey") % len(TOPICS) + 1)).alias("topics"))
     edges = t.filter("n_nationkey < 12").select(F.col("n_nationkey").alias("src"), (F.col("n_nationkey") + 7).alias("dst"))
-    return discover.related_components(nodes, edges, cut).withColumn("shared", F.array_join("shared", ","))
+    pairs, members = discover.related_components(nodes, edges, cut)
+    sizes = members.select("class", "n").distinct()
+    out = pairs.join(sizes.withColumnsRenamed({"class": "a", "n": "a_components"}), "a").join(sizes.withColumnsRenamed({"class": "b", "n": "b_components"}), "b")
+    return out.select("a", "b", "a_components", "b_components", F.array_join("shared", ",").alias("shared"))
 
 
 GAPS = "gaps AS (SELECT p_partkey AS ordinal, ['sparse', 'disconnected', 'variation', 'transformation', 'domain'][p_partkey % 5 + 1] AS kind, [0.8, 0.7, 0.6, 0.5, 0.4][p_partkey % 5 + 1]::DOUBLE AS confidence, (p_size % 11) / 10.0::DOUBLE AS priority FROM part)"
@@ -537,11 +544,11 @@ def density_clusters(spark, d):
 
 
 @query("cluster_summary", cte(PRINTS, "c AS (SELECT p_partkey AS id, p_brand || ' ' || p_type AS cluster FROM part)", "b AS (SELECT * FROM prints JOIN c USING (id))", "s AS (SELECT cluster, count(*) AS size, avg(complexity) AS mc, min(complexity) AS lc, max(complexity) AS xc FROM b GROUP BY 1)") + f"""SELECT s.cluster, size, {r("mc")} AS mean_complexity, lc AS least_complexity, xc AS most_complexity,
- (SELECT coalesce(array_to_string(list_sort(list(t)), ','), '') FROM (SELECT t, count(*) AS k FROM (SELECT id, unnest(operations) AS t FROM b WHERE b.cluster = s.cluster) GROUP BY t) WHERE k = size) AS common_operations FROM s""")
+ {", ".join(f"(SELECT coalesce(array_to_string(list_sort(list(t)), ','), '') FROM (SELECT t, count(*) AS k FROM (SELECT id, unnest({c}) AS t FROM b WHERE b.cluster = s.cluster) GROUP BY t) WHERE k = size) AS common_{c}" for c in ("symbols", "operations", "functions"))} FROM s""")
 def cluster_summary(spark, d):
     own = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_type").alias("cluster"))
     t = cluster.summarize(_prints(spark, d), own)
-    return _rounded(t.select("cluster", "size", "mean_complexity", "least_complexity", "most_complexity", F.coalesce(F.array_join("common_operations", ","), F.lit("")).alias("common_operations")), "mean_complexity")
+    return _rounded(t.select("cluster", "size", "mean_complexity", "least_complexity", "most_complexity", *(F.coalesce(F.array_join(f"common_{c}", ","), F.lit("")).alias(f"common_{c}") for c in ("symbols", "operations", "functions"))), "mean_complexity")
 
 
 @query("cosine_matrix", f"SELECT q.vec_id AS query, v.vec_id AS id, {r('list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])')} AS cosine FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0")

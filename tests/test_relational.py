@@ -159,12 +159,60 @@ def test_filters(spark):
 def test_related_components_and_ranks(spark):
     nodes = spark.createDataFrame([("a", ["sine"]), ("b", ["cosine"]), ("c", ["area"]), ("d", ["algebra"])], "node string, topics array<string>")
     edges = spark.createDataFrame([("c", "d")], "src string, dst string")
-    assert [tuple(r) for r in discover.related_components(nodes, edges, cut).select("a", "b").collect()] == [("a", "b")]
+    pairs, members = discover.related_components(nodes, edges, cut)
+    assert [tuple(r) for r in pairs.select("a", "b").collect()] == [("a", "b")] and {tuple(r) for r in members.collect()} == {("a", "a", 1), ("b", "b", 1), ("c", "c", 1)}
     gaps = spark.createDataFrame([(1, 0.5, 0.4), (2, 0.8, 0.8), (3, 0.8, 0.8)], "ordinal int, confidence double, priority double")
     ranked = discover.rank_gaps(gaps).collect()
     assert [r["ordinal"] for r in ranked] == [2, 3, 1] and ranked[0]["rank_score"] == pytest.approx(0.8)
 
 
+@pytest.mark.parametrize("threshold", [0.15, 0.3, 0.5, 0.7, 0.9])
+def test_similar_fingerprints(spark, threshold):
+    """Every pair at the threshold, whatever join finds it."""
+    rng = random.Random(11)
+    prints = []
+    for i in range(150):
+        s, o = rng.sample("abcd", rng.randint(0, 3)), rng.sample(["Add", "Mul", "Pow"], rng.randint(0, 3))
+        prints.append((i, rng.choice(["h1", "h2", f"own{i}", f"own{i // 2}"]), s, o, rng.sample(["sin", "exp"], rng.randint(0, 2)), rng.randint(0, 4)))
+    pairs, members = cluster.similar_fingerprints(spark.createDataFrame(prints, "id int, hash string, symbols array<string>, operations array<string>, functions array<string>, complexity int"), threshold)
+    of = {r["id"]: r["class"] for r in members.collect()}
+    linked = {(r["src"], r["dst"]) for r in pairs.collect()}
+    for (i, h, s, o, f, c), (j, h2, s2, o2, f2, c2) in itertools.combinations(prints, 2):
+        near = 1 - abs(c - c2) / max(c, c2) if max(c, c2) else 1.0
+        score = 0.3 * (h == h2) + 0.25 * jac(s, s2) + 0.25 * jac(o, o2) + 0.1 * jac(f, f2) + 0.1 * near
+        if of[i] != of[j]:
+            assert ((min(of[i], of[j]), max(of[i], of[j])) in linked) == (score >= threshold - 1e-9), (i, j, score)
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.3, 0.5])
+def test_related_concepts(spark, threshold):
+    rng = random.Random(12)
+    rows = [(i, rng.sample("pqrst", rng.randint(0, 3)), rng.sample("abcde", rng.randint(0, 3))) for i in range(120)]
+    got = {(r["src"], r["dst"]) for r in discover.related_concepts(spark.createDataFrame(rows, "node int, topics array<string>, symbols array<string>"), threshold).collect()}
+    first = {}
+    for i, t, s in rows:
+        first.setdefault((frozenset(t), frozenset(s)), i)
+    expected = {(min(i, j), max(i, j)) for ((t, s), i), ((u, v), j) in itertools.combinations(first.items(), 2) if 0.6 * jac(t, u) + 0.4 * jac(s, v) > threshold + 1e-9}
+    assert expected <= got and all(0.6 * jac(rows[i][1], rows[j][1]) + 0.4 * jac(rows[i][2], rows[j][2]) > threshold - 1e-9 for i, j in got)
+
+
+def test_cluster_pairs_in_blocks(spark, monkeypatch):
+    prints = spark.createDataFrame([(i, f"h{i}", ["a", "bc"[i % 2]], ["Add"], [], i % 3) for i in range(30)], "id int, hash string, symbols array<string>, operations array<string>, functions array<string>, complexity int")
+    members = prints.select("id", F.col("id").alias("class"), F.lit(1).cast("long").alias("n"))
+    clusters = prints.select(F.col("id").alias("class"), (F.col("id") % 2).alias("cluster"))
+    whole = sorted(map(tuple, cluster.confidence_and_center(prints, members, clusters).collect()))
+    monkeypatch.setattr(cluster, "PAIR_BLOCK", 4)
+    parts = sorted(map(tuple, cluster.confidence_and_center(prints, members, clusters).collect()))
+    assert [(a, c) for a, _, c in whole] == [(a, c) for a, _, c in parts] and [x for _, x, _ in parts] == pytest.approx([x for _, x, _ in whole])
+
+
+def test_neighbor_pairs_with_equal_symbols(spark):
+    rows = spark.createDataFrame([("g", i, f"e{i % 5}", ["x"] if i % 2 else ["y", "x"]) for i in range(12)] + [("h", 1, "a", []), ("h", 2, "b", [])], "g string, i int, e string, s array<string>")
+    got = {tuple(r) for r in discover.neighbor_pairs(rows, "g", "i", "e", same="s").collect()}
+    expected = [("g", i, j) for i in range(10) for j in range(i + 1, min(i + 5, 12)) if i % 2 == j % 2 and i % 5 != j % 5][:5]
+    assert got == set(expected)
+
+
 def test_strategies(spark):
     rows = spark.createDataFrame([(1, "x + y", "algebraic_identity", 0.1), (2, "sin(x)", "trigonometric", 0.7)], "id int, statement string, theorem_type string, complexity double")
     best = {r["id"]: r["strategy"] for r in strategy.best_strategy(strategy.score_strategies(rows)).collect()}
