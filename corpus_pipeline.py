@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formulake.llm import decontam, linededup, neardup, packing, quality, tokens
-from formulake.llm.common import checkpoint_dir, read
+from formulake.llm.common import checkpoint_dir, read, remove
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the documents in ``sf_dir``."""
+    """Applies all stages to the documents in ``sf_dir``. A stage's table goes when the next one is written."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # follows from its own checkpoint
+    remove(spark, folder)
+    return packed
