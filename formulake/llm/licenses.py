@@ -1,11 +1,11 @@
 """License scans: a positional index of rare words over licence templates. DataFrame functions only.
 
-Templates are phrases that stand in licence texts and notices. Words that occur
-in them are counted over all documents; a template's rarest words (highest IDF)
-are its index entries, with their positions. Each file's occurrences of such
-words are looked up; an occurrence at p of a template word at q puts the
-template's start at p - q. Starts on which the postings agree are verified
-word by word (phrases), or by the mandatory key phrases of their licence.
+Templates are passages of licence texts and notices: key phrases that must
+stand, with gaps of so many words between them. Words of key phrases are counted
+over all documents; a template's three rarest (highest IDF) are its index
+entries, with their positions. Each file's occurrences of such words are looked
+up; an occurrence at p of a template word at q puts the template's start at
+p - q. Starts on which all postings agree are verified by the key phrases.
 """
 
 from __future__ import annotations
@@ -23,13 +23,18 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and labels whose places are counted. Fixed values.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Further licences: label, mandatory key phrases (all must stand in the text), in the words of their public texts and notices. Fixed values.
+#: Further licences: label, and the template's key phrases in order, with the number of words between two of them. In the words of the public texts and notices. Fixed values.
 LICENSES = {
     "agpl": ["gnu affero general public license"],
     "apache-2.0": ["apache license version 2 0"],
+    "apache-2.0-notice": ["licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"],
+    "apache-2.0-text": ["each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce"],
     "artistic-2.0": ["artistic license 2 0"],
     "boost-1.0": ["boost software license"],
-    "bsd": ["redistribution and use in source and binary forms", "provided that the following conditions are met"],
+    "boost-1.0-text": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    "bsd": ["redistribution and use in source and binary forms", 4, "are permitted provided that the following conditions are met"],
+    "bsd-2-text": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 0, "redistributions in binary form must reproduce the above copyright notice"],
+    "bsd-3-text": ["may be used to endorse or promote products derived from this software without specific prior written permission"],
     "bsd-notice": ["bsd license"],
     "cc-by-4.0": ["cc by 4 0"],
     "cc-by-nc": ["cc by nc"],
@@ -37,20 +42,27 @@ LICENSES = {
     "cc-by-sa": ["cc by sa"],
     "cc-attribution": ["creative commons attribution"],
     "cc0": ["cc0 1 0"],
+    "cc0-text": ["the person who associated a work with this deed has dedicated the work to the public domain"],
     "epl": ["eclipse public license"],
     "eupl": ["european union public licence"],
     "gfdl": ["gnu free documentation license"],
+    "gfdl-notice": ["permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"],
     "gpl-2.0": ["general public license version 2"],
     "gpl-3.0": ["general public license version 3"],
+    "gpl-notice": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
     "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
     "lgpl": ["gnu lesser general public license"],
+    "lgpl-notice": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
     "mit": ["mit license"],
-    "mit-text": ["permission is hereby granted free of charge to any person obtaining a copy", "without restriction including without limitation the rights to use"],
+    "mit-text": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 7, "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"],
     "mpl": ["mozilla public license"],
+    "mpl-2.0-notice": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "proprietary": ["proprietary and confidential"],
     "public-domain": ["dedicated to the public domain"],
     "unlicense": ["free and unencumbered software released into the public domain"],
-    "zlib": ["this software is provided as is without any express or implied warranty", "altered source versions must be plainly marked as such"],
+    "unlicense-text": ["anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose"],
+    "zlib": ["this software is provided as is without any express or implied warranty", 0, "in no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib-text": ["altered source versions must be plainly marked as such and must not be misrepresented as being the original software"],
 }
 
 #: Index entries of a template.
@@ -59,18 +71,35 @@ RAREST = 3
 
 @dataclass(frozen=True)
 class Template:
-    phrase: str
-    words: tuple[str, ...]
-    labels: tuple[str, ...]
+    label: str
     base: bool
+    #: (place, words) of each key phrase.
+    keys: tuple[tuple[int, tuple[str, ...]], ...]
+
+    @property
+    def length(self) -> int:
+        return self.keys[-1][0] + len(self.keys[-1][1])
+
+    @property
+    def words(self) -> list[tuple[int, str]]:
+        """(place, word) of all words of key phrases."""
+        return [(at + i, w) for at, own in self.keys for i, w in enumerate(own)]
 
 
 def templates() -> list[Template]:
-    phrases: dict[str, set[str]] = {p: set() for p in BASE}
-    for label, keys in LICENSES.items():
-        for k in keys:
-            phrases.setdefault(k, set()).add(label)
-    return [Template(p, tuple(re.findall(WORD, p)), tuple(sorted(own)), p in BASE) for p, own in phrases.items()]
+    out = []
+    for base, own in ((True, {label: [phrase] for phrase, label in BASE.items()}), (False, LICENSES)):
+        for label, parts in own.items():
+            keys, at = [], 0
+            for part in parts:
+                if isinstance(part, int):
+                    at += part
+                else:
+                    words = tuple(re.findall(WORD, part))
+                    keys.append((at, words))
+                    at += len(words)
+            out.append(Template(label, base, tuple(keys)))
+    return out
 
 
 def _words(text_col: str) -> Column:
@@ -83,7 +112,7 @@ def _literal(values) -> Column:
 
 def document_frequency(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
     """In how many rows each template word occurs: one row a word, summed in each task first."""
-    vocabulary = sorted({w for t in templates() for w in t.words})
+    vocabulary = sorted({w for t in templates() for _, w in t.words})
     found = docs.select(F.explode(F.array_intersect(_words(text_col), _literal(vocabulary))).alias("word"))
     return {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
 
@@ -92,68 +121,52 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null texts count as empty: no words, no labels, score 0. Null ids and
-    repeated rows give a row each; an empty table gives none. ``score`` is
-    1 - 0.5 ** (number of labels).
+    repeated rows give a row each; an empty table gives none; texts of any
+    length are read whole. ``score`` is 1 - 0.5 ** (number of labels).
     """
-    known = templates()
     frequency = document_frequency(docs, text_col)
     # A template can stand only where all its words do: those with a word that no row has are left out.
-    live = [t for t in known if all(frequency.get(w) for w in t.words)]
-    # Index entries: a template's rarest words; ties by the later position.
-    entries = {t: sorted(range(len(t.words)), key=lambda q, t=t: (frequency[t.words[q]], -q))[:RAREST] for t in live}
+    live = [t for t in templates() if all(frequency.get(w) for _, w in t.words)]
+    # Index entries: a template's rarest words; ties by the later place.
+    entries = [sorted(t.words, key=lambda x: (frequency[x[1]], -x[0]))[:RAREST] for t in live]
     rows = docs.select(F.col(id_col).alias("__id"), _words(text_col).alias("__w")).withColumn("n_words", F.size("__w").cast("long"))
     no_hits, no_words = F.expr("CAST(array() AS array<struct<t: int, at: int>>)"), F.expr("CAST(array() AS array<struct<w: string, i: int>>)")
     if not live:
         rows = rows.withColumn("__rare", no_words).withColumn("__hits", no_hits)
     else:
-        first = sorted({t.words[entries[t][0]] for t in live})
-        wanted = sorted({t.words[q] for t in live for q in entries[t][:2]})
+        first = sorted({own[0][1] for own in entries})
+        wanted = sorted({w for own in entries for _, w in own})
         rare = F.filter(F.transform("__w", lambda w, i: F.when(w.isin(*wanted), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
         rows = rows.withColumn("__rare", F.when(F.arrays_overlap("__w", _literal(first)), rare).otherwise(no_words))
-        hits = [_starts(t, entries[t], k) for k, t in enumerate(live)]
+        hits = [_starts(t, own, k) for k, (t, own) in enumerate(zip(live, entries, strict=True))]
         rows = rows.withColumn("__hits", F.when(F.size("__rare") > 0, F.concat(*hits)).otherwise(no_hits))
     base = [k for k, t in enumerate(live) if t.base]
     rows = rows.withColumn("__base", F.filter("__hits", lambda h: h["t"].isin(*base) if base else F.lit(False)))
-    rows = rows.withColumn("__own", F.array_distinct(F.transform("__hits", lambda h: h["t"])))
     at = F.transform("__base", lambda h: h["at"].cast("long"))
-    base_label = {p: label for p, label in BASE.items()}
-    given = [F.when(F.array_contains("__own", k), F.lit(base_label[t.phrase])) for k, t in enumerate(live) if t.base]
-    of = {label: [next((k for k, t in enumerate(live) if t.phrase == p), None) for p in keys] for label, keys in LICENSES.items()}
-    more = []
-    for label, keys in of.items():
-        if None not in keys:  # all mandatory phrases
-            have = F.lit(True)
-            for k in keys:
-                have = have & F.array_contains("__own", k)
-            more.append(F.when(have, F.lit(label)))
-    none = F.expr("CAST(array() AS array<string>)")
-    rows = rows.withColumn("__bl", F.array_compact(F.array(*given)) if given else none)
-    rows = rows.withColumn("__al", F.array_union("__bl", F.array_compact(F.array(*more)) if more else none))
-    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    n_labels = F.size(F.array_distinct("__al"))
+    names = _literal([t.label for t in live]) if live else F.expr("CAST(array() AS array<string>)")
+    labels = lambda hits: F.array_sort(F.array_distinct(F.transform(hits, lambda h: F.element_at(names, h["t"] + 1))))
+    rows = rows.withColumn("__labels", labels("__hits"))
     return rows.select(
         F.col("__id").alias(id_col), "n_words", F.size("__base").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
-        joined("__bl").alias("base_labels"), joined("__al").alias("labels"), (F.lit(1.0) - F.pow(F.lit(0.5), n_labels)).alias("score"),
+        F.array_join(labels("__base"), ",").alias("base_labels"), F.array_join("__labels", ",").alias("labels"), (F.lit(1.0) - F.pow(F.lit(0.5), F.size("__labels"))).alias("score"),
     )
 
 
-def _word(at: Column) -> Column:
-    """The word at a place, null outside the text."""
-    return F.try_element_at("__w", at + 1)
-
-
-def _starts(t: Template, entries: list[int], k: int) -> Column:
-    """(template, start) of each place where the template's postings agree and all its words stand."""
+def _starts(t: Template, entries: list[tuple[int, str]], k: int) -> Column:
+    """(template, start) of each place where all the template's postings agree and its key phrases stand."""
 
-    def posted(q: int) -> Column:
-        return F.transform(F.filter("__rare", lambda x: (x["w"] == t.words[q]) & (x["i"] >= q)), lambda x: x["i"] - q)
+    def posted(q: int, word: str) -> Column:
+        return F.transform(F.filter("__rare", lambda x: (x["w"] == word) & (x["i"] >= q)), lambda x: x["i"] - q)
 
-    start = posted(entries[0]) if len(t.words) == 1 else F.array_intersect(posted(entries[0]), posted(entries[1]))
+    start = F.array_distinct(posted(*entries[0]))
+    for q, word in entries[1:]:
+        start = F.array_intersect(start, posted(q, word))
 
     def stands(s: Column) -> Column:
-        ok = s + len(t.words) <= F.size("__w")
-        for q in (q for q in range(len(t.words)) if q not in entries[:2]):
-            ok = ok & (F.coalesce(_word(s + q), F.lit("")) == t.words[q])
+        ok = s + t.length <= F.size("__w")
+        for at, own in t.keys:
+            if not {(at + i, w) for i, w in enumerate(own)} <= set(entries):  # the postings show short ones
+                ok = ok & (F.slice("__w", s + (at + 1), F.lit(len(own))) == _literal(own))
         return ok
 
     return F.transform(F.filter(start, stands), lambda s: F.struct(F.lit(k).alias("t"), s.cast("int").alias("at")))

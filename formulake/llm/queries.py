@@ -72,12 +72,15 @@ _WORDS = f"regexp_extract_all({_LOWER}, '{licenses.WORD}')"
 
 
 def _licenses_sql() -> str:
-    """Phrases by comparing slices of the words at every place."""
-    phrases = sorted({*licenses.BASE, *(k for keys in licenses.LICENSES.values() for k in keys)})
-    stands = {p: f"contains(joined, ' {p} ')" for p in phrases}
+    """Base phrases by comparing slices of the words at every place; templates as patterns of the joined words."""
+
+    def stands(parts: list) -> str:
+        pattern = "".join(f"( [^ ]+){{{{{x}}}}}" if isinstance(x, int) else f" {x}" for x in parts).replace("{{", "{").replace("}}", "}")
+        return f"contains(joined, ' {parts[0]} ')" if len(parts) == 1 else f"regexp_matches(joined, '{pattern} ')"
+
     base = " || ".join(f"list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()})" for p in licenses.BASE)
-    given = ", ".join(f"CASE WHEN {stands[p]} THEN '{label}' END" for p, label in licenses.BASE.items())
-    more = ", ".join(f"CASE WHEN {' AND '.join(stands[k] for k in keys)} THEN '{label}' END" for label, keys in licenses.LICENSES.items())
+    given = ", ".join(f"CASE WHEN {stands([p])} THEN '{label}' END" for p, label in licenses.BASE.items())
+    more = ", ".join(f"CASE WHEN {stands(parts)} THEN '{label}' END" for label, parts in licenses.LICENSES.items())
     names = lambda own: f"list_sort(list_distinct(list_filter([{own}], lambda x: x IS NOT NULL)))"
     return f"""SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, array_to_string(base, ',') AS base_labels, array_to_string(labels, ',') AS labels,
  1 - power(0.5::DOUBLE, len(labels)) AS score FROM (SELECT doc_id, w, {base} AS places, {names(given)} AS base, {names(f"{given}, {more}")} AS labels FROM (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS joined FROM (SELECT doc_id, {_WORDS} AS w FROM documents)))"""

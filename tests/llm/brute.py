@@ -33,6 +33,19 @@ def licenses(text):
     return len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
 
 
+def license_labels(text, licenses):
+    """Labels of the templates that stand anywhere: key phrases, with so many words of any kind between them."""
+    w = ALNUM.findall((text or "").translate(LOWER))
+    out = set()
+    for label, parts in licenses.items():
+        template = [x for part in parts for x in ([None] * part if isinstance(part, int) else part.split())]
+        for i in range(len(w) - len(template) + 1):
+            if all(a is None or a == b for a, b in zip(template, w[i : i + len(template)], strict=True)):
+                out.add(label)
+                break
+    return out
+
+
 def quality(text):
     text = text or ""
     w = SPACED.findall(text)
