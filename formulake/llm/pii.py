@@ -17,7 +17,7 @@ from .common import cut, let
 
 #: Order of kinds at equal starts.
 KINDS = ("email", "ip", "card", "phone", "term")
-#: The shortest term.
+#: The fewest letters of a term.
 LEAST_TERM = 4
 #: A term is told with an entity in so many documents at least, and discloses so much of it.
 SUPPORT, DISCLOSURE = 2, 0.8
@@ -33,7 +33,7 @@ PATTERNS = {
 }
 #: Cheap conditions without which a pattern can't match.
 _MAY = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]"), "card": lambda t: t.rlike(PATTERNS["card"]), "phone": lambda t: t.contains("+")}
-_TERM = rf"[A-Za-z\x{{80}}-\x{{10FFFF}}]{{{LEAST_TERM},}}+"
+_TERM = rf"[\p{{L}}\p{{M}}]{{{LEAST_TERM},}}+"
 _SPAN = "struct<s: int, k: int, e: int, v: string>"
 _CHUNK = 256
 
@@ -154,7 +154,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Offsets are code points, ends exclusive. Null texts count as empty; null ids
     and repeated rows give a row each (rows with equal id and text count twice
-    in the corpus); an empty table gives none.
+    in the corpus); an empty table gives none. Texts of any length are read whole.
     """
     out = find_spans(docs, id_col, text_col)
     counts = [_count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
