@@ -63,6 +63,42 @@ def quality(text):
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside), n < 20 or 100 * len(inside) > 30 * n
 
 
+def _signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _long(x):
+    return (x % (1 << 64)).to_bytes(8, "little")
+
+
+def quality_verdicts(docs, labels, buckets=1 << 14):
+    """(score, kept) of each (id, text): log ratios of hashed words and pairs, trusted against all; the threshold from every fourth trusted document by hash."""
+
+    def hashes(text):
+        one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in SPACED.findall(text or "")]
+        two = [xxhash.xxh64_intdigest(_long(b), xxhash.xxh64_intdigest(_long(a), 42)) for a, b in zip(one, one[1:], strict=False)]
+        return [[_signed(h) % buckets for h in x] for x in (one, two)]
+
+    each = [hashes(t) for _, t in docs]
+    trusted = {i for i, quality_, toxic in labels if quality_ == 1 and not toxic}
+    held = {i for i in trusted if _signed(xxhash.xxh64_intdigest(b"held out", xxhash.xxh64_intdigest(_long(i), 42))) % 4 == 0}
+    ratios = []
+    for kind in (0, 1):
+        raw, target = Counter(), Counter()
+        for (i, _), h in zip(docs, each, strict=True):
+            raw.update(h[kind])
+            if i in trusted - held:
+                target.update(h[kind])
+        sums = [sum(x.values()) + buckets for x in (target, raw)]
+        ratios.append([float(f"{np.log((target[b] + 1) / sums[0]) - np.log((raw[b] + 1) / sums[1]):.5f}") for b in range(buckets)])
+    mean = lambda own, r: sum(r[b] for b in own) / len(own) if own else 0.0
+    scores = [(mean(h[0], ratios[0]) + mean(h[1], ratios[1])) / 2 for h in each]
+    failed = [quality(t)[-1] for _, t in docs]
+    known = [s for (i, _), s, f in zip(docs, scores, failed, strict=True) if i in held and not f]
+    least = min(0.0, float(np.percentile(known, 1))) - 0.02
+    return [(s, not f and s >= least) for s, f in zip(scores, failed, strict=True)]
+
+
 def fingerprint(text) -> int:
     w = SPACED.findall((text or "").translate(LOWER))
     if not w:
@@ -224,6 +260,38 @@ def secrets(text):
     return *(sum(k == x for _, k, _ in found) for x in range(3)), spans
 
 
+def disclosing_terms(texts, least=0.8, support=2):
+    """All spans of each text: the base ones, and terms that give away the part ``least`` of an entity with which they share documents."""
+    import math
+
+    import regex
+
+    word = regex.compile(r"[\p{L}\p{M}]{4,}+")
+    own, n_entity, n_term, both = [], Counter(), Counter(), Counter()
+    for t in texts:
+        spans = [x.split(":") for x in pii(t)[-1].split(",") if x]
+        spans = [(int(a), ("email", "ip", "card", "phone").index(k), int(b)) for k, a, b in spans]
+        words = [(m.start(), m.end(), m.group().lower()) for m in word.finditer(t or "")]
+        outside = [w for w in words if not any(a < w[1] and w[0] < b for a, _, b in spans)] if spans else []
+        entities = {(t or "")[a:b].lower() for a, _, b in spans}
+        own.append((spans, outside, entities))
+        n_entity.update(entities)
+        n_term.update({w for _, _, w in words})
+        both.update((e, w) for e in entities for w in {w for _, _, w in outside})
+    total = max(len(texts), 2)
+    good = set()
+    for (e, w), n in both.items():
+        if n >= support:
+            info = math.log(total / n_entity[e])
+            if min(math.log(n * total / (n_entity[e] * n_term[w])) / max(info, 1e-9), 1.0) >= least:
+                good.add((e, w))
+    out = []
+    for spans, outside, entities in own:
+        added = [(a, 4, b) for a, b, w in outside if any((e, w) in good for e in entities)]
+        out.append(",".join(f"{('email', 'ip', 'card', 'phone', 'term')[k]}:{a}:{b}" for a, k, b in sorted(spans + added)))
+    return out
+
+
 def random_runs(text, spans, count):
     """Runs of 20 characters or more outside ``spans`` with less than two characters a token, but for digests, UUIDs, numbers, and words joined."""
     found, at = [], 0
