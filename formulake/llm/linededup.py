@@ -29,7 +29,7 @@ REACH = 3
 #: Characters of a text that are wrapped at once; longer texts are cut before a word about there.
 SPAN_CHARS = 1 << 20
 #: Characters of the texts whose windows are compared at once, and bytes of a window's digest.
-BATCH_CHARS, DIGEST = 8 << 20, 12
+BATCH_CHARS, DIGEST = 2 << 20, 12
 
 _LAST = np.uint64((1 << 64) - 1)
 

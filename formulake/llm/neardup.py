@@ -3,8 +3,8 @@
 At this similarity fingerprints differ in too many bits for shards by blocks of
 bits to be small, so the shards of the BK-trees are min-hashes: two documents of
 similarity s share one of eight with probability 1 - (1 - s)^8. Shards hold
-fingerprints of 128 bits; each has a BK-tree, searched within the radius that
-the similarity leaves. What is linked so becomes a group, and in the groups the
+fingerprints of 128 bits; each has a BK-tree, whose centers hold what is near
+them, searched within the radius that the similarity leaves. What is linked so becomes a group, and in the groups the
 exact similarity decides, over all words of the documents. Documents of equal
 shingle sets are one entry from the start, so copies cost nothing; shards and
 groups above a size are taken in blocks, so no task holds an unbounded one.
@@ -21,14 +21,16 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .common import cut
-from .simhash import BKTree, _count_bits
+from .simhash import _count_bits
 
 BITS = 128
 KEYS = 8
 #: Bits in which fingerprints of the least similarity may differ: its mean of 19.4 and more than three deviations.
 RADIUS = 32
 #: Entries of a shard; larger ones are split by a second and a third min-hash, then taken in blocks. Also those of a group.
-SHARD_LIMIT = 1_000
+SHARD_LIMIT = 2_000
+#: Bits within which a tree's center holds prints.
+REACH = 16
 #: Most entries that are sent to all tasks.
 BROADCAST_ROWS = 500_000
 
@@ -75,26 +77,61 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return shared >= least * (len(both) - shared)
 
 
-def forest(prints: list[int], radius: int, linked: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """Pairs of places that connect all ``prints`` within ``radius`` for which ``linked`` holds: the nearest first, none within what is connected."""
-    tree, root, out = BKTree(), list(range(len(prints))), []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for n, x in enumerate(prints):
-        near = tree.near(x, radius)
-        if linked:
-            near.sort(key=lambda i, x=x: (x ^ prints[i]).bit_count())
-        for i in near:
-            if find(i) != find(n) and (linked is None or linked(i, n)):
-                root[find(i)] = find(n)
-                out.append((i, n))
-        tree.add(x)
-    return out
+class BucketTree:
+    """A BK-tree of centers, children keyed by their Hamming distance to the parent; a center holds the prints within ``REACH`` bits of it."""
+
+    def __init__(self, prints: np.ndarray) -> None:
+        self.prints, self.centers, self.children, self.buckets = prints, [], [], []
+
+    def add(self, n: int) -> None:
+        at = 0
+        while self.centers:
+            d = int(np.bitwise_count(self.prints[n] ^ self.prints[self.centers[at]]).sum())
+            if d <= REACH:
+                self.buckets[at].append(n)
+                return
+            below = self.children[at].get(d)
+            if below is None:
+                self.children[at][d] = len(self.centers)
+                break
+            at = below
+        self.centers.append(n)
+        self.children.append({})
+        self.buckets.append([n])
+
+    def near(self, n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places within ``radius`` of the print at ``n``, and their distances."""
+        own, level, found = self.prints[n], [0] if self.centers else [], []
+        while level:  # the nodes of a level at once
+            d = np.bitwise_count(self.prints[[self.centers[at] for at in level]] ^ own).sum(axis=1).tolist()
+            after = []
+            for at, x in zip(level, d, strict=True):
+                if x <= radius + REACH:
+                    found += self.buckets[at]
+                after += [child for e, child in self.children[at].items() if x - radius - REACH <= e <= x + radius + REACH]
+            level = after
+        places = np.array(found, np.int64)
+        d = np.bitwise_count(self.prints[places] ^ own).sum(axis=1) if found else np.zeros(0, np.int64)
+        return places[d <= radius], d[d <= radius]
+
+
+def forest(prints: np.ndarray, radius: int, linked: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """(smallest place of its class, place) for the places connected by ``prints`` (two halves a row) within ``radius`` for which ``linked`` holds; the nearest are tried first, none within what is connected."""
+    tree, label = BucketTree(prints), np.arange(len(prints))
+    for n in range(len(prints)):
+        places, d = tree.near(n, radius)
+        while len(places):
+            k = int(d.argmin())
+            if linked is None or linked(int(places[k]), n):
+                label[label == label[places[k]]] = label[n]
+                rest = label[places] != label[n]
+            else:
+                rest = np.arange(len(places)) != k
+            places, d = places[rest], d[rest]
+        tree.add(n)
+    least = np.full(len(label), len(label))
+    np.minimum.at(least, label, np.arange(len(label)))
+    return [(a, n) for n, a in enumerate(least[label].tolist()) if a != n]
 
 
 def _in_blocks(rows: DataFrame, key: str, limit: int) -> DataFrame:
@@ -106,11 +143,6 @@ def _in_blocks(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "own", "other", "n")
 
 
-def _print(a: int, b: int) -> int:
-    mask = (1 << 64) - 1
-    return (a & mask) << 64 | (b & mask)
-
-
 def _connected(rows: DataFrame, key: str, radius: int, least: float | None) -> DataFrame:
     """Links (src, dst) of each (key, i, j) among ``rows`` (same, a, b, and with ``least`` the ``shingles``)."""
     kind = dict(rows.dtypes)[key]
@@ -119,7 +151,7 @@ def _connected(rows: DataFrame, key: str, radius: int, least: float | None) -> D
         def links() -> None:
             if len(names) > 1:
                 check = (lambda p, q: similar(sets[p], sets[q], least)) if least is not None else None
-                out.extend((names[p], names[q]) for p, q in forest(prints, radius, check))
+                out.extend((names[p], names[q]) for p, q in forest(np.array(prints, np.int64).view(np.uint64), radius, check))
 
         now, names, prints, sets, out = None, [], [], [], []
         for f in frames:
@@ -129,7 +161,7 @@ def _connected(rows: DataFrame, key: str, radius: int, least: float | None) -> D
                     links()
                     now, names, prints, sets = place, [], [], []
                 names.append(same)
-                prints.append(_print(a, b))
+                prints.append((a, b))
                 if own is not None:
                     sets.append(np.frombuffer(own, "<u8"))
             yield pd.DataFrame(out, columns=["src", "dst"], dtype=object)
@@ -142,20 +174,28 @@ def _connected(rows: DataFrame, key: str, radius: int, least: float | None) -> D
     return ordered.mapInPandas(search, "src string, dst string").distinct()
 
 
-def _shards(entries: DataFrame, limit: int) -> DataFrame:
-    """(key, n, same, a, b): entries by the min-hashes they share with others, by one, or by two or three where one is too frequent."""
+def _shards(entries: DataFrame, radius: int, limit: int) -> DataFrame:
+    """(key, n, same, a, b): entries by the min-hashes they share with others: by one, or by two or three where one is too frequent among different texts."""
     of = lambda: F.xxhash64("places", F.transform("places", lambda p: F.element_at("keys", p)))
     rows = entries.withColumn("places", F.explode(F.array(*(F.array(F.lit(p)) for p in range(1, KEYS + 1))))).withColumn("key", of())
     done = None
     for level in (1, 2, 3):
-        sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        taken = rows.join(sizes if level == 3 else sizes.filter(F.col("n") <= limit), "key").select("key", "n", "same", "a", "b")
-        done = taken if done is None else done.unionByName(taken)
+        sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("same", "a", "b")).alias("least")).filter("n > 1"))
         hot = sizes.filter(F.col("n") > limit)
+        if level == 3 or hot.isEmpty():
+            taken = sizes.drop("least")
+        else:
+            # A shard of mostly similar texts gets no smaller by more min-hashes; it is taken in blocks.
+            far = F.bit_count(F.col("a").bitwiseXOR(F.col("least.a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("least.b")))
+            dense = rows.join(hot, "key").groupBy("key").agg(F.avg((far <= radius).cast("int")).alias("share")).filter("share >= 0.5").select("key")
+            hot = cut(hot.join(dense, "key", "left_anti").select("key"))
+            taken = sizes.drop("least").join(hot, "key", "left_anti")
+        found = rows.join(taken, "key").select("key", "n", "same", "a", "b")
+        done = found if done is None else done.unionByName(found)
         if level == 3 or hot.isEmpty():
             return done
         more = F.explode(F.filter(F.array(*map(F.lit, range(1, KEYS + 1))), lambda p: ~F.array_contains("places", p)))
-        rows = rows.join(hot.drop("n"), "key", "left_semi").withColumn("more", more).withColumn("places", F.array_sort(F.array_append("places", F.col("more"))))
+        rows = rows.join(hot, "key", "left_semi").withColumn("more", more).withColumn("places", F.array_sort(F.array_append("places", F.col("more"))))
         rows = cut(rows.drop("more").dropDuplicates(["same", "places"]).withColumn("key", of()))
     return done
 
@@ -179,7 +219,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     # All columns but the first follow from the set, so any row's will do; the least row stands for its copies.
     entries = rows.filter("same <> ''").groupBy("same").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("a", "b", "keys")))
     entries = cut(entries)
-    near = cut(_connected(_in_blocks(_shards(entries.drop("row"), limit), "shard", limit), "key", radius, None))
+    near = cut(_connected(_in_blocks(_shards(entries.drop("row"), radius, limit), "shard", limit), "key", radius, None))
     groups = connected_components(near, cut).withColumnsRenamed({"node": "same", "component": "key"})
     sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     members = cut(entries.join(groups, "same").join(sizes, "key").select("row", "same", "a", "b", "key", "n"))

@@ -35,7 +35,7 @@ PATTERNS = {
 _MAY = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]"), "card": lambda t: t.rlike(PATTERNS["card"]), "phone": lambda t: t.contains("+")}
 _TERM = rf"[\p{{L}}\p{{M}}]{{{LEAST_TERM},}}+"
 _SPAN = "struct<s: int, k: int, e: int, v: string>"
-_CHUNK = 256
+_CHUNK = 64
 
 
 def _digits(m: Column) -> Column:
@@ -62,21 +62,27 @@ _HOLDS = {"email": lambda m: F.lit(True), "ip": _small_parts, "card": _luhn, "ph
 
 
 def placed(text: Column, pattern: str) -> Column:
-    """(start, match) of all matches: lengths of what stands between matches, summed up in chunks."""
+    """(start, match) of all matches: lengths of what stands between matches, summed up in chunks, and over chunks. No step copies what is done."""
     one = "struct<s: int, m: string>"
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + F.length(x["gap"])
         return F.struct((at + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("s"), x["m"].alias("m")))).alias("out"))
 
-    def chunk(acc: Column, part: Column) -> Column:
-        own = F.aggregate(part, F.struct(acc["at"].alias("at"), F.expr(f"CAST(array() AS array<{one}>)").alias("out")), step)
-        return let(own, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+    def begins(chunks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("out"))
+        return F.aggregate(chunks, start, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
 
     def of(found: Column) -> Column:
         pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-        chunks = let(pairs, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _CHUNK).cast("int")), lambda i: F.slice(p, i * _CHUNK + 1, F.lit(_CHUNK))))
-        return F.flatten(F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS array<array<{one}>>)").alias("out")), chunk)["out"])
+        empty = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS array<{one}>)").alias("out"))
+
+        def chunked(p: Column) -> Column:
+            size = F.greatest(F.lit(_CHUNK), F.ceil(F.cbrt(2 * F.size(p))).cast("int"))  # the fewest copies in and over chunks
+            return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / size).cast("int")), lambda i: F.aggregate(F.slice(p, i * size + 1, size), empty, step))
+
+        whole = lambda c: F.flatten(F.zip_with(c, begins(c), lambda x, at: F.transform(x["out"], lambda y: F.struct((y["s"] + at).alias("s"), y["m"].alias("m")))))
+        return let(let(pairs, chunked), whole)
 
     nothing = F.expr(f"CAST(array() AS array<{one}>)")
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, of(found)).otherwise(nothing))
