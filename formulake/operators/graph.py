@@ -59,6 +59,60 @@ def chain_edges(rows: DataFrame, chain: str = "chain", threshold: float = 0.5, i
     return scored.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "weight"), members
 
 
+#: Relations of a graph, in the order in which they are laid over each other.
+RELATIONS = ("contains_symbol", "transformation_similarity", "same_type", "same_source")
+
+
+def build(rows: DataFrame, symbols: str = "symbols", chain: str = "chain", kind: str = "theorem_type", source: str = "source", threshold: float = 0.5, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): nodes (node, node_type, theorem_type) of rows and symbols; edges (src, dst, edge_type, weight, n) of all relations, a bag.
+
+    Ids are strings. Chains are compared class by class, types and sources link
+    to the smallest id of their group: ``n`` is the size of the class or group
+    for which a link stands.
+    """
+    own = rows.withColumn("__id", F.col(id_col).cast("string"))
+    uses = symbol_edges(own, symbols, id_col="__id").withColumn("n", F.lit(1).cast("long"))
+    pairs, members = chain_edges(own, chain, threshold, "__id")
+    sizes = members.select(F.col("class").alias("src"), "n").distinct()
+    moved = pairs.join(sizes, "src").select("src", "dst", F.lit("transformation_similarity").alias("edge_type"), "weight", "n")
+    edges = uses.unionByName(moved)
+    for column, name, weight in ((kind, "same_type", TYPE_WEIGHT), (source, "same_source", SOURCE_WEIGHT)):
+        edges = edges.unionByName(group_links(own, column, name, weight, "__id").select("src", "dst", "edge_type", "weight", "n"))
+    nodes = own.select(F.col("__id").alias("node"), F.lit("theorem").alias("node_type"), F.col(kind).alias("theorem_type"))
+    named = uses.select(F.col("dst").alias("node"), F.lit("symbol").alias("node_type"), F.lit(None).cast("string").alias("theorem_type")).distinct()
+    return nodes.unionByName(named), edges
+
+
+def simple_view(edges: DataFrame) -> DataFrame:
+    """(src, dst, edge_type, weight) with one edge for two nodes: that of the last relation, src before dst."""
+    place = F.array_position(F.array(*map(F.lit, RELATIONS)), F.col("edge_type"))
+    ends = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.struct(place.alias("o"), "edge_type", "weight").alias("e"))
+    return ends.groupBy("src", "dst").agg(F.max("e").alias("e")).select("src", "dst", "e.edge_type", "e.weight")
+
+
+def of_types(nodes: DataFrame, edges: DataFrame, types: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the theorems of some types and the symbols they use: induced edges, and no symbol without one."""
+    kept = nodes.filter((F.col("node_type") == "symbol") | F.col("theorem_type").isin(*types))
+    inner = subgraph(edges, kept.select("node"))
+    linked = inner.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return kept.join(linked, "node", "left_semi").unionByName(kept.filter("node_type <> 'symbol'").join(linked, "node", "left_anti")), inner
+
+
+def shared_by(rows: DataFrame, related: DataFrame, symbols: str = "symbols", kind: str = "theorem_type", id_col: str = "id", first: int = 10) -> DataFrame:
+    """(id, related, types, shared): for each row its related rows' number and types, and the first symbols that all of them share with it.
+
+    ``related`` (id, other). Symbols are counted, so no row's relations are gathered.
+    """
+    own = rows.select(F.col(id_col).alias("id"), F.array_distinct(symbols).alias("s"), F.col(kind).alias("k"))
+    pairs = related.select("id", "other").distinct()
+    others = pairs.join(own.withColumnsRenamed({"id": "other", "s": "t"}), "other")
+    n = others.groupBy("id").agg(F.count(F.lit(1)).alias("related"), F.array_sort(F.collect_set("k")).alias("types"))
+    each = others.join(own.select("id", "s"), "id").select("id", F.explode(F.array_intersect("s", "t")).alias("symbol"))
+    common = each.groupBy("id", "symbol").agg(F.count(F.lit(1)).alias("c")).join(n.select("id", "related"), "id").filter("c = related")
+    shared = common.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("symbol")), 1, first).alias("shared"))
+    return n.join(shared, "id", "left").withColumn("shared", F.coalesce("shared", F.expr("CAST(array() AS array<string>)")))
+
+
 def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return connected_components(edges, cut)
 
@@ -113,10 +167,13 @@ def statistics(edges: DataFrame, nodes: DataFrame, cut: Callable[[DataFrame], Da
 
 
 def positions(nodes: DataFrame, layout: str = "circular", order: str = "node") -> DataFrame:
-    """(node, x, y) on a circle, by the nodes' order; ``shell`` puts them on rings of 12, 24, 36 and so on.
+    """(node, x, y) on a circle, by the nodes' order; ``shell`` puts them on rings of 12, 24, 36 and so on, ``random`` anywhere in the unit square.
 
     The rank of a node is its count of smaller nodes by range partition, so nothing is sorted in one task.
     """
+    if layout == "random":  # the same for the same node
+        unit = lambda salt: F.pmod(F.xxhash64(F.col("node"), F.lit(salt)), F.lit(1 << 52)) / float(1 << 52)
+        return nodes.select("node", unit("x").alias("x"), unit("y").alias("y"))
     ranked = ranks(nodes, order)
     total = nodes.count()
     if layout == "circular":

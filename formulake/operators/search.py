@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import latex, sets
@@ -37,19 +37,75 @@ def _tagged(key: str, values: Column) -> Column:
     return F.transform(values, lambda x: F.struct(F.lit(key).alias("key"), x.cast("string").alias("value")))
 
 
-def text_search(postings: DataFrame, total: int, query: str) -> DataFrame:
-    """(id, score) by the sum of rarity times weight over the query's tokens, at most 1.
+def text_search(postings: DataFrame, total: int, query: str, n: int | None = None, reasons: int = 3) -> DataFrame:
+    """(id, score, fields, reasons) by the sum of rarity times weight over the query's tokens, at most 1; the first ``n`` by score and id, if given.
 
     Rarity is rows over postings of the token. Only the query's postings are
-    read: the filter on tokens reaches the scan.
+    read: the filter on tokens reaches the scan. ``reasons`` are the first
+    matches, by the tokens' order in the query and the field's name.
     """
     spark = postings.sparkSession
     tokens = [r[0] for r in spark.range(1).select(F.explode(latex.search_tokens(F.lit(query)))).collect()]
     if not tokens:
-        return postings.limit(0).select("id", F.lit(0.0).alias("score"))
+        return postings.limit(0).select("id", F.lit(0.0).alias("score"), F.array("field").alias("fields"), F.array("field").alias("reasons"))
     mine = postings.filter(F.col("token").isin(*tokens))
     rarity = F.broadcast(mine.groupBy("token").agg((F.lit(float(total)) / F.count(F.lit(1))).alias("idf")))  # one row a query token
-    return mine.join(rarity, "token").groupBy("id").agg(F.least(F.sum(F.col("idf") * F.col("weight")) / len(tokens), F.lit(1.0)).alias("score"))
+    place = F.array_position(F.array(*map(F.lit, tokens)), F.col("token"))
+    told = F.struct(place.alias("p"), "field", F.concat(F.lit("Matched '"), "token", F.lit("' in "), "field").alias("r"))
+    hits = mine.join(rarity, "token").groupBy("id").agg(F.least(F.sum(F.col("idf") * F.col("weight")) / len(tokens), F.lit(1.0)).alias("score"), F.array_sort(F.collect_set("field")).alias("fields"), F.array_sort(F.collect_list(told)).alias("t"))
+    out = hits.select("id", "score", "fields", F.transform(F.slice("t", 1, reasons), lambda x: x["r"]).alias("reasons"))
+    return out if n is None else top(out, n, F.desc(F.round("score", 9)), "id")
+
+
+def build_index(postings: DataFrame, path: str, buckets: int = 256) -> None:
+    """Writes postings by a hash of their token, so a search reads the folders of its tokens only."""
+    postings.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("token").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def search_index(spark: SparkSession, path: str, total: int, query: str, n: int | None = None, buckets: int = 256) -> DataFrame:
+    """``text_search`` over a written index: folders are pruned by the tokens' hashes."""
+    tokens = [r[0] for r in spark.range(1).select(F.explode(F.transform(latex.search_tokens(F.lit(query)), lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")))).collect()]
+    return text_search(spark.read.parquet(path).filter(F.col("bucket").isin(*tokens or [-1])).drop("bucket"), total, query, n)
+
+
+#: Suggestions of a search.
+SUGGESTIONS = {
+    "fuzzy": "Try enabling **Fuzzy Search** for approximate matching", "symbol": "Try enabling **Symbol Search** - your query contains mathematical symbols", "filters": "Try removing some **filters** to broaden your search",
+    "fewer": "Try using **fewer keywords** for broader results", "more": "Try adding **more descriptive terms** to your query",
+}
+
+
+def suggestions(query: Column, kinds: Column, filtered: Column, most: int = 3) -> Column:
+    """The first suggestions for a search of ``query`` with ``kinds`` of search; ``filtered`` tells whether it had filters."""
+    words = F.size(F.filter(F.split(F.trim(query), r"\s+"), lambda w: w != ""))
+    told = {"fuzzy": ~F.array_contains(kinds, "fuzzy"), "symbol": ~F.array_contains(kinds, "symbol") & query.rlike("[∀∃∈∑∏∫]"), "filters": filtered, "fewer": words > 3, "more": words == 1}
+    return F.slice(F.array_compact(F.array(*(F.when(c, F.lit(SUGGESTIONS[k])) for k, c in told.items()))), 1, most)
+
+
+#: What results are ordered by.
+ORDERS = {"relevance": "score", "confidence": "confidence", "type": "theorem_type", "validation": "pass_rate"}
+
+
+def ordered_by(results: DataFrame, by: str = "relevance", descending: bool = True, id_col: str = "id") -> DataFrame:
+    """Results in the order of one of ``ORDERS``, relevance for unknown ones; ties by id."""
+    c = F.col(ORDERS.get(by, "score"))
+    return results.orderBy(c.desc() if descending else c.asc(), id_col)
+
+
+def by_value(rows: DataFrame, column: str, *values: object) -> DataFrame:
+    """Rows whose ``column`` is one of ``values``: look-up by id or type; the filter reaches the scan."""
+    return rows.filter(F.col(column).isin(*values))
+
+
+def with_relevance(rows: DataFrame, results: DataFrame, id_col: str = "id") -> DataFrame:
+    """``rows`` with the ``relevance`` of their search result, null for those that weren't found."""
+    return rows.join(results.select(F.col("id").alias("__id"), F.col("score").alias("relevance")), F.col(id_col) == F.col("__id"), "left").drop("__id")
+
+
+def first_of_each(rows: DataFrame, by: str, k: int, *order: Column | str) -> DataFrame:
+    """The first ``k`` rows of each value of ``by`` in a total order."""
+    w = Window.partitionBy(by).orderBy(*order)
+    return rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
 
 
 def fuzzy_search(rows: DataFrame, query: str, columns: list[str], threshold: float = 0.7, id_col: str = "id") -> DataFrame:
@@ -124,7 +180,7 @@ def upsert(index: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
 
 def sample(rows: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:
     """``n`` rows, the same for the same seed."""
-    return rows.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), id_col).limit(n)
 
 
 def best_of(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

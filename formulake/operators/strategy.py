@@ -91,6 +91,14 @@ def performance(results: DataFrame, by: str = "strategy") -> DataFrame:
     return results.groupBy(by).agg(F.count(F.lit(1)).alias("attempts"), F.count_if("success").alias("successes"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.avg("confidence").alias("mean_confidence"), F.avg("seconds").alias("mean_time"))
 
 
+def history(results: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(strategy, total_attempts, successes, total_time, success_rate, mean_time): the history ``before`` with new results (strategy, success, seconds) added."""
+    new = results.groupBy("strategy").agg(F.count(F.lit(1)).alias("total_attempts"), F.count_if("success").alias("successes"), F.sum(F.col("seconds").cast("double")).alias("total_time"))
+    if before is not None:
+        new = new.unionByName(before.select(*new.columns)).groupBy("strategy").agg(*(F.sum(c).alias(c) for c in new.columns[1:]))
+    return new.withColumns({"success_rate": F.col("successes") / F.col("total_attempts"), "mean_time": F.col("total_time") / F.col("total_attempts")})
+
+
 def first_result(results: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
     """The first method in ``order`` that proved or disproved; else the result of highest confidence."""
     place = F.array_position(F.array(*(F.lit(x) for x in order)), F.col("method"))

@@ -194,7 +194,7 @@ def token_postings(spark, d):
 
 @query("text_search", cte(POSTINGS, Q, TEXT_HITS) + f"SELECT id, {r('score')} AS score FROM hits")
 def text_search(spark, d):
-    return _rounded(search.text_search(_postings(spark, d), table(spark, d, "documents").count(), QUERY), "score")
+    return _rounded(search.text_search(_postings(spark, d), table(spark, d, "documents").count(), QUERY).select("id", "score"), "score")
 
 
 def _jac(a: str, b: str) -> str:
@@ -536,7 +536,15 @@ def fingerprint_similarity(spark, d):
     return _rounded(cluster.similar_fingerprints(_prints(spark, d), 0.7)[0], "weight")
 
 
-@query("density_clusters")
+def density_sql(least: int) -> str:
+    """Clusters by density from ``links`` (src, dst) and ``sizes`` (class, n): linked cores, and what is beside a core."""
+    return f"""ends AS (SELECT src, dst FROM links UNION ALL SELECT dst, src FROM links), core AS (SELECT class FROM sizes LEFT JOIN (SELECT src, sum(n) AS k FROM ends JOIN sizes ON class = dst GROUP BY 1) ON src = class WHERE n + coalesce(k, 0) >= {least}),
+ reach AS (SELECT class AS node, class AS other FROM core UNION SELECT r.node, e.dst FROM reach r JOIN ends e ON e.src = r.other JOIN core ON core.class = e.dst), own AS (SELECT node AS class, min(other) AS cluster FROM reach GROUP BY 1),
+ found AS (SELECT * FROM own UNION ALL SELECT e.src, min(o.cluster) FROM ends e JOIN own o ON o.class = e.dst WHERE e.src NOT IN (SELECT class FROM core) GROUP BY 1)"""
+
+
+@query("density_clusters", f"""WITH RECURSIVE {PRINTS}, {CLASSES}, links AS (SELECT a.class AS src, b.class AS dst FROM classes a JOIN classes b ON a.class < b.class WHERE round({SIM}, 9) >= 0.9), sizes AS (SELECT class, n FROM classes), {density_sql(2)}
+ SELECT p.id, class, cluster FROM prints p JOIN classes c ON p.hash = c.hash AND p.symbols = c.symbols AND p.operations = c.operations AND p.functions = c.functions AND p.complexity = c.complexity JOIN found USING (class)""")
 def density_clusters(spark, d):
     links, members = cluster.similar_fingerprints(_prints(spark, d), 0.9)
     found = cluster.density_clusters(cut(links), cut(members), cut)

@@ -23,12 +23,20 @@ def read_latex(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("blocks", latex.text_blocks(F.col("text")))
 
 
-def read_pdf(spark: SparkSession, path: str, pages: Callable[[bytes], Iterator[str]] | None = None, max_pages: int = 1000) -> DataFrame:
+#: How a PDF may be read: its text, its formulas, or both.
+MODES = ("text", "formulas", "both")
+
+
+def read_pdf(spark: SparkSession, path: str, pages: Callable[[bytes], Iterator[str]] | str | None = None, max_pages: int | None = None, mode: str = "both") -> DataFrame:
     """(path, page, text, error) of the pages with ten characters or more; a file that fails gives one row with its error.
 
-    ``pages`` turns a file's bytes into texts; a library is looked for where it isn't given.
+    ``pages`` turns a file's bytes into texts, or names one of ``BACKENDS``; the
+    first one that is installed is taken where it isn't given. In the mode
+    "formulas" pages without a formula sign are left out.
     """
-    reader = pages or _pdf_pages
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}")
+    reader = pages if callable(pages) else (lambda content: _pdf_pages(content, pages))
     schema = "path string, page int, text string, error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,7 +45,7 @@ def read_pdf(spark: SparkSession, path: str, pages: Callable[[bytes], Iterator[s
             for p, content in zip(f["path"], f["content"], strict=True):
                 try:
                     for i, text in enumerate(reader(bytes(content))):
-                        if i >= max_pages:
+                        if max_pages is not None and i >= max_pages:
                             break
                         if len(text.strip()) >= 10:
                             out.append((p, i, text, None))
@@ -45,27 +53,55 @@ def read_pdf(spark: SparkSession, path: str, pages: Callable[[bytes], Iterator[s
                     out.append((p, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", "page", "text", "error"]).astype({"page": "Int32"})
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content").mapInPandas(run, schema)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content").mapInPandas(run, schema)
+    return found if mode != "formulas" else found.filter(F.col("error").isNotNull() | F.col("text").rlike(r"\$|\\\(|\\\[|\\begin\{"))
+
+
+def pdf_documents(pages: DataFrame, mode: str = "both") -> DataFrame:
+    """(path, text, error, extraction_mode, pages_processed): the pages of each file in order, and how many were kept."""
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n")
+    return pages.groupBy("path").agg(ordered.alias("text"), F.max("error").alias("error"), F.lit(mode).alias("extraction_mode"), F.count("page").cast("int").alias("pages_processed"))
 
 
-def _pdf_pages(content: bytes) -> Iterator[str]:
-    try:
-        import fitz
-    except ImportError:
-        raise RuntimeError("no PDF library is installed; pass a reader of pages") from None
+def _by_text(content: bytes) -> Iterator[str]:
+    import fitz
+
     with fitz.open(stream=content, filetype="pdf") as doc:
         for page in doc:
             yield page.get_text()
 
 
+def _by_layout(content: bytes) -> Iterator[str]:
+    import io
+
+    import pdfplumber
+
+    with pdfplumber.open(io.BytesIO(content)) as doc:
+        for page in doc.pages:
+            yield page.extract_text() or ""
+
+
+#: Readers of pages by name: by the text's order, by its layout. Neither library is needed unless PDF files are read.
+BACKENDS: dict[str, Callable[[bytes], Iterator[str]]] = {"text": _by_text, "layout": _by_layout}
+
+
+def _pdf_pages(content: bytes, backend: str | None = None) -> Iterator[str]:
+    if backend is not None and backend not in BACKENDS:
+        raise ValueError(f"unknown backend {backend}")
+    for name in [backend] if backend else BACKENDS:
+        try:
+            return iter(list(BACKENDS[name](content)))
+        except ImportError:
+            continue
+    raise RuntimeError("no PDF library is installed; pass a reader of pages")
+
+
 def read_any(spark: SparkSession, path: str, kind: str = "auto", pages: Callable[[bytes], Iterator[str]] | None = None) -> DataFrame:
     """(path, text, error) by suffix: .pdf files by the PDF reader, others as LaTeX."""
     if kind not in ("auto", "pdf", "latex"):
         raise ValueError(f"unknown source type {kind}")
     if kind == "pdf" or kind == "auto" and path.lower().endswith(".pdf"):
-        one = read_pdf(spark, path, pages)
-        ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n")
-        return one.groupBy("path").agg(ordered.alias("text"), F.max("error").alias("error"))
+        return pdf_documents(read_pdf(spark, path, pages)).select("path", "text", "error")
     return read_latex(spark, path).select("path", "text", F.lit(None).cast("string").alias("error"))
 
 
@@ -138,6 +174,14 @@ def read_hypotheses(spark: SparkSession, path: str) -> DataFrame:
     return file.select(F.explode("hypotheses").alias("h")).select("h.*")
 
 
+def read_report_summary(spark: SparkSession, path: str) -> DataFrame:
+    """(path, summary, statistics, by_status): the summary, the statistics as JSON, and the number of formulas by status, of each report."""
+    summary = "struct<total_formulas:int,validated_formulas:int,passed_formulas:int,failed_formulas:int,error_formulas:int,partial_formulas:int,overall_pass_rate:double,average_confidence:double,validation_time:double>"
+    text = spark.read.text(path, wholetext=True)
+    one = F.from_json("value", f"struct<summary:{summary},results_by_status:map<string,array<string>>>")
+    return text.select(F.col("_metadata.file_path").alias("path"), one.alias("r"), F.get_json_object("value", "$.statistics").alias("statistics")).select("path", "r.summary", "statistics", F.transform_values("r.results_by_status", lambda _, ids: F.size(ids)).alias("by_status"))
+
+
 def read_validation_report(spark: SparkSession, path: str) -> DataFrame:
     """(formula_id, status, confidence_score, pass_rate, total_tests) of the detailed results."""
     one = "struct<formula:string,status:string,confidence_score:double,pass_rate:double,total_tests:int,passed_tests:int,failed_tests:int,error_tests:int>"

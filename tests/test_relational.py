@@ -288,3 +288,92 @@ def test_windowed_metrics(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     out = windowed_metrics(events, "ts", "event_type", "value", "1 day")
     assert out.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_more_readers(spark, tmp_path):
+    """Dispatch by suffix, hypotheses, report summaries, PDF modes and backends."""
+    from formulake.sources import documents as D
+    from formulake.sources import reports
+    from formulake.sources import rules as R
+    from formulake.sources import writers as W
+
+    (tmp_path / "a.tex").write_text("Some text with $x$ % gone\n")
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "one.pdf").write_bytes(b"a page without any sign\x0cthe formula $x + 1$ here\x0ctiny")
+    (tmp_path / "p" / "bad.pdf").write_bytes(b"\xff")
+    split = lambda b: iter(b.decode().split("\x0c"))
+    assert "gone" not in D.read_any(spark, str(tmp_path / "a.tex")).first()["text"]
+    with pytest.raises(ValueError, match="unknown source type"):
+        D.read_any(spark, "x", "word")
+    whole = {r["path"].split("/")[-1]: r for r in D.pdf_documents(D.read_pdf(spark, str(tmp_path / "p"), split), "both").collect()}
+    assert whole["one.pdf"]["pages_processed"] == 2 and whole["one.pdf"]["text"].count("\n") == 1 and whole["bad.pdf"]["error"] and whole["bad.pdf"]["pages_processed"] == 0
+    assert [r["page"] for r in D.read_pdf(spark, str(tmp_path / "p"), split, mode="formulas").filter("error IS NULL").collect()] == [1]
+    assert [r["page"] for r in D.read_pdf(spark, str(tmp_path / "p"), split, max_pages=1).filter("error IS NULL").collect()] == [0]
+    assert D.read_any(spark, str(tmp_path / "p" / "one.pdf"), pages=split).first()["text"].startswith("a page")
+    assert "unknown backend" in D.read_pdf(spark, str(tmp_path / "p"), "nothing").first()["error"]
+    assert all(r["error"] for r in D.read_pdf(spark, str(tmp_path / "p"), "layout").collect())
+    with pytest.raises(ValueError, match="unknown mode"):
+        D.read_pdf(spark, "x", mode="all")
+    (tmp_path / "h.json").write_text(json.dumps({"hypotheses": [{"hypothesis_id": "h1", "confidence_score": 0.5, "source_formulas": ["x"]}, {"hypothesis_id": "h2"}]}))
+    assert [(r["hypothesis_id"], r["confidence_score"]) for r in D.read_hypotheses(spark, str(tmp_path / "h.json")).collect()] == [("h1", 0.5), ("h2", None)]
+    report = {"summary": {"total_formulas": 2, "overall_pass_rate": 0.5}, "statistics": {"a": 1}, "results_by_status": {"PASS": ["f1"], "FAIL": []}, "detailed_results": {"f1": {"formula": "x", "status": "PASS", "pass_rate": 1.0, "total_tests": 3}}}
+    (tmp_path / "r.json").write_text(json.dumps(report))
+    summary = D.read_report_summary(spark, str(tmp_path / "r.json")).first()
+    assert summary["summary"]["total_formulas"] == 2 and summary["by_status"] == {"PASS": 1, "FAIL": 0} and json.loads(summary["statistics"]) == {"a": 1}
+    assert [(r["formula_id"], r["status"], r["total_tests"]) for r in D.read_validation_report(spark, str(tmp_path / "r.json")).collect()] == [("f1", "PASS", 3)]
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "source string, x int")
+    W.write_by_source(rows, str(tmp_path / "by"))
+    assert spark.read.json(str(tmp_path / "by")).filter("source = 'b'").count() == 2
+    assert [r["value"] for r in W.report_text(rows, "Block", "source", "x").orderBy("value").collect()] == ["Block 1: a", "Block 2: b", "Block 3: b"]
+    exported = {r["rule_type"]: len(r["rules"]) for r in R.export(R.builtin(spark)).collect()}
+    assert exported == {"algebraic": 13, "trigonometric": 15, "logarithmic": 3, "exponential": 3, "calculus": 3}
+    head = reports.header(rows, "total", {"sources": "source"}, threshold=0.7)
+    assert head.first().asDict() == {"total": 3, "sources": {"a": 1, "b": 2}, "threshold": 0.7}
+    assert json.loads(reports.document(head, rows, "metadata", "items", "x").first()["value"])["items"][2] == {"source": "b", "x": 3}
+    reports.write_document(head, rows, str(tmp_path / "doc"), "metadata", "items")
+    assert spark.read.json(str(tmp_path / "doc" / "items")).count() == 3
+
+
+def test_report_limits(spark, monkeypatch):
+    from formulake.sources import reports
+
+    rows = spark.range(5).withColumn("k", F.col("id").cast("string"))
+    monkeypatch.setattr(reports, "MOST_ITEMS", 3)
+    monkeypatch.setattr(reports, "MOST_VALUES", 3)
+    with pytest.raises(ValueError, match="at most 3 items"):
+        reports.document(rows.limit(1), rows, "m", "i", "id")
+    with pytest.raises(ValueError, match="more than 3 values"):
+        reports.header(rows, "n", {"d": "k"})
+
+
+def test_reports_and_plots(spark):
+    from formulake.operators import validation
+    from formulake.sources import reports
+
+    tests = spark.createDataFrame([("f", True, False, "symbolic"), ("f", False, False, "numerical"), ("g", True, False, "symbolic")], "formula_id string, passed boolean, errored boolean, test_type string")
+    summary, by_status, details = reports.validation_report(validation.roll_up(tests))
+    assert summary.first()["formulas"] == 2 and {tuple(r) for r in by_status.collect()} == {("FAIL", "f"), ("PASS", "g")} and details.count() == 2
+    points = spark.createDataFrame([(1, [0.0, 1.0], 0), (2, [2.0, 1.0], 0), (3, [9.0, 9.0], -1)], "id int, reduced array<double>, label int")
+    sizes, places = reports.plot_data(points, "id", "reduced", "label")
+    assert {(r["label"], r["n"], r["x"], r["noise"]) for r in sizes.collect()} == {(0, 2, 1.0, False), (-1, 1, 9.0, True)} and places.columns == ["id", "x", "y", "label"]
+
+
+def test_written_index(spark, tmp_path):
+    """Only the folders of the query's tokens are read."""
+    rows = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (3, "delta")], "id int, t string")
+    postings = search.text_postings(rows, {"statement": "t"})
+    search.build_index(postings, str(tmp_path / "index"), 16)
+    found = search.search_index(spark, str(tmp_path / "index"), 3, "beta alpha", buckets=16)
+    assert sorted(map(tuple, found.select("id", "score").collect())) == sorted(map(tuple, search.text_search(postings, 3, "beta alpha").select("id", "score").collect()))
+    assert found.orderBy(F.desc("score"), "id").first()["reasons"] == ["Matched 'beta' in statement", "Matched 'alpha' in statement"]
+    assert "PartitionFilters: [" in plan_of(found) and search.search_index(spark, str(tmp_path / "index"), 3, "the", buckets=16).count() == 0
+
+
+def test_vector_links(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([0.0, 0.3, 0.9, 1.4]) for _ in range(5)]) for i in range(200)]
+    links, members = cluster.vector_links(spark.createDataFrame(rows, "id int, v array<double>"), "v", 0.7)
+    of = {r["id"]: r["class"] for r in members.collect()}
+    got = {(r["src"], r["dst"]) for r in links.collect()}
+    expected = {(min(of[i], of[j]), max(of[i], of[j])) for (i, a), (j, b) in itertools.combinations(rows, 2) if of[i] != of[j] and math.dist(a, b) <= 0.7}
+    assert got == expected and expected
