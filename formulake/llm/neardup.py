@@ -25,8 +25,8 @@ from .simhash import _count_bits
 
 BITS = 128
 KEYS = 8
-#: Bits in which fingerprints of the least similarity may differ: its mean of 19.4 and more than three deviations.
-RADIUS = 32
+#: Bits in which fingerprints of the least similarity may differ: its mean of 19.4 and five deviations; unrelated ones differ in 64.
+RADIUS = 40
 #: Entries of a shard; larger ones are split by a second and a third min-hash, then taken in blocks. Also those of a group.
 SHARD_LIMIT = 2_000
 #: Bits within which a tree's center holds prints.

@@ -514,9 +514,9 @@ def test_html_probes(spark):
     odd = [
         '<div class="layout has-sidebar"><article><p>One</p></article></div>', '<div id="content" class="no-sidebar"><p>Two</p></div>', "<form id=f><div><h1>T</h1><p>Three</p><button>Go</button></div></form>",
         '<p>See <a class="related" href="x">this</a> and <math><mi>x</mi><mo>+</mo><mn>1</mn></math> end.</p>', "<form><p>Only</p></form>", '<div class="widget"><p>Whole</p></div>',
-        "<script><!-- no end </script><p>After</p>", "<head><title>t</title><p>Open head",
+        "<script><!-- no end </script><p>After</p>", "<head><title>t</title><p>Open head", "<p style='color: red'>Seen</p><p style='display:  none'>Unseen</p>",
     ]
-    assert [extracted(spark, [x])[0] for x in odd] == [["One"], ["Two"], ["T", "Three"], ["See this and x+1 end."], ["Only"], ["Whole"], ["After"], ["Open head"]]
+    assert [extracted(spark, [x])[0] for x in odd] == [["One"], ["Two"], ["T", "Three"], ["See this and x+1 end."], ["Only"], ["Whole"], ["After"], ["Open head"], ["Seen"]]
     large = ["<div>" * 100_000 + "deep" + "</div>" * 100_000, "<script>var a = '</p>';</script>" * 300_000 + "<p>end", "</b></p>" * 100_000 + "x", "<p>a<b>" * 50_000, "<" * 200_000]
     got = extracted(spark, large)
     assert got[:3] == [["deep"], ["end"], ["x"]] and got[3] == ["a"] * 50_000 and got[4][0].startswith("<<<")
