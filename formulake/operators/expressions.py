@@ -214,6 +214,15 @@ def pair_hypotheses(rows: DataFrame, formula: str = "formula", first: int = 20,
     return made.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).select("hypothesis_type", "hypothesis", "lineage")
 
 
+def all_hypotheses(rows: DataFrame, formula: str = "formula", most: int = 50) -> DataFrame:
+    """(hypothesis_type, hypothesis, sources): what all generators give, a bag of different hypotheses with their number of sources, the first ``most`` of each type by text. The cap is part of the operator."""
+    from . import search
+
+    one = hypotheses(rows.select(formula).distinct(), formula).select("hypothesis_type", "hypothesis", F.lit(1).alias("sources"))
+    both = one.unionByName(pair_hypotheses(rows, formula, most=most).select("hypothesis_type", "hypothesis", F.lit(2).alias("sources")))
+    return search.first_of_each(both.groupBy("hypothesis_type", "hypothesis").agg(F.max("sources").alias("sources")), "hypothesis_type", most, "hypothesis")
+
+
 # -- rules and proofs ---------------------------------------------------------------------------------
 
 

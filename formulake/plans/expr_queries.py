@@ -92,6 +92,11 @@ def expr_pair_hypotheses(spark, d):
     return X.pair_hypotheses(_formulas(spark, d)).withColumn("lineage", F.array_join("lineage", "; "))
 
 
+@query("hypotheses_capped")
+def hypotheses_capped(spark, d):
+    return X.all_hypotheses(_formulas(spark, d), most=50)
+
+
 @query("expr_theorems")
 def expr_theorems(spark, d):
     h = X.hypotheses(_formulas(spark, d)).select("hypothesis", "hypothesis_type").distinct()
@@ -138,7 +143,13 @@ def proof_statistics(spark, d):
     return tried.groupBy("method", "status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
-@query("lean_statements")
+# The statement of each of EQUATIONS, in turn, written by hand.
+LEAN_SQL = """CASE p_partkey % 8 WHEN 0 THEN '(x y : ℝ) : ((x + y) ^ 2) = ((2 * x * y) + (x ^ 2) + (y ^ 2))' WHEN 1 THEN '(x : ℝ) : (((Real.cos x) ^ 2) + ((Real.sin x) ^ 2)) = 1' WHEN 2 THEN '(x : ℝ) : (x + 1) = x' WHEN 3 THEN '(x y : ℝ) : (f (x + y)) = ((f x) + (f y))'
+ WHEN 4 THEN '(x : ℝ) : (Real.sin (2 * x)) = (2 * (Real.cos x) * (Real.sin x))' WHEN 6 THEN '(x : ℝ) : (x ^ 2) = ' || p_size WHEN 7 THEN '(x y : ℝ) : ((Real.exp x) * (Real.exp y)) = (Real.exp (x + y))'
+ ELSE CASE p_partkey % 7 WHEN 0 THEN ': ' || p_size || ' = ' || p_size WHEN 1 THEN '(x : ℝ) : (x + ' || p_size || ') = (x + ' || p_size || ')' ELSE '(x : ℝ) : ((' || (p_partkey % 7) || ' * x) + ' || p_size || ') = ((' || (p_partkey % 7) || ' * x) + ' || p_size || ')' END END"""
+
+
+@query("lean_statements", f"SELECT p_partkey AS id, 'theorem t_' || p_partkey || ' ' || {LEAN_SQL} AS lean, 'failed' AS verdict FROM part")
 def lean_statements(spark, d):
     t = X.lean_statements(_equations(spark, d))
     return t.select("id", "lean", X.simulated_verdict(F.col("lean")).alias("verdict"))

@@ -92,6 +92,14 @@ def test_hypotheses():
     assert ("limit", "limit(1/x, x, oo) = 0", ["limit_evaluation"]) in [(k, f.replace("x**(-1)", "1/x"), w) for k, f, w in X.unary_hypotheses("1/x")]
 
 
+def test_all_hypotheses(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["x**2 - 1", "sin(x)", "x + 1", "log(x, 2)", "x +", None, "sin(x)"])], "id int, formula string")
+    got = X.all_hypotheses(rows, most=3).collect()
+    kinds = {r["hypothesis_type"] for r in got}
+    assert {"functional_equation", "transformation", "limit", "generalization", "composition"} <= kinds
+    assert all(sum(r["hypothesis_type"] == k for r in got) <= 3 for k in kinds) and len({(r["hypothesis_type"], r["hypothesis"]) for r in got}) == len(got)
+
+
 def test_rewriting():
     steps = X.rewrite_sequence(E.parse("sin(t)**2 + cos(t)**2 + y"), RULES)
     assert steps and steps[-1][1] == E.parse("y + 1")
