@@ -40,10 +40,14 @@ FAMILIES = {
     "integrals": r"(?i)\\int(?:_[^\\]*)?(?:\^[^\\]*)?",
     "summations": r"(?i)\\sum(?:_[^\\]*)?(?:\^[^\\]*)?",
 }
+# What the statistics of cleaned formulas count.
 FRACTION = r"\\[dt]?frac\{([^{}]+)\}\{([^{}]+)\}"
 SCRIPT = {"superscripts": r"\^(\{[^}]*\}|[^{}\s])", "subscripts": r"_(\{[^}]*\}|[^{}\s])"}
 FUNCTION = r"\\(sin|cos|tan|sec|csc|cot|sinh|cosh|tanh|log|ln|exp|sqrt|lim)"
-BRACKETS = {"(": "(", ")": ")", "[": "[", "]": "]", r"\{": "{", r"\}": "}", "|": "|"}
+# Sized brackets and what they become.
+BRACKETS = [
+    (r"\left(", "("), (r"\right)", ")"), (r"\left[", "["), (r"\right]", "]"), (r"\left\{", "{"), (r"\right\}", "}"), (r"\left|", "|"), (r"\right|", "|"), (r"\left\langle", "⟨"), (r"\right\rangle", "⟩"),
+]
 
 MIN_LENGTH, MAX_LENGTH, MIN_CONFIDENCE = 3, 1000, 0.1
 
@@ -116,8 +120,7 @@ def fractions(expression: Column) -> Column:
 
 
 def brackets(expression: Column) -> Column:
-    pairs = [(rf"\{side}{b}", to) for b, to in BRACKETS.items() for side in (("left",) if b in ("(", "[", r"\{") else ("right",) if b in (")", "]", r"\}") else ("left", "right"))]
-    return swap(expression, [*((a, b) for a, b in pairs), (r"\left\langle", "⟨"), (r"\right\rangle", "⟩")])
+    return swap(expression, BRACKETS)
 
 
 def scripts(expression: Column) -> Column:

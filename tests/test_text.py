@@ -22,6 +22,23 @@ def test_clean(spark, text, cleaned):
     assert one(spark, text, L.clean) == cleaned
 
 
+@pytest.mark.parametrize("sign", ["(", "[", r"\{", "|", r"\langle"])
+def test_sized_brackets_lose_their_size(spark, sign):
+    """Whatever stands inside: cleaning with and without the size gives the same."""
+    close = {"(": ")", "[": "]", r"\{": r"\}", "|": "|", r"\langle": r"\rangle"}[sign]
+    plain = {r"\{": "{", r"\}": "}", r"\langle": "⟨", r"\rangle": "⟩"}
+    for inner in ("q_7", r"\mu + 2w", r"\dfrac{m}{n} - k"):
+        sized = one(spark, rf"3\left{sign} {inner} \right{close}", L.clean)
+        assert sized == one(spark, f"3{plain.get(sign, sign)} {inner} {plain.get(close, close)}", L.clean) and "left" not in sized
+
+
+def test_cleaning_twice(spark):
+    """A cleaned formula stays as it is."""
+    for text in (r"\nu_{3} \simeq \Xi^{k}", r"\tfrac{7}{h} \mp 2", r"g \; \quad w \! z", r"\partial_{t} \rho + \nabla u", r"\prod_{j} (1 - q_{j})"):
+        done = one(spark, text, L.clean)
+        assert one(spark, done, L.clean) == done, text
+
+
 @pytest.mark.parametrize(("text", "infix"), [(r"\frac{x + 1}{y}", "frac(x + 1, y)"), (r"\sin x + \pi", "sin x + pi"), (r"\sqrt{x}", "sqrt(x)")])
 def test_infix(spark, text, infix):
     assert one(spark, text, L.to_infix) == infix
