@@ -4,10 +4,12 @@ At this similarity fingerprints differ in too many bits for shards by blocks of
 bits to be small, so the shards of the BK-trees are min-hashes: two documents of
 similarity s share one of eight with probability 1 - (1 - s)^8. Shards hold
 fingerprints of 128 bits; each has a BK-tree, whose centers hold what is near
-them, searched within the radius that the similarity leaves. What is linked so becomes a group, and in the groups the
-exact similarity decides, over all words of the documents. Documents of equal
-shingle sets are one entry from the start, so copies cost nothing; shards and
-groups above a size are taken in blocks, so no task holds an unbounded one.
+them, searched within the radius that the similarity leaves. What is linked so
+becomes a group, and in the groups the exact similarity decides, over all words
+of the documents. Documents of equal shingle sets are one entry from the start,
+so copies cost nothing; shards and groups above a size are taken in blocks, so
+no task holds an unbounded one. Documents and sets are known by hashes of their
+columns (64 bits) and shingles (128 bits).
 """
 
 from __future__ import annotations
