@@ -466,7 +466,7 @@ def simulated_verdict(lean):
 
 
 def external_verdicts(statements: DataFrame, command: list[str], timeout: int = 30, lean: str = "lean") -> DataFrame:
-    """``statements`` with ``verdict`` and ``messages`` of an external prover: ``command`` with a file of the statement as its last argument, on the executors.
+    """``statements`` with ``verdict`` and ``messages`` of an external prover: ``command`` on the executors, with the statement and a proof to try as its input.
 
     The verdict is proved where it ends with 0 and warns of no gap, failed
     otherwise, timeout after ``timeout`` seconds, error where it can't be run.
@@ -474,22 +474,18 @@ def external_verdicts(statements: DataFrame, command: list[str], timeout: int =
 
     def run(frames: Frames) -> Frames:
         import subprocess
-        import tempfile
 
         for f in frames:
             out = []
             for text in f["__f"]:
-                with tempfile.NamedTemporaryFile("w", suffix=".lean", encoding="utf-8") as file:  # the prover's input only; nothing is kept
-                    file.write(f"{text} := by\n  first | rfl | trivial | simp | ring | norm_num\n")
-                    file.flush()
-                    try:
-                        done = subprocess.run([*command, file.name], capture_output=True, text=True, timeout=timeout, check=False)
-                        said = done.stderr + done.stdout
-                        out.append((text, "proved" if done.returncode == 0 and "sorry" not in said else "failed", said))
-                    except subprocess.TimeoutExpired:
-                        out.append((text, "timeout", ""))
-                    except OSError as e:
-                        out.append((text, "error", str(e)))
+                try:
+                    done = subprocess.run(command, input=f"{text} := by\n  first | rfl | trivial | simp | ring | norm_num\n", capture_output=True, text=True, timeout=timeout, check=False)
+                    said = done.stderr + done.stdout
+                    out.append((text, "proved" if done.returncode == 0 and "sorry" not in said else "failed", said))
+                except subprocess.TimeoutExpired:
+                    out.append((text, "timeout", ""))
+                except OSError as e:
+                    out.append((text, "error", str(e)))
             yield pd.DataFrame(out, columns=["__f", "verdict", "messages"])
 
     done = statements.select(F.col(lean).alias("__f")).filter("__f IS NOT NULL").distinct().mapInPandas(run, "__f string, verdict string, messages string")

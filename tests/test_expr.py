@@ -140,7 +140,7 @@ def test_row_isolation(spark):
 
 def test_external_prover(spark):
     rows = spark.createDataFrame([(1, "theorem t : 1 = 1"), (2, "theorem bad"), (3, None)], "id int, lean string")
-    script = "import sys; text = open(sys.argv[-1]).read(); sys.exit('bad' in text)"
+    script = "import sys; text = sys.stdin.read(); sys.exit('bad' in text)"
     got = {r["id"]: r["verdict"] for r in X.external_verdicts(rows, ["python3", "-c", script]).collect()}
     assert got == {1: "proved", 2: "failed", 3: "error"}
     assert {r["verdict"] for r in X.external_verdicts(rows, ["/no/such/prover"]).collect()} == {"error"}
