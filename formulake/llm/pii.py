@@ -21,8 +21,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 LEAST_TERM = 4
 #: A term is told with an entity in so many documents at least, and discloses so much of it.
 SUPPORT, DISCLOSURE = 2, 0.8
-#: Most terms whose counts are found by a broadcast; beyond, all words are counted.
-BROADCAST_TERMS = 200_000
+#: Most bytes of terms (and 64 for each) that are sent to all tasks; beyond, all words are counted and joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 # Each gives the leftmost, non-overlapping matches of the contract's pattern (but for runs of digits too short for a card) without going over a run of characters again and again.
 PATTERNS = {
@@ -127,7 +127,7 @@ def disclosing(base: DataFrame, docs: DataFrame, text_col: str = "text") -> Data
     met = texts.join(told.select("key").distinct(), "key", "left_semi").select("key", "n", F.explode("terms").alias("term"))
     terms = cut(met.groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT).select("term"))
     words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_TERM), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
-    if terms.count() <= BROADCAST_TERMS:
+    if (terms.agg(F.sum(F.octet_length("term") + 64).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES:
         n_terms = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     else:
         n_terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term", "left_semi")

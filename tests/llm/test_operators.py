@@ -367,6 +367,14 @@ def test_pii(table, docs):
     assert [got[k][5] for k in docs.doc_id] == expected and sum("term:" in x for x in expected) > 5
 
 
+def test_pii_without_broadcast(table, docs, monkeypatch):
+    """More terms than may be broadcast: the same spans."""
+    few = table.filter("doc_id % 3 = 0 OR doc_id >= 1000000")
+    one = by_id(pii.find_pii(few), ["spans"])
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", 0)
+    assert by_id(pii.find_pii(few), ["spans"]) == one and any("term:" in x for x, in one.values())
+
+
 def test_pii_disclosing_terms(spark):
     rows = [(i, "Write to Zarkovian at secret@mail.org about other things") for i in range(5)] + [(9, "many other things about words")]
     got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
