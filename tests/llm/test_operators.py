@@ -602,3 +602,33 @@ def test_large_ids_beside_nulls(spark):
         assert {r["doc_id"] for r in made.select("doc_id").collect()} == {big, None, big + 2}
         assert dict(made.dtypes)["doc_id"] == "bigint"
     assert decontam.drop_contaminated(docs, items).select("doc_id").collect()[0][0] == big + 2
+
+
+def test_long_texts(spark, sf_dir):
+    """Texts of megabytes, and one word of a megabyte, go through every operator whole."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    tail = " mail a@b.org from 10.0.0.1, MIT license, password=abcdefgh12 end"
+    long = " ".join(rng.choice(vocabulary) + rng.choice(["", "", ".", "\n"]) for _ in range(300_000)) + tail
+    rows = [(1, long), (2, "x" * 1_000_000), (3, long.replace(" ", "  ", 1)), (4, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    items = spark.createDataFrame([("i", " ".join(long.split()[5000:5040]))], "item_id string, text string")
+    n = len(long.split())
+    alnum = len(brute.ALNUM.findall(long.translate(brute.LOWER)))
+    assert by_id(tokens.count_tokens(docs, tokens.vocabulary(), 1024), ["n_tokens"])[1][0] == len(library([long])[0])
+    packed = packing.pack_documents(docs, tokens.vocabulary()).filter("doc_id = 1").agg({"length": "sum"}).first()[0]
+    assert packed == len(library([long])[0]) + 1
+    got = by_id(licenses.scan_licenses(docs), ["n_words", "labels"])
+    assert got[1] == (alnum, "mit") and got[2][0] == 1
+    judged = by_id(quality.judge(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")), ["n_words", "base_failed"])
+    assert judged[1] == (n, False) and judged[2] == (1, True)
+    fps = by_id(simhash.near_duplicates(docs), ["fp", "component_id"])
+    assert fps[1][0] % 2**64 == brute.fingerprint(long) and fps[3][1] == 1
+    assert {r["doc_id"] for r in neardup.drop_near_duplicates(docs).collect()} == {1, 2, 4}
+    found = by_id(decontam.contamination(docs, items), ["n_words", "n_hit", "contaminated"])
+    assert found[1][0] == alnum and found[1][1] >= 40 and not found[1][2]
+    lines = by_id(linededup.dedup_lines(docs), ["text"])
+    assert lines[1][0] == long and lines[2][0] == "x" * 1_000_000 and len(lines[3][0]) < 100
+    at = long.index("a@b.org")
+    assert by_id(pii.find_pii(docs), ["n_email", "n_ip", "spans"])[1][:2] == (1, 1) and f"email:{at}:{at + 7}" in by_id(pii.find_pii(docs), ["spans"])[1][0]
+    assert by_id(secrets.scan_secrets(docs, tokens.vocabulary(VOCABULARY)), ["n_assign"])[1] == (1,)
