@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, licenses, linededup, packing, pii, quality, secrets, simhash, tokens
-from .common import read
+from . import decontam, fim, html, licenses, linededup, packing, pii, quality, resampling, secrets, simhash, tokenfiles, tokens
+from .common import checkpoint_dir, read
 
 #: Production parameters.
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,10 +60,26 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, sf_dir, "documents"), tokens.vocabulary(RANKS))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=10, grams=1, buckets=10_000, min_words=20, seed=2024)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(read(spark, sf_dir, "documents"), unit="line", rate=100, spm_rate=50, seed=7)
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    tokenfiles.write_token_files(read(spark, sf_dir, "documents"), folder, tokens.vocabulary(TOKENIZER), END_ID)
+    return tokenfiles.read_token_files(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_best_fit_packing, op2_html_extraction, op3_token_counts, op4_license_scans, op5_quality_rules, op6_simhash_near_dedup,
-        op7_benchmark_decontamination, op8_line_dedup, op9_pii, op10_secret_scans,
+        op7_benchmark_decontamination, op8_line_dedup, op9_pii, op10_secret_scans, op11_importance_resampling, op12_fill_in_middle, op13_token_files,
     ]
     return {f.__name__: f for f in found}
 
@@ -98,6 +115,35 @@ def _decontamination_sql(window: int = 13) -> str:
  FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
 
+_BYTES = "list_transform(range(0, len({0}), 2), lambda k: ('0x' || substr({0}, k + 1, 2))::BIGINT)"
+
+
+def _resampling_sql() -> str:
+    """CRC-32 of the distinct words, byte by byte over its table of 256; the rest by joins and a sort."""
+    table = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    step = "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), dw AS (SELECT r, unnest(w) AS x FROM d), bw AS (SELECT unnest({_WORDS}) AS x FROM benchmark),
+ own AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM dw UNION SELECT x FROM bw)),
+ hashed AS (SELECT x, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES.format("h")}), {step}), 4294967295) % 10000 AS bucket FROM own, (SELECT {table} AS t)),
+ s AS (SELECT bucket, count(*) AS n FROM dw JOIN hashed USING (x) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM bw JOIN hashed USING (x) GROUP BY bucket), total AS (SELECT (SELECT count(*) FROM dw) AS s_all, (SELECT count(*) FROM bw) AS t_all),
+ gains AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1.0)::DOUBLE * (s_all + 10000)::DOUBLE / ((s.n + 1.0)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), total),
+ weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM dw JOIN hashed USING (x) JOIN gains USING (bucket) GROUP BY r),
+ scored AS (SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN weights USING (r)),
+ ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)"""
+
+
+def _fill_in_middle_sql() -> str:
+    """Lines by pattern; the parts by slices of the list of lines; texts restored from the output's parts."""
+    h = [f"('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT" for k in range(4)]
+    return f"""WITH own AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+ cuts AS (SELECT doc_id, x, u, len(u) AS n, {h[0]} % (len(u) + 1) AS a, {h[1]} % (len(u) + 1) AS b, CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') THEN 'plain' WHEN {h[3]} % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM own),
+ parts AS (SELECT *, coalesce(array_to_string(u[1:least(a, b)], ''), '') AS p, coalesce(array_to_string(u[least(a, b) + 1:greatest(a, b)], ''), '') AS m, coalesce(array_to_string(u[greatest(a, b) + 1:], ''), '') AS s FROM cuts),
+ made AS (SELECT *, CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM parts)
+ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars, sha256(output) AS output_sha256,
+ sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN substr(split_part(output, '<S>', 1), 4) || split_part(output, '<M>', 2) || split_part(split_part(output, '<S>', 2), '<M>', 1) ELSE split_part(split_part(output, '<P>', 2), '<M>', 1) || split_part(output, '<M>', 2) || substr(split_part(output, '<P>', 1), 4) END) AS restored_sha256 FROM made"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL form: tokenizers, HTML, XXH64, possessive patterns. Tests hold them against brute force."""
-    return {"op4_license_scans": _licenses_sql(), "op7_benchmark_decontamination": _decontamination_sql()}
+    return {"op4_license_scans": _licenses_sql(), "op7_benchmark_decontamination": _decontamination_sql(), "op11_importance_resampling": _resampling_sql(), "op12_fill_in_middle": _fill_in_middle_sql()}

@@ -1,6 +1,7 @@
 """Plain versions of the operators' contracts, one text at a time."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -328,3 +329,48 @@ EDGE = [
     "x " * 400, "a b c d e f g h a b c d e f g h", "one two three four five six seven eight nine ten " * 3, "l1\nl1\n\n \nl1\nl2", "word\x0bsplit\x0cby\x1codd\x85space　wide", "é" * 3000,
     "<|endoftext|> and <|endoftext|>", "😀 emoji 漢字 text ½²", "A" * 20000, "1" * 5000, ". " * 3000, "@" * 2000, "a@" * 2000, "1.1." * 2000, "+1" * 2000,
 ]
+
+
+def words(text):
+    return ALNUM.findall((text or "").translate(LOWER))
+
+
+def resampling(documents, target, percent=10, grams=1, buckets=10_000, min_words=20, seed=2024):
+    """[(n_features, weight, score, rank)] of (doc_id, text) pairs."""
+
+    def features(text):
+        w = words(text)
+        return [" ".join(w[i : i + k]) for k in range(1, grams + 1) for i in range(len(w) - k + 1)]
+
+    hashed = lambda x: zlib.crc32(x.encode()) % buckets
+    own = [features(t) for _, t in documents]
+    s, t = Counter(hashed(x) for f in own for x in f), Counter(hashed(x) for text in target for x in features(text))
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s_all + buckets) / ((s[b] + 1) * (t_all + buckets))))
+    out = []
+    for (key, _), f in zip(documents, own, strict=True):
+        h = int(sha(f"{seed}:{'' if key is None else key}")[:8], 16)
+        weight = sum(gain(hashed(x)) for x in f)
+        out.append([len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    able = [i for i, (_, text) in enumerate(documents) if len(words(text)) >= min_words]
+    able.sort(key=lambda i: (-out[i][2], documents[i][0] is not None, documents[i][0] or 0))
+    for rank, i in enumerate(able[: percent * len(able) // 100], 1):
+        out[i][3] = rank
+    return [tuple(x) for x in out]
+
+
+UNITS = {"line": r"[^\n]*\n|[^\n]+", "word": r"[^ \t-\r]+[ \t-\r]*|[ \t-\r]+", "char": r"(?s)."}
+
+
+def fill_in_middle(key, text, unit="line", rate=100, spm_rate=50, seed=7):
+    text = text or ""
+    units = re.findall(UNITS[unit], text)
+    digest = sha(f"{seed}:{'' if key is None else key}")
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= rate:
+        return len(units), "plain", None, None, text
+    a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    if h[3] % 100 < spm_rate:
+        return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
