@@ -6,11 +6,12 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from formulake.checkpoints import cut
-from formulake.operators import cluster, discover, graph, search, setjoin, strategy
+from formulake.operators import cluster, discover, graph, radius, search, setjoin, strategy
 from formulake.operators.components import connected_components
 from formulake.plans import all_queries, registry  # noqa: F401
 
@@ -371,9 +372,47 @@ def test_written_index(spark, tmp_path):
 
 def test_vector_links(spark):
     rng = random.Random(3)
-    rows = [(i, [rng.choice([0.0, 0.3, 0.9, 1.4]) for _ in range(5)]) for i in range(200)]
-    links, members = cluster.vector_links(spark.createDataFrame(rows, "id int, v array<double>"), "v", 0.7)
-    of = {r["id"]: r["class"] for r in members.collect()}
+    for places in (1, 2, 3, 5):
+        rows = [(i, [rng.choice([0.0, 0.3, 0.9, 1.4]) for _ in range(places)]) for i in range(200)]
+        links, members = radius.vector_links(spark.createDataFrame([*rows, (999, None)], "id int, v array<double>"), "v", 0.7)
+        of = {r["id"]: r["class"] for r in members.collect()}
+        got = {(r["src"], r["dst"]) for r in links.collect()}
+        expected = {(min(of[i], of[j]), max(of[i], of[j])) for (i, a), (j, b) in itertools.combinations(rows, 2) if of[i] != of[j] and math.dist(a, b) <= 0.7}
+        assert got == expected and expected and 999 not in of
+
+
+def test_no_vectors(spark):
+    links, members = radius.vector_links(spark.createDataFrame([], "id int, v array<double>"), "v", 0.7)
+    assert links.collect() == members.collect() == []
+
+
+def test_few_vectors_meet(spark):
+    """Unit vectors in 64 places, all far apart, with partners just within the radius and just beyond: none is lost, and few pairs meet."""
+    base = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rng = np.random.default_rng(5)
+    own = {r["vec_id"]: np.array(r["embedding"], float) for r in base.collect()}
+    planted = {}
+    for i in list(own)[:600]:
+        step = rng.standard_normal(64)
+        planted[10**6 + i] = own[i] + step / np.linalg.norm(step) * (0.4999 if i % 2 else 0.5001)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in (own | planted).items()], "id long, v array<double>")
+    links, _ = radius.vector_links(rows, "v", 0.5)
     got = {(r["src"], r["dst"]) for r in links.collect()}
-    expected = {(min(of[i], of[j]), max(of[i], of[j])) for (i, a), (j, b) in itertools.combinations(rows, 2) if of[i] != of[j] and math.dist(a, b) <= 0.7}
-    assert got == expected and expected
+    ids, v = list(own | planted), np.stack([*own.values(), *planted.values()])
+    close = np.argwhere(np.triu(((v[:, None, :8] - v[None, :, :8]) ** 2).sum(-1) <= 0.25, 1))
+    expected = {(ids[i], ids[j]) for i, j in close.tolist() if np.linalg.norm(v[i] - v[j]) <= 0.5}
+    assert got == expected and len(expected) >= 300
+    hashing = radius.choose(v[:1000], 0.5, 1e-6)
+    classes = rows.withColumnRenamed("id", "class")
+    met = radius.meeting(radius.hashed(classes, hashing)).select("src", "dst").distinct().count()
+    assert met < 0.1 * len(ids) * (len(ids) - 1) / 2
+    plan = links._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_same_interval():
+    """The formula against a count."""
+    rng = np.random.default_rng(2)
+    for distance, width in ((0.5, 2.0), (1.4, 2.0), (3.0, 1.0)):
+        shift, offset = rng.standard_normal(200_000) * distance, rng.uniform(0, width, 200_000)
+        assert abs((np.floor((shift + offset) / width) == 0).mean() - radius.same_interval(np.array([distance]), width)[0]) < 0.005
