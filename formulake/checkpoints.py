@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in the folder ``spark.checkpoint.dir`` names; where it is unset, in a local one on one machine, and an error on a cluster."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a local one on one machine, and an error on a cluster."""
     if spark.sparkContext.getCheckpointDir() is None:
         found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
         if not found and (not master.startswith("local") or master.startswith("local-cluster")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(found or f"/tmp/checkpoints/formulake/{uuid.uuid4().hex}")
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
-from ..operators import cluster, radius
+from ..checkpoints import cut, shared_folder
+from ..operators import cluster, index, radius
 from .parity_queries import density_sql
-from .registry import cte, query, table
+from .registry import cte, query, table, text
+from .relational_queries import FUZZY, S, r
 
 # Every embedding, and a second one some way along its first place.
 SHIFT = "(vec_id % 9 + 1) * 0.11"
@@ -30,3 +33,63 @@ def vector_links(spark, d):
 @query("embedding_clusters", f"WITH RECURSIVE {VECTORS}, {NEAR}, links AS (SELECT src, dst FROM near), sizes AS (SELECT id AS class, 1 AS n FROM vectors), {density_sql(2)} SELECT id, coalesce(cluster, -1) AS label FROM vectors LEFT JOIN found ON id = class")
 def embedding_clusters(spark, d):
     return cluster.vector_clusters(_vectors(spark, d), "v", cut, 0.5, 2)
+
+
+# -- a written index -----------------------------------------------------------------------------------------
+
+SIX = ("p_name", "p_made", "p_brand", "p_type", "p_box", "p_code")
+ASKED = ["ECO", "ring", "Brand#1", "bolt made#", "small", "#2", "l ring made#0 brand#2 economy box 11 code", "box 5 code-7", "no such text", "x"]
+CODED = "part_ AS (SELECT *, 'made#' || (p_partkey % 5) AS p_made, 'box ' || p_size AS p_box, 'code-' || (p_partkey % 89) AS p_code FROM part)"
+LOWERED = f"lower(concat_ws(' ', {', '.join(SIX)}))"
+# Parts after changes: some get another name, some go, a few come back.
+CHANGED = f"""{CODED}, changed AS (SELECT * REPLACE (CASE WHEN p_partkey % 7 = 0 THEN 'small ring again' WHEN p_partkey % 22 = 0 THEN 'bolt come back' ELSE p_name END AS p_name) FROM part_ WHERE p_partkey % 11 <> 0 OR p_partkey % 22 = 0)"""
+
+
+def _parts(spark, d):
+    return table(spark, d, "part").selectExpr("*", "concat('made#', p_partkey % 5) AS p_made", "concat('box ', p_size) AS p_box", "concat('code-', p_partkey % 89) AS p_code")
+
+
+def _index(spark, *words) -> index.Index:
+    return index.Index(f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", SIX, words, "p_partkey", 32)
+
+
+def _each(spark, own, asked):
+    out = [index.substring_search(spark, own, q).select(F.lit(q).alias("query"), F.col("p_partkey").alias("id")) for q in asked]
+    for df in out[1:]:
+        out[0] = out[0].unionByName(df)
+    return out[0]
+
+
+@query("substring_index", cte(CODED) + " UNION ALL ".join(f"SELECT {text(q)} AS query, p_partkey AS id FROM part_ WHERE contains({LOWERED}, lower({text(q)}))" for q in ASKED if len(q) > 1))
+def substring_index(spark, d):
+    own = _index(spark)
+    index.apply_batch(own, _parts(spark, d))
+    return _each(spark, own, ASKED)
+
+
+@query("fuzzy_index", cte(FUZZY) + f"SELECT id, {r('score')} AS score FROM fuzzy WHERE score >= 0.4")
+def fuzzy_index(spark, d):
+    own = _index(spark, "p_name", "p_type")
+    index.apply_batch(own, _parts(spark, d))
+    return index.fuzzy_search(spark, own, "Small ring bolt", 0.4).withColumn("score", F.round("score", S))
+
+
+def _changed(spark, d) -> index.Index:
+    """An index over three batches, compacted, and one more batch."""
+    parts, own, k = _parts(spark, d), _index(spark, "p_name", "p_type"), F.col("p_partkey")
+    index.apply_batch(own, parts, batch=0)
+    index.apply_batch(own, parts.filter(k % 7 == 0).withColumn("p_name", F.lit("small ring again")), batch=1)
+    index.delete(own, parts.filter(k % 11 == 0).select("p_partkey"), batch=2)
+    index.compact(spark, own)
+    index.apply_batch(own, parts.filter(k % 22 == 0).withColumn("p_name", F.when(k % 7 == 0, F.lit("small ring again")).otherwise(F.lit("bolt come back"))), batch=3)
+    return own
+
+
+@query("index_changes", cte(CHANGED) + " UNION ALL ".join(f"SELECT {text(q)} AS query, p_partkey AS id FROM changed WHERE contains({LOWERED}, {text(q)})" for q in ("ring again", "come back", "eco", "gear")))
+def index_changes(spark, d):
+    return _each(spark, _changed(spark, d), ["ring again", "come back", "eco", "gear"])
+
+
+@query("index_changes_fuzzy", cte(CHANGED, FUZZY.replace("FROM part)", "FROM changed)")) + f"SELECT id, {r('score')} AS score FROM fuzzy WHERE score >= 0.4")
+def index_changes_fuzzy(spark, d):
+    return index.fuzzy_search(spark, _changed(spark, d), "Small ring bolt", 0.4).withColumn("score", F.round("score", S))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import index
 from ..operators.search import text_postings
 
 
@@ -36,6 +37,22 @@ def read_index(spark, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/postings").join(newest, ["id", "version"], "left_semi").select("token", "id", "field", "weight").distinct()
 
 
+def follow_changes(own: index.Index, changes: DataFrame, checkpoint: str, version: str = "version", operation: str = "op") -> StreamingQuery:
+    """Keeps ``own`` at the newest version of each row of a stream; rows whose ``operation`` is ``delete`` remove their id.
+
+    The stream's batch number is the index's, so a batch that is run again after
+    a failure is applied once. A row older than what the index has is ignored,
+    in whatever batch it comes. ``index.compact`` may run between two runs.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        new = latest(batch, own.id_col, version)
+        gone = F.col(operation) == "delete"
+        index.apply_batch(own, new.filter(F.col(operation).isNull() | ~gone), new.filter(gone), number, version)
+
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_metrics(events: DataFrame, time: str, operation: str, seconds: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Count, mean and extremes for each operation and window; rows later than the watermark are dropped, as streams need."""
     return (
