@@ -104,9 +104,18 @@ def _per_document(counts: np.ndarray, slices: Iterator[np.ndarray], id_of: np.nd
         yield pieces(n)
 
 
+def _packed(ids: bytes) -> bytes:
+    """Ids of 32 bits for the way to their file: a byte for the width, and those of 16 or 32 bits compressed."""
+    own = np.frombuffer(ids, "<u4")
+    short = not len(own) or int(own.max()) < 1 << 16
+    return (b"2" if short else b"4") + pa.Codec("zstd", compression_level=3).compress(own.astype("<u2") if short else own, asbytes=True)
+
+
 def _unpacked(n: int, packed: pa.BinaryScalar) -> np.ndarray:
-    """The ids that ``tokenize`` packed."""
-    return np.frombuffer(pa.decompress(packed.as_buffer(), 4 * n, "zstd"), "<u4")
+    """The ids that ``_packed`` took."""
+    whole = packed.as_buffer()
+    width = whole[0] - ord("0")
+    return np.frombuffer(pa.decompress(whole.slice(1), width * n, "zstd"), f"<u{width}")
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,7 +127,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
             first = 0
             for _, texts, _ in byte_batches([batch.select([1]).to_pandas()], "__text"):
                 found = [x + end for x in encoder.encode(texts)]
-                packed = pa.array([pa.compress(x, "zstd", asbytes=True) for x in found], pa.binary())
+                packed = pa.array([_packed(x) for x in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([len(x) // 4 for x in found], pa.int64()), packed], [id_col, "n", "ids"])
                 first += len(texts)
 
