@@ -7,7 +7,8 @@ of sentences first, so a passage is wrapped alike wherever it stands, but for
 four words at its ends. Windows are hashed (96 bits). The first occurrence of a
 hash, by document id and position, stays; lines inside any later one are removed.
 Occurrences that another one in the same batch of texts precedes are known as
-later at once, so a window that many documents share is one row a batch.
+later at once; a task remembers the first places of such windows from batch to
+batch, so a window that many documents share is about one row a task.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ REACH = 3
 SPAN_CHARS = 1 << 20
 #: Characters of the texts whose windows are compared at once, and bytes of a window's digest.
 BATCH_CHARS, DIGEST = 2 << 20, 12
+#: Repeated windows that a task remembers; what it doesn't is found by the shuffle all the same.
+REMEMBERED = 100_000
 
 _LAST = np.uint64((1 << 64) - 1)
 
@@ -109,8 +112,11 @@ def window_digests(lines: list[str], window: int = WINDOW) -> bytes:
     return b"".join([all_of(b"".join(run))[:DIGEST] for run in zip(*(own[i:] for i in range(window)), strict=False)])
 
 
-def _places(f: pd.DataFrame) -> pd.DataFrame:
-    """(high, low, id, t, k, sure) of the windows of the texts of ``f``: the first place of each; other places are ``sure`` to be later, under a hash of their own."""
+def _places(f: pd.DataFrame, known: pd.DataFrame | None = None) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(high, low, id, t, k, sure) of the windows of the texts of ``f``: the first place of each; other places are ``sure`` to be later, under a hash of their own.
+
+    ``known`` has first places in earlier texts; with it come those that are known now.
+    """
     own = [window_digests(wrapped_lines(text)) for text in f["text"]]
     n = np.array([len(x) // DIGEST for x in own], np.int64)
     digests = np.frombuffer(b"".join(own), [("high", "<i8"), ("low", "<i4")])
@@ -119,9 +125,13 @@ def _places(f: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(digests["high"], kind="stable")
     ordered = digests["high"][order]
     equal = ordered[1:] == ordered[:-1]
-    often = order[np.append(equal, False) | np.append(False, equal)] if len(order) else order
+    before = np.isin(digests["high"], known["high"].to_numpy()) if known is not None else np.zeros(len(k), bool)
+    before[order] |= (np.append(equal, False) | np.append(False, equal)) if len(order) else False
+    often = np.flatnonzero(before)
     sure = np.zeros(len(k), bool)
-    again = pd.DataFrame({"at": often, "high": digests["high"][often], "low": digests["low"][often], "id": f["id"].to_numpy()[of[often]], "t": f["t"].to_numpy()[of[often]], "k": k[often]})
+    again = pd.DataFrame({"at": often, "high": digests["high"][often], "low": digests["low"][often], "id": f["id"].to_numpy()[of[often]], "t": f["t"].to_numpy()[of[often]], "k": k[often], "times": 1})
+    if known is not None:
+        again = pd.concat([known.assign(at=-1), again], ignore_index=True)
     again = again.sort_values(["high", "low", "id", "t", "k"])
     new = ~again.duplicated(["high", "low"]).to_numpy()
     first = np.maximum.accumulate(np.where(new, np.arange(len(again)), 0))
@@ -130,10 +140,15 @@ def _places(f: pd.DataFrame) -> pd.DataFrame:
     for c in ("id", "t", "k"):
         values = again[c].to_numpy()
         other |= values != values[first]
-    sure[again["at"].to_numpy()[other]] = True
+    at = again["at"].to_numpy()
+    sure[at[other & (at >= 0)]] = True
+    # Remembered are the first places of what was repeated, and how often.
+    starts = np.flatnonzero(new)
+    repeated = again[new].assign(times=np.add.reduceat(again["times"].to_numpy(), starts) if len(starts) else 0)
+    repeated = repeated[repeated["times"] > 1].drop(columns="at")
     high = digests["high"].copy()
     high[sure] = f["t"].to_numpy()[of[sure]] + k[sure]
-    return pd.DataFrame({"high": high, "low": digests["low"], "id": f["id"].to_numpy()[of], "t": f["t"].to_numpy()[of], "k": k, "sure": sure})
+    return pd.DataFrame({"high": high, "low": digests["low"], "id": f["id"].to_numpy()[of], "t": f["t"].to_numpy()[of], "k": k, "sure": sure}), repeated
 
 
 def without(lines: list[str], starts: list[int], window: int = WINDOW) -> str:
@@ -162,11 +177,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no_id = F.lit({"int": -(2**31), "bigint": -(2**63)}.get(kind)).cast(kind)
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = None
         for f in frames:
             size, start = f["text"].str.len().to_numpy().cumsum(), 0
             while start < len(f):
                 stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + BATCH_CHARS)))
-                yield _places(f.iloc[start:stop])
+                found, known = _places(f.iloc[start:stop], known)
+                known = known.nlargest(REMEMBERED, "times") if len(known) > REMEMBERED else known
+                yield found
                 start = stop
 
     texts = docs.select(F.coalesce(F.col(id_col), no_id).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")).filter("text IS NOT NULL")

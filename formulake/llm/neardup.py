@@ -9,7 +9,7 @@ becomes a group, and in the groups the exact similarity decides, over all words
 of the documents. Documents of equal shingle sets are one entry from the start,
 so copies cost nothing; shards and groups above a size are taken in blocks, so
 no task holds an unbounded one. Documents and sets are known by hashes of their
-columns (64 bits) and shingles (128 bits).
+columns and shingles (128 bits each).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from ..operators.components import connected_components
 from .common import cut
@@ -202,22 +203,29 @@ def _shards(entries: DataFrame, radius: int, limit: int) -> DataFrame:
     return done
 
 
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of all columns of a row: two chains of XXH64 that begin apart, over the values, which of them are null, and nested ones (maps among them) as JSON."""
+    nested = (ArrayType, MapType, StructType, VariantType)
+    each = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    nulls = F.concat(*(F.when(F.col(f"`{c}`").isNull(), "0").otherwise("1") for c in docs.columns))
+    return F.concat(F.hex(F.xxhash64(nulls, *each)), F.lit(":"), F.hex(F.xxhash64(F.lit("second"), nulls, *each)))
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, limit: int = SHARD_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): ``row`` (hash of all columns) and ``same`` (digest of the shingle set) for each row of ``docs``, with its id; and (same, group) of the linked ones.
+    """(rows, groups): ``row`` (128 bits of all columns) and ``same`` (digest of the shingle set) for each row of ``docs``, with its id; and (same, group) of the linked ones.
 
     ``group`` is the smallest digest of the class. Documents without words are
     one class; a text of fewer than ``words`` words is one shingle; null texts
     have no words.
     """
-    columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    given = docs.select(F.xxhash64(columns).alias("row"), F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    given = docs.select(row_key(docs).alias("row"), F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def sketched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             made = [sketch(shingle_set(t, words)) for t in f["text"]]
             yield f[["row", "id"]].assign(**{c: [m[k] for m in made] for k, c in enumerate(("same", "a", "b", "keys"))})
 
-    rows = cut(given.mapInPandas(sketched, "row long, id string, same string, a long, b long, keys array<long>"))
+    rows = cut(given.mapInPandas(sketched, "row string, id string, same string, a long, b long, keys array<long>"))
     # All columns but the first follow from the set, so any row's will do; the least row stands for its copies.
     entries = rows.filter("same <> ''").groupBy("same").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("a", "b", "keys")))
     entries = cut(entries)
@@ -260,7 +268,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     grouped = cut(placed.join(cut(first), "group").groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.first(F.col("row") != F.col("least")).alias("gone")))
     sent = lambda found: F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     gone, repeated = grouped.filter("gone").select("row"), grouped.filter("NOT gone AND n > 1").select("row")
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")).withColumn("row", F.xxhash64("doc"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), row_key(docs).alias("row"))
     gone, repeated = sent(gone), sent(repeated)
     kept = held.join(gone, "row", "left_anti")
     # Equal rows become one, in each task first.

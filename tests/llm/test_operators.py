@@ -304,6 +304,17 @@ def test_decontamination_shared_prefix():
     assert d == 0 and len(starts) == 1000 and all(b - a == 20 for a, b in zip(starts, ends, strict=True)) and len(items) == 2000
 
 
+def test_near_duplicates_any_columns(spark):
+    """Maps, structs and values that change places with nulls: rows differ by all their columns."""
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, text, {"a": 1}, (1, None), "x", None), (2, text + " nine", {"a": 1}, (1, None), "x", None), (None, "p q r s t u", {"b": None}, None, None, "x"), (None, "p q r s t u", {"b": None}, None, "x", None), (7, "other words here", None, None, None, None), (7, "other words here", None, None, None, None)], "doc_id long, text string, m map<string,int>, s struct<a:int,b:string>, u string, v string")
+    got = neardup.drop_near_duplicates(docs)
+    assert got.schema == docs.schema
+    assert sorted(((r["doc_id"], r["m"]) for r in got.collect()), key=str) == [(1, {"a": 1}), (7, None), (None, {"b": None})]
+    keys = [r[0] for r in docs.select(neardup.row_key(docs)).collect()]
+    assert len(set(keys)) == 5 and all(len(k) > 20 for k in keys)
+
+
 def test_decontamination_any_columns(spark):
     """Columns that pandas can't hold pass through."""
     docs = spark.sql("SELECT 1 AS doc_id, 'a b c' AS text, CAST(1.25 AS decimal(20, 5)) AS price, TIMESTAMP '9999-12-31 00:00:00' AS at, named_struct('x', array(map('k', 1))) AS nested, 5 AS found, 6 AS doc UNION ALL SELECT 2, 'x y', null, null, null, 5, 6")
@@ -332,6 +343,26 @@ def test_line_dedup_small(spark):
     assert dict(got)[6] == "" and dict(got)[7] == "" and dict(got)[4] == "a\nb\nx"
 
 
+@pytest.mark.parametrize("remembered", [0, 3, 100_000])
+def test_line_dedup_of_a_notice_everywhere(spark, monkeypatch, remembered):
+    """A notice in every batch of a task, in ids of any order: about one row of it leaves the task, and the result is that of the plain version."""
+    monkeypatch.setattr(linededup, "BATCH_CHARS", 200)
+    monkeypatch.setattr(linededup, "REMEMBERED", remembered)
+    rng = random.Random(4)
+    notice = "all of this\nis a notice\nto be seen\neverywhere\n"
+    ids = rng.sample(range(1000), 120)
+    rows = [(k, f"{rng.random()}\n{notice * rng.randint(1, 2)}{rng.choice('abc')}\nx\ny\n{rng.random()}\n") for k in ids]
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {k: t for (k, _), t in zip(rows, brute.line_dedup(rows), strict=True)}
+    known, left = None, 0
+    window = np.frombuffer(linededup.window_digests(notice.split("\n")[:3]), "<i8", 1)[0]
+    for k in sorted(ids):
+        text = dict(rows)[k]
+        found, known = linededup._places(pd.DataFrame({"id": [k], "text": [text], "t": [k]}), known)
+        left += int(((found["high"] == window) & ~found["sure"]).sum())
+    assert left <= 12  # first places until one text repeats it
+
+
 def common_run(a, b):
     """Words of the longest run that both texts hold."""
     x, y = a.split(), b.split()
