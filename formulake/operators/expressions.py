@@ -239,28 +239,30 @@ def load_rules(rules: DataFrame) -> list[tuple[str, E.Tree, E.Tree, int]]:
     return [(i, p, q, n) for i, p, q, n in found if p is not None and q is not None and p[0] != "sym" and E.equal(p, q) is not False]
 
 
-def same_value(a: E.Tree, b: E.Tree, seed: int = 7) -> bool:
-    """Equal by its forms, or, where that stays open, at random points."""
+def same_value(a: E.Tree, b: E.Tree, seed: int = 7, positive: bool = True) -> bool:
+    """Equal by its forms, or, where that stays open, at random points: positive ones, under which the conditions of rules hold, or points of either sign, where a value on one side only is a difference."""
     known = A.same(a, b)
     if known is not None:
         return known
     own = sorted({*E.symbols(a), *E.symbols(b)})
     rng = np.random.default_rng(seed)
     values = {s: rng.uniform(0.1, 2.0, 8) for s in own}
+    if not positive:
+        values = {s: np.concatenate([v, rng.uniform(-2.0, 2.0, 24)]) for s, v in values.items()}
     try:
         with np.errstate(all="ignore"):
-            return bool(np.allclose(E.evaluate(a, values), E.evaluate(b, values), rtol=1e-8, atol=1e-8))
+            return bool(np.allclose(E.evaluate(a, values), E.evaluate(b, values), rtol=1e-8, atol=1e-8, equal_nan=not positive))
     except (KeyError, TypeError):
         return False
 
 
-def rewrite_sequence(t: E.Tree, rules: list, steps: int = 20) -> list[tuple[str, E.Tree]]:
-    """Applies the first rule that makes the expression simpler, again and again."""
+def rewrite_sequence(t: E.Tree, rules: list, steps: int = 20, positive: bool = True) -> list[tuple[str, E.Tree]]:
+    """Applies the first rule that makes the expression simpler, again and again; ``positive`` as in ``same_value``."""
     out, seen = [], {t}
     for _ in range(steps):
         for name, p, q, _ in rules:
             new = E.rewrite(t, p, q)
-            if new is not None and new not in seen and E.complexity(new) <= E.complexity(t) and same_value(t, new):
+            if new is not None and new not in seen and E.complexity(new) <= E.complexity(t) and same_value(t, new, positive=positive):
                 out.append((name, new))
                 seen.add(new)
                 t = new
@@ -274,12 +276,12 @@ def rewrite_sequence(t: E.Tree, rules: list, steps: int = 20) -> list[tuple[str,
 MOST_STATES = 500
 
 
-def path(start: E.Tree, goal: E.Tree, rules: list, depth: int = 10, branches: int = 5, states: int = MOST_STATES) -> tuple[list[str] | None, bool]:
+def path(start: E.Tree, goal: E.Tree, rules: list, depth: int = 10, branches: int = 5, states: int = MOST_STATES, positive: bool = True) -> tuple[list[str] | None, bool]:
     """Rules that lead from ``start`` to ``goal``, breadth first, and whether the search was cut off at ``states`` expressions.
 
     A level's expressions are all followed, by the first ``branches`` rules that apply to each.
     """
-    if not same_value(start, goal):  # rules keep the value
+    if not same_value(start, goal, positive=positive):  # rules keep the value
         return None, False
     level, seen = [(start, [])], {start}
     for _ in range(depth + 1):
@@ -290,7 +292,7 @@ def path(start: E.Tree, goal: E.Tree, rules: list, depth: int = 10, branches: in
             n = 0
             for name, p, q, _ in rules:
                 new = E.rewrite(t, p, q) if n < branches else None
-                if new is not None and new not in seen and same_value(t, new):
+                if new is not None and new not in seen and same_value(t, new, positive=positive):
                     if new == goal:
                         return [*own, name], False
                     if len(seen) >= states:
@@ -371,25 +373,25 @@ def _counterexample(a: E.Tree, b: E.Tree) -> tuple[str, float]:
     return "inconclusive", 0.6
 
 
-def _by_rules(a: E.Tree, b: E.Tree, rules: list) -> tuple[str, float, str]:
+def _by_rules(a: E.Tree, b: E.Tree, rules: list, positive: bool = True) -> tuple[str, float, str]:
     """(status, confidence, reason): a path of rules, a sequence of them, or an expanded square."""
-    steps, cut_off = path(a, b, rules, depth=5)
+    steps, cut_off = path(a, b, rules, depth=5, positive=positive)
     if steps:
         return "proved", 0.95, " > ".join(steps)
-    if any(A.same(t, b) for _, t in rewrite_sequence(a, rules, 3)):
+    if any(A.same(t, b) for _, t in rewrite_sequence(a, rules, 3, positive=positive)):
         return "proved", 0.85, "sequence"
     if any(t[0] == "pow" and t[2] == E.num(2) for t in E.nodes(a)) and A.same(A.expanded(a), b):
         return "proved", 0.9, "square"
     return "inconclusive", 0.2, "search cut off" if cut_off else ""
 
 
-def _numeric(a: E.Tree, b: E.Tree, seed: int) -> tuple[str, float]:
-    """(status, confidence) at random points; equal constants are proved."""
+def _numeric(a: E.Tree, b: E.Tree, seed: int, positive: bool = True) -> tuple[str, float]:
+    """(status, confidence) at random points where both sides are real, or, where no sign is assumed, with complex values of roots and logarithms; equal constants are proved."""
     own = sorted({*E.symbols(a), *E.symbols(b)})
-    rng = np.random.default_rng(seed)
-    values = {s: rng.uniform(-NUMERIC_SPAN, NUMERIC_SPAN, NUMERIC_POINTS) for s in own}
+    rng, kind = np.random.default_rng(seed), np.float64 if positive else np.complex128
+    values = {s: rng.uniform(-NUMERIC_SPAN, NUMERIC_SPAN, NUMERIC_POINTS).astype(kind) for s in own}
     with np.errstate(all="ignore"):
-        x, y = (np.broadcast_to(np.asarray(E.evaluate(t, values), np.float64), (NUMERIC_POINTS,)) for t in (a, b))
+        x, y = (np.broadcast_to(np.asarray(E.evaluate(t, values), kind), (NUMERIC_POINTS,)) for t in (a, b))
         known = np.isfinite(x) & np.isfinite(y)
         # Relative where values are large: a rounding error is no counterexample.
         good = known & (np.abs(x - y) <= 1e-10 * np.maximum(1.0, np.abs(x)))
@@ -400,9 +402,12 @@ def _numeric(a: E.Tree, b: E.Tree, seed: int) -> tuple[str, float]:
     return "inconclusive", min(0.8, float(good.mean()))
 
 
-def prove(text: str, rules: list, seed: int = 42) -> list[tuple[str, str, float, str]]:
+def prove(text: str, rules: list, seed: int = 42, positive: bool = True) -> list[tuple[str, str, float, str]]:
     """(method, status, confidence, reason) of each method on an equation; status proved, disproved, inconclusive or failed.
 
+    ``positive``: symbols are assumed to meet the conditions that rules have on
+    their signs. Without it a rule holds only where it holds for either sign.
+
     A method that raises has failed, the others still run. A counterexample
     overrules: no method of a disproved equation stays proved.
     """
@@ -423,9 +428,9 @@ def prove(text: str, rules: list, seed: int = 42) -> list[tuple[str, str, float,
             elif m == "substitution":
                 out.append((m, *_counterexample(a, b), ""))
             elif m == "pattern":
-                out.append((m, *_by_rules(a, b, rules)))
+                out.append((m, *_by_rules(a, b, rules, positive)))
             else:
-                out.append((m, *_numeric(a, b, seed), ""))
+                out.append((m, *_numeric(a, b, seed, positive), ""))
         except Exception as e:  # noqa: BLE001
             out.append((m, "failed", 0.0, type(e).__name__))
     if any(s == "disproved" for _, s, _, _ in out):
@@ -436,10 +441,10 @@ def prove(text: str, rules: list, seed: int = 42) -> list[tuple[str, str, float,
 METHODS = ["direct", "simplify", "algebraic", "substitution", "solver", "pattern", "numeric"]
 
 
-def proof_attempts(rows: DataFrame, rules: DataFrame, formula: str = "formula") -> DataFrame:
-    """All methods' results for each equation; ``strategy.first_result`` picks the verdict."""
+def proof_attempts(rows: DataFrame, rules: DataFrame, formula: str = "formula", positive: bool = False) -> DataFrame:
+    """All methods' results for each equation; ``strategy.first_result`` picks the verdict. Unless ``positive``, no sign of a symbol is assumed."""
     known = load_rules(rules)
-    return _distinct(rows, formula, lambda x: prove(x, known), "method string, status string, confidence double, reason string", [(m, "failed", 0.0, "error") for m in METHODS])
+    return _distinct(rows, formula, lambda x: prove(x, known, positive=positive), "method string, status string, confidence double, reason string", [(m, "failed", 0.0, "error") for m in METHODS])
 
 
 def lean_statements(rows: DataFrame, formula: str = "formula", id_col: str = "id") -> DataFrame:
@@ -553,9 +558,10 @@ def execute_strategies(rows: DataFrame, rules: DataFrame, formula: str = "formul
     """(id, strategy, success, confidence, seconds, steps, result) of the six strategies on each equation, for ``strategy.integrate``.
 
     Symbolic is the verdict of the proof methods; rule-based succeeds where
-    rules transform the equation, with a confidence by their number; formal is
-    the simulated verdict; hybrids are means of their parts. A disproof
-    overrules: no strategy succeeds on a disproved equation.
+    rules transform the equation, with a confidence by their number; formal has
+    the simulated verdict as its result, which shows nothing, so it succeeds on
+    no equation; hybrids are means of their parts. A disproof overrules: no
+    strategy succeeds on a disproved equation.
     """
     from . import strategy
 
@@ -575,8 +581,8 @@ def execute_strategies(rows: DataFrame, rules: DataFrame, formula: str = "formul
     formal = lean_statements(equations).select("id", simulated_verdict(F.col("lean")).alias("v"))
     both = symbolic.join(steps, "id").join(formal, "id")
     right = F.col("status") != "disproved"
-    s, f, n5, n3 = F.col("status") == "proved", (F.col("v") == "proved") & right, F.col("n5"), F.col("n3")
-    sc, fc = F.col("confidence"), F.when(F.col("v") == "proved", 0.95).otherwise(0.5)
+    s, f, n5, n3 = F.col("status") == "proved", F.lit(False), F.col("n5"), F.col("n3")
+    sc, fc = F.col("confidence"), F.lit(0.5)
     by_rules = lambda n: F.least(F.lit(0.8), 0.3 + 0.1 * n)
     parts = {
         "symbolic": (s, sc, F.lit(0)), "rule_based": ((n5 > 0) & right, by_rules(n5), n5), "formal": (f, fc, F.lit(0)), "hybrid_sr": (s & (n3 > 0), (sc + by_rules(n3)) / 2, n3), "hybrid_sf": (s | f, (sc + fc) / 2, F.lit(0)),

@@ -1,5 +1,7 @@
 """Expressions: known identities, and properties."""
 
+import math
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -178,3 +180,31 @@ def test_sql_functions(spark):
     found = spark.sql(r"SELECT kind, start, expression FROM latex_matches('a $x$ b $$y$$')").collect()
     assert {tuple(x) for x in found} == {("inline", 2, "x"), ("block", 8, "y")}
     assert spark.sql("SELECT d.k, m.expression FROM VALUES (1, '$u$'), (2, '') AS d(k, t), LATERAL latex_matches(d.t) m").collect() == [(1, "u")]
+
+
+@pytest.mark.parametrize(("text", "value"), [("1e-12", 1e-12), ("2.5e3*x", 5000.0), ("1E5", 1e5), ("3.e2", 300.0), (".5e+1 + x", 7.0), ("2e3x", 4000.0), ("7e0", 7.0)])
+def test_numbers_with_exponents(text, value):
+    assert math.isclose(float(E.evaluate(E.parse(text), {"x": 2.0})), value)
+
+
+def test_letters_after_numbers_stay_letters():
+    assert E.parse("3e") == E.parse("3*e") and E.parse("2*exp(x)") == E.parse("2*e**0*exp(x)/e**0") and E.symbols(E.parse("x1e5")) == ["x1e5"] and E.parse("1e99999") is None
+
+
+def test_rules_hold_under_their_conditions():
+    """No sign is known in a proof, so what holds for positive values only isn't proved, whatever rule leads there."""
+    rules = [(i, E.parse(p), E.parse(q), n) for own in R.RULES.values() for i, p, q, _, n, _ in own if i.startswith("logarithm")]
+    for text in ("log(x**2) = 2*log(x)", "log(x*y) = log(x) + log(y)", "log(x/y) = log(x) - log(y)"):
+        verdict = X.prove(text, rules, positive=False)
+        assert not any(s == "proved" for _, s, _, _ in verdict), text
+        assert "/" in text or ("numeric", "disproved") in {v[:2] for v in verdict}, text
+    assert X.path(E.parse("log(x*y)"), E.parse("log(x) + log(y)"), rules)[0] == ["logarithm_product"]  # under the rule's conditions
+    assert X.path(E.parse("log(x*y)"), E.parse("log(x) + log(y)"), rules, positive=False)[0] is None
+    for text, proved in (("sqrt(x)**2 = x", True), ("tan(x) = sin(x)/cos(x)", True), ("log(2*exp(x)) = x + log(2)", True), ("sqrt(x)*sqrt(y) = sqrt(x*y)", False), ("sqrt(x**2) = x", False)):
+        assert any(s == "proved" for _, s, _, _ in X.prove(text, RULES, positive=False)) == proved, text
+
+
+def test_false_equations_stay_false_through_strategies(spark):
+    rows = spark.createDataFrame([(1, "log(x**2) = 2*log(x)"), (2, "(x + 1)**2 = x**2 + 2*x + 1")], "id int, formula string")
+    got = {(r["id"], r["strategy"]): r["success"] for r in X.execute_strategies(rows, R.builtin(spark)).collect()}
+    assert not any(ok for (i, _), ok in got.items() if i == 1) and got[2, "symbolic"] and not got[2, "formal"]
