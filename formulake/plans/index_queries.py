@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import cut, shared_folder
 from ..operators import cluster, index, radius
+from ..sources import folders
+from . import corpus
 from .parity_queries import density_sql
-from .registry import cte, query, table, text
+from .registry import cte, query, sub, table, text
 from .relational_queries import FUZZY, S, r
 
 # Every embedding, and a second one some way along its first place.
@@ -93,3 +95,32 @@ def index_changes(spark, d):
 @query("index_changes_fuzzy", cte(CHANGED, FUZZY.replace("FROM part)", "FROM changed)")) + f"SELECT id, {r('score')} AS score FROM fuzzy WHERE score >= 0.4")
 def index_changes_fuzzy(spark, d):
     return index.fuzzy_search(spark, _changed(spark, d), "Small ring bolt", 0.4).withColumn("score", F.round("score", S))
+
+
+# -- files ---------------------------------------------------------------------------------------------------
+
+FILES_SQL = "files AS (SELECT doc_id % 24 AS part, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents_ GROUP BY 1)"
+
+
+def _tex_folder(spark, d) -> str:
+    """A folder of LaTeX files, one for each remainder of the key, written by Spark."""
+    folder = f"{shared_folder(spark)}/tex-{uuid.uuid4().hex}"
+    docs = corpus.documents(spark, d).withColumn("part", F.col("doc_id") % 24)
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(folder)
+    return folder
+
+
+@query("folder_documents", cte(corpus.DOCUMENTS_SQL, FILES_SQL) + f"SELECT part, length(cleaned)::INT AS n_chars, md5(cleaned) AS digest FROM (SELECT part, {sub('text', ('%[^' + chr(92) + 'n]*' + chr(92) + 'n', ''))} AS cleaned FROM files)")
+def folder_documents(spark, d):
+    read = folders.cleaned(folders.read_folder(spark, _tex_folder(spark, d))).filter(F.col("error").isNull())
+    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("long")
+    return read.select(part.alias("part"), F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query("folder_stream", cte(corpus.DOCUMENTS_SQL, FILES_SQL) + "SELECT part, length(text)::INT AS n_chars, md5(text) AS digest FROM files")
+def folder_stream(spark, d):
+    folder = _tex_folder(spark, d)
+    for _ in range(2):  # the second run finds nothing new
+        folders.follow_folder(spark, folder, f"{folder}-rows", f"{folder}-checkpoint").awaitTermination()
+    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("long")
+    return spark.read.parquet(f"{folder}-rows").select(part.alias("part"), F.length("text").alias("n_chars"), F.md5("text").alias("digest"))

@@ -97,12 +97,16 @@ def _pdf_pages(content: bytes, backend: str | None = None) -> Iterator[str]:
 
 
 def read_any(spark: SparkSession, path: str, kind: str = "auto", pages: Callable[[bytes], Iterator[str]] | None = None) -> DataFrame:
-    """(path, text, error) by suffix: .pdf files by the PDF reader, others as LaTeX."""
+    """(path, text, error) of a file or a folder: of each file by its suffix, .pdf by the PDF reader, others as LaTeX without comments; a file that fails is a row with its error."""
     if kind not in ("auto", "pdf", "latex"):
         raise ValueError(f"unknown source type {kind}")
-    if kind == "pdf" or kind == "auto" and path.lower().endswith(".pdf"):
+    if kind == "pdf":
         return pdf_documents(read_pdf(spark, path, pages)).select("path", "text", "error")
-    return read_latex(spark, path).select("path", "text", F.lit(None).cast("string").alias("error"))
+    if kind == "latex":
+        return read_latex(spark, path).select("path", "text", F.lit(None).cast("string").alias("error"))
+    from . import folders
+
+    return folders.cleaned(folders.read_folder(spark, path, "*", backend=pages)).select("path", "text", "error")
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
