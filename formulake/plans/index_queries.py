@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut, shared_folder
 from ..operators import cluster, index, radius
 from ..sources import folders
+from ..streaming import expiry
 from . import corpus
 from .parity_queries import density_sql
 from .registry import cte, query, sub, table, text
@@ -124,3 +125,22 @@ def folder_stream(spark, d):
         folders.follow_folder(spark, folder, f"{folder}-rows", f"{folder}-checkpoint").awaitTermination()
     part = F.regexp_extract("path", r"part=(\d+)", 1).cast("long")
     return spark.read.parquet(f"{folder}-rows").select(part.alias("part"), F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+# -- metrics by age ------------------------------------------------------------------------------------------
+
+
+@query("recent_metrics", f"SELECT event_type, count(*) AS n, {r('avg(value)')} AS mean, min(value) AS least, max(value) AS most FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 50 HOUR GROUP BY event_type")
+def recent_metrics(spark, d):
+    return expiry.recent_metrics(table(spark, d, "events"), "ts", "event_type", "value", 50).withColumn("mean", F.round("mean", S))
+
+
+@query("expiring_metrics", f"""SELECT event_type AS operation, count(*) AS n, {r('sum(value) / count(*)')} AS mean, min(value) AS least, max(value) AS most FROM events
+ WHERE floor(epoch(ts) / 60) * 60 + 60 + 50 * 3600 > (SELECT epoch(max(ts)) FROM events) - 600 GROUP BY event_type""")
+def expiring_metrics(spark, d):
+    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    events.write.parquet(f"{folder}/in")
+    told = expiry.expiring_metrics(spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{folder}/in"), "ts", "event_type", "value", 50)
+    expiry.follow_metrics(told, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return expiry.newest(spark.read.parquet(f"{folder}/out")).withColumn("mean", F.round("mean", S))
