@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut, shared_folder
-from ..operators import cluster, index, radius
-from ..sources import folders
+from ..operators import cluster, index, paging, radius
+from ..sources import folders, nodes
 from ..streaming import expiry
 from . import corpus
 from .parity_queries import density_sql
@@ -144,3 +144,25 @@ def expiring_metrics(spark, d):
     told = expiry.expiring_metrics(spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{folder}/in"), "ts", "event_type", "value", 50)
     expiry.follow_metrics(told, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return expiry.newest(spark.read.parquet(f"{folder}/out")).withColumn("mean", F.round("mean", S))
+
+
+# -- pages and nodes -----------------------------------------------------------------------------------------
+
+
+@query("deep_page", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 975")
+def deep_page(spark, d):
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    paging.build_pages(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), folder, "o_orderpriority", F.desc("o_totalprice"), "o_orderkey", range_rows=400)
+    return paging.Pages(spark, folder).page(40, 25)[0].drop("rank")
+
+
+WRITTEN = "written AS (SELECT l_partkey, min(l_returnflag) AS status FROM lineitem WHERE l_partkey % 40 = 1 GROUP BY 1)"
+
+
+@query("graph_update", cte(WRITTEN) + "SELECT p_partkey AS node_id, p_name, coalesce(status, p_type) AS status FROM part LEFT JOIN written ON l_partkey = p_partkey")
+def graph_update(spark, d):
+    folder = f"{shared_folder(spark)}/nodes-{uuid.uuid4().hex}"
+    nodes.write_nodes(table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), "p_name", F.col("p_type").alias("status")), folder, buckets=64)
+    results = table(spark, d, "lineitem").filter(F.col("l_partkey") % 40 == 1).select(F.col("l_partkey").alias("node_id"), F.col("l_returnflag").alias("status"))
+    nodes.update_nodes(spark, folder, results, ["status"], buckets=64)
+    return nodes.read_nodes(spark, folder)
