@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
@@ -113,6 +113,25 @@ def shared_by(rows: DataFrame, related: DataFrame, symbols: str = "symbols", kin
     return n.join(shared, "id", "left").withColumn("shared", F.coalesce("shared", F.expr("CAST(array() AS array<string>)")))
 
 
+def related(edges: DataFrame, k: int = 5, shards: int = 64) -> DataFrame:
+    """(node, place, other, weight): for each node the ``k`` nodes with the greatest sum of weights of common edges, in either direction; ties to the smaller node.
+
+    The best of each node are taken in every task, then in each of ``shards``
+    parts of its neighbours, then of what is left, so a hub's neighbours are
+    never sorted together.
+    """
+    ends = edges.select("src", "dst", "weight").filter("src <> dst")
+    pairs = ends.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
+
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("weight"), "other"))
+        return rows.withColumn("place", place).filter(F.col("place") <= k)
+
+    sharded = both.withColumn("shard", F.pmod(F.xxhash64("other"), F.lit(shards)))
+    return first(first(sharded, "node", "shard").drop("place", "shard"), "node").select("node", "place", "other", "weight")
+
+
 def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return connected_components(edges, cut)
 
@@ -186,6 +205,57 @@ def positions(nodes: DataFrame, layout: str = "circular", order: str = "node") -
     return ranked.select("node", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
 
 
+#: Steps of the spectral layout, and numbers that a node keeps for them.
+SPECTRAL_STEPS = 30
+
+
+def spectral(edges: DataFrame, dims: int = 2, steps: int = SPECTRAL_STEPS) -> tuple[DataFrame, list[float]]:
+    """(node, x) with ``dims`` coordinates, and their eigenvalues: of the normalised Laplacian the eigenvectors of the least eigenvalues after that of the constant one.
+
+    Each vector has length 1 and is known up to its sign; several vectors of one
+    eigenvalue are some basis of theirs. Edges are undirected, weights of common
+    edges add up, loops are left out. A step is one join of the edges with the
+    nodes' newest numbers, and two rows of sums; a node keeps one number a step,
+    and only a matrix of the steps reaches the driver. Exact for graphs of up to
+    ``steps`` nodes; beyond that as near as the steps come.
+    """
+    import numpy as np
+
+    ends = edges.filter("src <> dst").select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    both = ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    both = cut(both)
+    degree = both.groupBy("src").agg(F.sum("weight").alias("d"))
+    links = cut(both.join(degree.withColumnRenamed("d", "d1"), "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("d2")), "dst").select("src", "dst", (F.col("weight") / F.sqrt(F.col("d1") * F.col("d2"))).alias("w")))
+    n, total = (degree.agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("t")).first()[c] for c in ("n", "t"))
+    if not n:
+        return degree.select(F.col("src").alias("node"), F.array(F.col("d")).alias("x")), []
+    unit = F.pmod(F.xxhash64(F.col("src"), F.lit("start")), F.lit(1 << 52)) / float(1 << 51) - 1.0  # the same for the same node
+    state = degree.select("src", F.array(F.sqrt(F.col("d") / total)).alias("q"), unit.alias("w"))
+    sum_of = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    numbers = lambda own: F.array(*(F.lit(float(x)) for x in own))
+    size, matrix = 1, np.zeros((steps + 2, steps + 2))
+    while True:
+        state = cut(state)
+        for again in (False, True):  # twice, so that the vectors stay orthogonal
+            dots = list(state.agg(*(F.sum(F.col("q")[i] * F.col("w")) for i in range(size))).first())
+            if size > 1 and not again:
+                matrix[size - 1, size - 1] = dots[-1]
+            state = state.withColumn("w", F.col("w") - sum_of("q", numbers(dots)))
+        length = float(state.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l")).first()["l"])
+        if length < 1e-10 or size > steps:
+            break
+        if size > 1:
+            matrix[size, size - 1] = matrix[size - 1, size] = length
+        state, size = state.select("src", F.array_append("q", F.col("w") / length).alias("q")), size + 1
+        newest = state.select(F.col("src").alias("dst"), F.element_at("q", -1).alias("v"))
+        sums = links.join(newest, "dst").groupBy("src").agg(F.sum(F.col("w") * F.col("v")).alias("w"))
+        state = state.join(sums, "src", "left").select("src", "q", F.coalesce("w", F.lit(0.0)).alias("w"))
+    values, vectors = np.linalg.eigh(matrix[1:size, 1:size]) if size > 1 else (np.zeros(0), np.zeros((0, 0)))
+    best = np.argsort(-values)[:dims]
+    mixed = [sum_of(F.slice("q", 2, size - 1), numbers(vectors[:, k])) for k in best]
+    return state.select(F.col("src").alias("node"), F.array(*mixed).alias("x") if mixed else F.expr("CAST(array() AS array<double>)").alias("x")), [1.0 - float(values[k]) for k in best]
+
+
 def ranks(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` with ``rank`` from 1 by ``order``, from range partitions and their sizes."""
     # A table of its own: both uses see the same partitions, also after a retry.

@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut, shared_folder
-from ..operators import cluster, index, paging, radius
+from ..operators import cluster, graph, index, paging, radius
 from ..sources import folders, nodes
 from ..streaming import expiry
 from . import corpus
 from .parity_queries import density_sql
 from .registry import cte, query, sub, table, text
-from .relational_queries import FUZZY, S, r
+from .relational_queries import FUZZY, PRINTS, S, r
+from .relational_queries import _prints as fingerprints
 
 # Every embedding, and a second one some way along its first place.
 SHIFT = "(vec_id % 9 + 1) * 0.11"
@@ -166,3 +167,39 @@ def graph_update(spark, d):
     results = table(spark, d, "lineitem").filter(F.col("l_partkey") % 40 == 1).select(F.col("l_partkey").alias("node_id"), F.col("l_returnflag").alias("status"))
     nodes.update_nodes(spark, folder, results, ["status"], buckets=64)
     return nodes.read_nodes(spark, folder)
+
+
+# -- graphs --------------------------------------------------------------------------------------------------
+
+SOLD = "sold AS (SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b, sum(l_quantity)::DOUBLE AS weight FROM lineitem GROUP BY 1, 2)"
+
+
+def _sold(spark, d):
+    return table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), F.col("l_quantity").cast("double").alias("weight"))
+
+
+@query("related_nodes", cte(SOLD) + "SELECT node, place::INT AS place, other, weight FROM (SELECT node, other, weight, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other) AS place FROM (SELECT a AS node, b AS other, weight FROM sold UNION ALL SELECT b, a, weight FROM sold)) WHERE place <= 5")
+def related_nodes(spark, d):
+    return graph.related(_sold(spark, d), 5)
+
+
+@query("spectral_layout")
+def spectral_layout(spark, d):
+    # Nodes are known up to the signs of their coordinates.
+    made, _ = graph.spectral(_sold(spark, d), steps=8)
+    return made.select("node", F.round(F.abs(F.col("x")[0]), 4).alias("x"), F.round(F.abs(F.col("x")[1]), 4).alias("y"))
+
+
+DEEP = f"""deep AS (SELECT *, p_brand || ' ' || p_type AS cluster, p_size % 5 + 1 AS depth, list_filter([CASE WHEN p_size % 2 = 0 THEN 'even' END, CASE WHEN p_size % 3 > 0 THEN 'odd' END, 'any'], lambda x: x IS NOT NULL) AS symmetries FROM part JOIN prints ON id = p_partkey)"""
+
+
+@query("cluster_report", cte(PRINTS, DEEP, "s AS (SELECT cluster, count(*) AS size, avg(depth) AS md, min(depth) AS ld, max(depth) AS xd FROM deep GROUP BY 1)") + f"""SELECT s.cluster, size, {r("md")} AS mean_depth, ld AS least_depth, xd AS most_depth,
+ (SELECT count(DISTINCT t) FROM (SELECT unnest(symbols) AS t FROM deep WHERE deep.cluster = s.cluster)) AS distinct_symbols,
+ (SELECT coalesce(array_to_string(list_sort(list(t)), ','), '') FROM (SELECT t, count(*) AS k FROM (SELECT unnest(symmetries) AS t FROM deep WHERE deep.cluster = s.cluster) GROUP BY t) WHERE k = size) AS common_symmetries FROM s""")
+def cluster_report(spark, d):
+    part = table(spark, d, "part")
+    sides = F.array_compact(F.array(F.when(F.col("p_size") % 2 == 0, F.lit("even")), F.when(F.col("p_size") % 3 > 0, F.lit("odd")), F.lit("any")))
+    more = part.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5 + 1).alias("depth"), sides.alias("symmetries"))
+    own = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_type").alias("cluster"))
+    made = cluster.summarize(fingerprints(spark, d).join(more, "id"), own)
+    return made.select("cluster", "size", F.round("mean_depth", S).alias("mean_depth"), "least_depth", "most_depth", "distinct_symbols", F.array_join("common_symmetries", ",").alias("common_symmetries"))
