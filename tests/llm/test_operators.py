@@ -323,6 +323,41 @@ def test_decontamination_any_columns(spark):
     assert kept.schema == docs.schema and kept.select("doc_id", F.col("price").cast("string"), F.col("at").cast("string")).collect() == [(1, "1.25000", "9999-12-31 00:00:00")]
 
 
+@pytest.mark.parametrize("mark", ["post-comments", "comment-body", "user-comments", "main-navigation", "site_navigation", "breadcrumb-nav", "footer-links", "sidebar-right", "cookie-law", "subscribe-box", "social-media"])
+def test_html_landmarks_by_a_part_of_their_name(mark):
+    text = lambda page: html.main_text(html.parse(page), lambda slot, text: False)
+    for attribute in ("class", "id"):
+        assert text(f"<body><div><p>What is read.</p></div><div {attribute}='{mark}'><p>What is not.</p></div></body>") == "What is read."
+        # What holds the page's article or heading is none, nor are layouts and sections of the text.
+        assert text(f"<body><div {attribute}='{mark}-wrapper'><div class='sidebar'>x</div><article><p>What is read.</p></article></div></body>") == "What is read."
+    assert text("<body><div id='comments-42'><article class='comment'><p>A reader.</p></article></div><p>What is read.</p></body>") == "What is read."
+    assert text("<body><article><p>What is read.</p></article><article class='comment-body'><p>A reader.</p></article></body>") == "What is read."
+    assert text("<body><div class='page has-sidebar no-comments'><p>What is read.</p></div><div class='nav-area'><a>go</a></div></body>") == "What is read."
+
+
+def test_html_teasers():
+    text = lambda page: html.main_text(html.parse(page), lambda slot, text: False)
+    long = "<article><p>" + "What is read. " * 20 + "</p></article>"
+    read = ("What is read. " * 20).strip()
+    assert text(f"<body>{long}<article class='teaser'><p>Somewhere else</p></article></body>") == read
+    assert text(f"<body>{long}<article><a href='x'>Read this, too</a> soon</article></body>") == read
+    assert text(f"<body>{long}<article><p>A short one of its own.</p></article></body>") == f"{read}\nA short one of its own."
+    assert text("<body><article class='post-card'><p>The only one.</p></article></body>") == "The only one."
+
+
+def test_tree_match_compares_what_differs():
+    """Thousands of nodes: a tree with itself, and with another that has few nodes more."""
+    import time
+
+    rows = "".join(f"<tr><td>{i}</td><td class='{'ab'[i % 2]}'><p>x</p></td></tr>" + "<tr class='odd'><th>q</th></tr>" * (i % 3 > 0) for i in range(500))
+    one = html.Tree(html.shape(html.parse(f"<body><table>{rows}</table></body>")))
+    two = html.Tree(html.shape(html.parse(f"<body><ul><li>new</li></ul><table>{rows[:9000]}<tr><td>new<td>new</tr>{rows[9000:]}</table></body>")))
+    began = time.process_time()
+    assert len(one.labels) > 2000 and html.tree_match(one, one) == {i: i for i in range(len(one.labels))}
+    match = html.tree_match(one, two)
+    assert time.process_time() - began < 1.0 and len(match) >= len(one.labels) - 8 and all(one.labels[p] == two.labels[q] for q, p in match.items())
+
+
 def test_line_dedup(table, docs):
     out = linededup.dedup_lines(table)
     assert out.columns == table.columns and out.count() == len(docs)
