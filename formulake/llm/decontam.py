@@ -65,19 +65,21 @@ def _hash(columns: list[np.ndarray]) -> np.ndarray:
 
 def index_windows(items: list[tuple[str, str | None]], window: int) -> Windows:
     vocabulary: dict[bytes, int] = {}
-    by_length: dict[int, list] = {}
+    by_length: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for k, (_, text) in enumerate(items):
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-        n = min(window, len(ids))
-        for i in range(len(ids) - n + 1 if n else 0):
-            by_length.setdefault(n, []).append((ids[i : i + n], k, i))
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], ">u4")
+        if len(ids):
+            rows = np.lib.stride_tricks.sliding_window_view(ids, min(window, len(ids)))
+            own = np.stack([np.full(len(rows), k, np.int32), np.arange(len(rows), dtype=np.int32)], axis=1)
+            by_length.setdefault(rows.shape[1], []).append((rows, own))
     keys, heads = [], {}
     for n, own in sorted(by_length.items()):
-        rows = np.array([x[0] for x in own], np.int64)
+        rows = np.concatenate([x for x, _ in own])
         key = _key(rows)
         order = np.argsort(key, kind="stable")
-        distinct, first = np.unique(key[order], return_index=True)
-        keys.append((n, distinct, np.append(first, len(order)), np.array([x[1:] for x in own], np.int64)[order]))
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        keys.append((n, key[first], np.append(first, len(order)), np.concatenate([x for _, x in own])[order]))
         h = min(n, HEAD)
         heads[h] = np.unique(np.concatenate([heads.get(h, np.zeros(0, np.uint64)), _hash([rows[:, i] for i in range(h)])]))
     return Windows(vocabulary, keys, heads, [x[0] for x in items])
@@ -210,28 +212,27 @@ def _searched(test: Windows, window: int, locations: bool):
     return search
 
 
-def _blocks(benchmark: DataFrame, window: int, item_col: str, item_text: str) -> Iterator[Windows]:
-    """The benchmark's windows, in blocks of bounded size."""
+def _blocks(benchmark: DataFrame, window: int, item_col: str, item_text: str) -> tuple[int, Iterator[Windows]]:
+    """The number of blocks of bounded size, and the benchmark's windows block by block; one block is held at a time."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("words"))
     size = items.agg(F.sum(F.coalesce(F.octet_length("words"), F.lit(0))).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size * 2 // BLOCK_BYTES))
     dealt = items if blocks == 1 else cut(items.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks))))
-    for b in range(blocks):
-        own = (dealt if blocks == 1 else dealt.filter(F.col("block") == b)).collect()
-        yield index_windows([(r["item"], r["words"]) for r in own], window)
+    each = (dealt if blocks == 1 else dealt.filter(F.col("block") == b) for b in range(blocks))
+    return blocks, (index_windows([(r["item"], r["words"]) for r in own.collect()], window) for own in each)
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text: str, locations: bool) -> DataFrame:
     """(doc, found): each row of ``docs`` as a struct, and what was found in its text."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
-    tests = list(_blocks(benchmark, window, item_col, item_text))
-    if len(tests) == 1:
-        return rows.withColumn("found", _searched(tests[0], window, locations)(F.col("doc")[text_col]))
+    blocks, tests = _blocks(benchmark, window, item_col, item_text)
+    if blocks == 1:
+        return rows.withColumn("found", _searched(next(tests), window, locations)(F.col("doc")[text_col]))
     # What is found follows from the text: each block's pass keeps the texts with matches, and these are joined to the rows.
     key = [F.xxhash64(F.col("doc")[text_col]).alias("t"), F.octet_length(F.col("doc")[text_col]).alias("size")]
     parts = None
     for test in tests:
-        own = rows.select(*key, _searched(test, window, locations)(F.col("doc")[text_col]).alias("found")).filter(F.size("found.starts") > 0)
+        own = cut(rows.select(*key, _searched(test, window, locations)(F.col("doc")[text_col]).alias("found")).filter(F.size("found.starts") > 0))
         parts = own if parts is None else parts.unionByName(own)
     once = parts.groupBy("t", "size", F.col("found.items").alias("items")).agg(F.first("found").alias("found"))  # copies are one
     lists = [F.flatten(F.collect_list(f"found.{c}")).alias(c) for c in ("starts", "ends", "items", "matches")]
