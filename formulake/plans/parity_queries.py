@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import cut, shared_folder
 from ..operators import cluster, discover, graph, search, strategy
 from ..operators import expressions as X
 from ..sources import documents as D
@@ -151,11 +151,17 @@ def topic_tags(spark, d):
 
 
 def _written(spark, head, items, name: str, order: str, read):
-    """What ``read`` makes of a folder with one document of ``items``; the folder goes afterwards."""
-    sc = spark.sparkContext
-    cut(spark.range(0))  # the shared folder is known from here on
-    folder = f"{sc.getCheckpointDir()}/documents-{uuid.uuid4().hex}"
-    reports.document(head, items, "metadata", name, order).coalesce(1).write.text(folder)
+    """What ``read`` makes of a folder with the documents of ``items``, part by part; the folder goes afterwards."""
+    return _read_back(spark, reports.document_parts(items, name, order, head, size=PART), read)
+
+
+#: Items of a part, here few, so that small tables have several.
+PART = 300
+
+
+def _read_back(spark, parts, read):
+    folder = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    reports.write_parts(parts, folder)
     out = cut(read(folder))
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -189,13 +195,9 @@ def hypothesis_documents(spark, d):
 
 @query("formula_documents", cte(T) + "SELECT printf('FORMULA_%04d', i) AS id, statement AS formula FROM (SELECT row_number() OVER (ORDER BY id) - 1 AS i, statement FROM theorems)")
 def formula_documents(spark, d):
-    """A list of formulas in one file."""
-    t = corpus.theorems(spark, d)
-    one = t.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("id", "statement"))), lambda x: x["statement"]).alias("formulas"))).alias("value"))
-    cut(spark.range(0))
-    folder = f"{spark.sparkContext.getCheckpointDir()}/documents-{uuid.uuid4().hex}"
-    one.write.text(folder)
-    return cut(D.read_formulas(spark, folder)).select("id", "formula")
+    """A list of formulas in files of some each."""
+    parts = reports.document_parts(corpus.theorems(spark, d).select("id", "statement"), "formulas", "id", item=F.col("statement"), size=PART)
+    return _read_back(spark, parts, lambda folder: D.read_formulas(spark, folder, PART)).select("id", "formula")
 
 
 # -- clusters --------------------------------------------------------------------------------------------------

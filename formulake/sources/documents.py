@@ -150,11 +150,12 @@ def split_valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.size("reasons") == 0).drop("reasons"), checked.filter(F.size("reasons") > 0)
 
 
-def read_formulas(spark: SparkSession, path: str) -> DataFrame:
-    """(id, formula, source) from a list of strings, or an object that holds one."""
+def read_formulas(spark: SparkSession, path: str, part_items: int | None = None) -> DataFrame:
+    """(id, formula, source) from a list of strings, or an object that holds one. Of a document in parts of ``part_items`` the places go on from part to part."""
     text = spark.read.text(path, wholetext=True)
+    before = F.col("part").cast("long") * part_items if part_items else F.lit(0)
     own = F.when(F.trim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.from_json("value", "struct<formulas:array<string>>")["formulas"])
-    return text.select(F.posexplode(own).alias("i", "formula")).select(F.format_string("FORMULA_%04d", "i").alias("id"), "formula", F.lit("processed_data").alias("source"))
+    return text.select(before.alias("before"), F.posexplode(own).alias("i", "formula")).select(F.format_string("FORMULA_%04d", F.col("before") + F.col("i")).alias("id"), "formula", F.lit("processed_data").alias("source"))
 
 
 def read_graph_json(spark: SparkSession, path: str) -> DataFrame:

@@ -37,6 +37,32 @@ def document(head: DataFrame, items: DataFrame, head_name: str, items_name: str,
     return both.select(F.to_json(F.struct(F.col("head").alias(head_name), F.col("items").alias(items_name))).alias("value"))
 
 
+#: Items of a part of a document.
+PART_ITEMS = 10_000
+
+
+def document_parts(items: DataFrame, items_name: str, order: str, head: DataFrame | None = None, head_name: str = "metadata", item: Column | None = None, size: int = PART_ITEMS) -> DataFrame:
+    """(part, value): documents of JSON with ``size`` items each, in order over all parts, and with the header where there is one.
+
+    Parts come from the items' ranks, so no task holds more than a part, however
+    many items there are. ``item`` is what stands for an item, its columns by default.
+    """
+    from ..operators.graph import ranks
+
+    own = F.struct(*(f"`{c}`" for c in items.columns)) if item is None else item
+    placed = ranks(items, order).select(F.floor((F.col("rank") - 1) / size).alias("part"), F.struct("rank", own.alias("x")).alias("r"))
+    parts = placed.groupBy("part").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]).alias("items"))
+    if head is None:
+        return parts.select("part", F.to_json(F.struct(F.col("items").alias(items_name))).alias("value"))
+    both = parts.crossJoin(F.broadcast(head.select(F.struct(*head.columns).alias("head"))))  # a header is one row
+    return both.select("part", F.to_json(F.struct(F.col("head").alias(head_name), F.col("items").alias(items_name))).alias("value"))
+
+
+def write_parts(parts: DataFrame, path: str) -> None:
+    """One file for each part, in a folder of its number."""
+    parts.repartition("part").write.mode("overwrite").partitionBy("part").text(path)
+
+
 def write_document(head: DataFrame, items: DataFrame, path: str, head_name: str, items_name: str) -> None:
     """The header and the items as JSON folders of ``path``, whatever their number."""
     head.coalesce(1).write.mode("overwrite").json(f"{path}/{head_name}")
