@@ -32,6 +32,8 @@ KEYS = 8
 RADIUS = 40
 #: Entries of a shard; larger ones are split by a second and a third min-hash, then taken in blocks. Also those of a group.
 SHARD_LIMIT = 2_000
+#: Bytes of the shingle sets of a group that are taken together; a larger group is taken in blocks, however few its texts are.
+GROUP_BYTES = 64 << 20
 #: Bits within which a tree's center holds prints.
 REACH = 16
 #: Most entries that are sent to all tasks.
@@ -222,17 +224,19 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
 
     def sketched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            made = [sketch(shingle_set(t, words)) for t in f["text"]]
-            yield f[["row", "id"]].assign(**{c: [m[k] for m in made] for k, c in enumerate(("same", "a", "b", "keys"))})
+            made = [(*sketch(own), len(own)) for own in (shingle_set(t, words) for t in f["text"])]
+            yield f[["row", "id"]].assign(**{c: [m[k] for m in made] for k, c in enumerate(("same", "a", "b", "keys", "size"))})
 
-    rows = cut(given.mapInPandas(sketched, "row string, id string, same string, a long, b long, keys array<long>"))
+    rows = cut(given.mapInPandas(sketched, "row string, id string, same string, a long, b long, keys array<long>, size long"))
     # All columns but the first follow from the set, so any row's will do; the least row stands for its copies.
-    entries = rows.filter("same <> ''").groupBy("same").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("a", "b", "keys")))
+    entries = rows.filter("same <> ''").groupBy("same").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("a", "b", "keys", "size")))
     entries = cut(entries)
-    near = cut(_connected(_in_blocks(_shards(entries.drop("row"), radius, limit), "shard", limit), "key", radius, None))
+    near = cut(_connected(_in_blocks(_shards(entries.drop("row", "size"), radius, limit), "shard", limit), "key", radius, None))
     groups = connected_components(near, cut).withColumnsRenamed({"node": "same", "component": "key"})
-    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    members = cut(entries.join(groups, "same").join(sizes, "key").select("row", "same", "a", "b", "key", "n"))
+    linked = cut(entries.join(groups, "same").select("row", "same", "a", "b", "key", "size"))
+    by_bytes = F.ceil(F.sum("size") * 8.0 * limit / GROUP_BYTES).cast("long")
+    sizes = linked.groupBy("key").agg(F.greatest(F.count(F.lit(1)), by_bytes).alias("n"))
+    members = cut(linked.join(sizes, "key").select("row", "same", "a", "b", "key", "n"))
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

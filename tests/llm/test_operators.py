@@ -246,11 +246,12 @@ def test_forest():
         assert len(set(zip(got, expected, strict=True))) == len(set(got)) == len(set(expected))
 
 
-@pytest.mark.parametrize("limit", [neardup.SHARD_LIMIT, 6])
-def test_near_groups(spark, docs, limit):
-    """Groups by exact similarity, also where shards and groups are split; near copies at every distance."""
+@pytest.mark.parametrize(("limit", "size"), [(neardup.SHARD_LIMIT, neardup.GROUP_BYTES), (6, neardup.GROUP_BYTES), (neardup.SHARD_LIMIT, 30_000)])
+def test_near_groups(spark, docs, monkeypatch, limit, size):
+    """Groups by exact similarity, also where shards and groups are split, by numbers or bytes; near copies at every distance."""
+    monkeypatch.setattr(neardup, "GROUP_BYTES", size)
     rng = random.Random(6)
-    texts = list(docs.text[::3] if limit == 6 else docs.text)
+    texts = list(docs.text if (limit, size) == (neardup.SHARD_LIMIT, neardup.GROUP_BYTES) else docs.text[::3])
     long = [t for t in texts if t and 60 < len(t.split()) < 1000]
     texts += [edited(rng, rng.choice(long), s) for s in (0.005, 0.01, 0.015, 0.02, 0.025, 0.03) for _ in range(40)]
     one = long[0]  # a hot group of different texts
