@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut, shared_folder
+from ..checkpoints import cut, scratch
 from ..operators import cluster, graph, index, paging, radius
 from ..sources import folders, nodes
 from ..streaming import expiry
@@ -53,8 +51,8 @@ def _parts(spark, d):
     return table(spark, d, "part").selectExpr("*", "concat('made#', p_partkey % 5) AS p_made", "concat('box ', p_size) AS p_box", "concat('code-', p_partkey % 89) AS p_code")
 
 
-def _index(spark, *words) -> index.Index:
-    return index.Index(f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", SIX, words, "p_partkey", 32)
+def _index(folder: str, *words: str) -> index.Index:
+    return index.Index(folder, SIX, words, "p_partkey", 32)
 
 
 def _each(spark, own, asked):
@@ -66,21 +64,23 @@ def _each(spark, own, asked):
 
 @query("substring_index", cte(CODED) + " UNION ALL ".join(f"SELECT {text(q)} AS query, p_partkey AS id FROM part_ WHERE contains({LOWERED}, lower({text(q)}))" for q in ASKED if len(q) > 1))
 def substring_index(spark, d):
-    own = _index(spark)
-    index.apply_batch(own, _parts(spark, d))
-    return _each(spark, own, ASKED)
+    with scratch(spark, "index") as folder:
+        own = _index(folder)
+        index.apply_batch(own, _parts(spark, d))
+        return cut(_each(spark, own, ASKED))
 
 
 @query("fuzzy_index", cte(FUZZY) + f"SELECT id, {r('score')} AS score FROM fuzzy WHERE score >= 0.4")
 def fuzzy_index(spark, d):
-    own = _index(spark, "p_name", "p_type")
-    index.apply_batch(own, _parts(spark, d))
-    return index.fuzzy_search(spark, own, "Small ring bolt", 0.4).withColumn("score", F.round("score", S))
+    with scratch(spark, "index") as folder:
+        own = _index(folder, "p_name", "p_type")
+        index.apply_batch(own, _parts(spark, d))
+        return cut(index.fuzzy_search(spark, own, "Small ring bolt", 0.4).withColumn("score", F.round("score", S)))
 
 
-def _changed(spark, d) -> index.Index:
+def _changed(spark, d, folder) -> index.Index:
     """An index over three batches, compacted, and one more batch."""
-    parts, own, k = _parts(spark, d), _index(spark, "p_name", "p_type"), F.col("p_partkey")
+    parts, own, k = _parts(spark, d), _index(folder, "p_name", "p_type"), F.col("p_partkey")
     index.apply_batch(own, parts, batch=0)
     index.apply_batch(own, parts.filter(k % 7 == 0).withColumn("p_name", F.lit("small ring again")), batch=1)
     index.delete(own, parts.filter(k % 11 == 0).select("p_partkey"), batch=2)
@@ -91,12 +91,14 @@ def _changed(spark, d) -> index.Index:
 
 @query("index_changes", cte(CHANGED) + " UNION ALL ".join(f"SELECT {text(q)} AS query, p_partkey AS id FROM changed WHERE contains({LOWERED}, {text(q)})" for q in ("ring again", "come back", "eco", "gear")))
 def index_changes(spark, d):
-    return _each(spark, _changed(spark, d), ["ring again", "come back", "eco", "gear"])
+    with scratch(spark, "index") as folder:
+        return cut(_each(spark, _changed(spark, d, folder), ["ring again", "come back", "eco", "gear"]))
 
 
 @query("index_changes_fuzzy", cte(CHANGED, FUZZY.replace("FROM part)", "FROM changed)")) + f"SELECT id, {r('score')} AS score FROM fuzzy WHERE score >= 0.4")
 def index_changes_fuzzy(spark, d):
-    return index.fuzzy_search(spark, _changed(spark, d), "Small ring bolt", 0.4).withColumn("score", F.round("score", S))
+    with scratch(spark, "index") as folder:
+        return cut(index.fuzzy_search(spark, _changed(spark, d, folder), "Small ring bolt", 0.4).withColumn("score", F.round("score", S)))
 
 
 # -- files ---------------------------------------------------------------------------------------------------
@@ -104,28 +106,30 @@ def index_changes_fuzzy(spark, d):
 FILES_SQL = "files AS (SELECT doc_id % 24 AS part, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents_ GROUP BY 1)"
 
 
-def _tex_folder(spark, d) -> str:
-    """A folder of LaTeX files, one for each remainder of the key, written by Spark."""
-    folder = f"{shared_folder(spark)}/tex-{uuid.uuid4().hex}"
+def _write_tex(spark, d, folder) -> None:
+    """A folder of LaTeX files, one for each remainder of the key."""
     docs = corpus.documents(spark, d).withColumn("part", F.col("doc_id") % 24)
     docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(folder)
-    return folder
+
+
+def _digests(read):
+    return read.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 @query("folder_documents", cte(corpus.DOCUMENTS_SQL, FILES_SQL) + f"SELECT part, length(cleaned)::INT AS n_chars, md5(cleaned) AS digest FROM (SELECT part, {sub('text', ('%[^' + chr(92) + 'n]*' + chr(92) + 'n', ''))} AS cleaned FROM files)")
 def folder_documents(spark, d):
-    read = folders.cleaned(folders.read_folder(spark, _tex_folder(spark, d))).filter(F.col("error").isNull())
-    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("long")
-    return read.select(part.alias("part"), F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    with scratch(spark, "tex") as folder:
+        _write_tex(spark, d, folder)
+        return cut(_digests(folders.cleaned(folders.read_folder(spark, folder)).filter(F.col("error").isNull())))
 
 
 @query("folder_stream", cte(corpus.DOCUMENTS_SQL, FILES_SQL) + "SELECT part, length(text)::INT AS n_chars, md5(text) AS digest FROM files")
 def folder_stream(spark, d):
-    folder = _tex_folder(spark, d)
-    for _ in range(2):  # the second run finds nothing new
-        folders.follow_folder(spark, folder, f"{folder}-rows", f"{folder}-checkpoint").awaitTermination()
-    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("long")
-    return spark.read.parquet(f"{folder}-rows").select(part.alias("part"), F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    with scratch(spark, "tex") as folder:
+        _write_tex(spark, d, f"{folder}/in")
+        for _ in range(2):  # the second run finds nothing new
+            folders.follow_folder(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        return cut(_digests(spark.read.parquet(f"{folder}/out")))
 
 
 # -- metrics by age ------------------------------------------------------------------------------------------
@@ -139,12 +143,12 @@ def recent_metrics(spark, d):
 @query("expiring_metrics", f"""SELECT event_type AS operation, count(*) AS n, {r('sum(value) / count(*)')} AS mean, min(value) AS least, max(value) AS most FROM events
  WHERE floor(epoch(ts) / 60) * 60 + 60 + 50 * 3600 > (SELECT epoch(max(ts)) FROM events) - 600 GROUP BY event_type""")
 def expiring_metrics(spark, d):
-    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
-    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    events.write.parquet(f"{folder}/in")
-    told = expiry.expiring_metrics(spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{folder}/in"), "ts", "event_type", "value", 50)
-    expiry.follow_metrics(told, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return expiry.newest(spark.read.parquet(f"{folder}/out")).withColumn("mean", F.round("mean", S))
+    with scratch(spark, "events") as folder:
+        table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").write.parquet(f"{folder}/in")
+        events = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{folder}/in")
+        told = expiry.expiring_metrics(events, "ts", "event_type", "value", 50)
+        expiry.follow_metrics(told, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        return cut(expiry.newest(spark.read.parquet(f"{folder}/out")).withColumn("mean", F.round("mean", S)))
 
 
 # -- pages and nodes -----------------------------------------------------------------------------------------
@@ -152,9 +156,9 @@ def expiring_metrics(spark, d):
 
 @query("deep_page", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 975")
 def deep_page(spark, d):
-    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
-    paging.build_pages(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), folder, "o_orderpriority", F.desc("o_totalprice"), "o_orderkey", range_rows=400)
-    return paging.Pages(spark, folder).page(40, 25)[0].drop("rank")
+    with scratch(spark, "pages") as folder:
+        paging.build_pages(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), folder, "o_orderpriority", F.desc("o_totalprice"), "o_orderkey", range_rows=400)
+        return cut(paging.Pages(spark, folder).page(40, 25)[0].drop("rank"))
 
 
 WRITTEN = "written AS (SELECT l_partkey, min(l_returnflag) AS status FROM lineitem WHERE l_partkey % 40 = 1 GROUP BY 1)"
@@ -162,11 +166,11 @@ WRITTEN = "written AS (SELECT l_partkey, min(l_returnflag) AS status FROM lineit
 
 @query("graph_update", cte(WRITTEN) + "SELECT p_partkey AS node_id, p_name, coalesce(status, p_type) AS status FROM part LEFT JOIN written ON l_partkey = p_partkey")
 def graph_update(spark, d):
-    folder = f"{shared_folder(spark)}/nodes-{uuid.uuid4().hex}"
-    nodes.write_nodes(table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), "p_name", F.col("p_type").alias("status")), folder, buckets=64)
-    results = table(spark, d, "lineitem").filter(F.col("l_partkey") % 40 == 1).select(F.col("l_partkey").alias("node_id"), F.col("l_returnflag").alias("status"))
-    nodes.update_nodes(spark, folder, results, ["status"], buckets=64)
-    return nodes.read_nodes(spark, folder)
+    with scratch(spark, "nodes") as folder:
+        nodes.write_nodes(table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), "p_name", F.col("p_type").alias("status")), folder, buckets=64)
+        results = table(spark, d, "lineitem").filter(F.col("l_partkey") % 40 == 1).select(F.col("l_partkey").alias("node_id"), F.col("l_returnflag").alias("status"))
+        nodes.update_nodes(spark, folder, results, ["status"], buckets=64)
+        return cut(nodes.read_nodes(spark, folder))
 
 
 # -- graphs --------------------------------------------------------------------------------------------------
@@ -203,3 +207,11 @@ def cluster_report(spark, d):
     own = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_type").alias("cluster"))
     made = cluster.summarize(fingerprints(spark, d).join(more, "id"), own)
     return made.select("cluster", "size", F.round("mean_depth", S).alias("mean_depth"), "least_depth", "most_depth", "distinct_symbols", F.array_join("common_symmetries", ",").alias("common_symmetries"))
+
+
+@query("spring_layout")
+def spring_layout(spark, d):
+    part = table(spark, d, "part")
+    edges = part.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - F.col("p_partkey") % 16 + F.col("p_size") % 16).alias("dst"), F.lit(1.0).alias("weight"))
+    made = graph.springs(part.select(F.col("p_partkey").alias("node")), edges, 3)
+    return made.select("node", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))

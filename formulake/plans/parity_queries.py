@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut, shared_folder
+from ..checkpoints import cut, scratch
 from ..operators import cluster, discover, graph, search, strategy
 from ..operators import expressions as X
 from ..sources import documents as D
@@ -160,12 +158,9 @@ PART = 300
 
 
 def _read_back(spark, parts, read):
-    folder = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
-    reports.write_parts(parts, folder)
-    out = cut(read(folder))
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return out
+    with scratch(spark, "documents") as folder:
+        reports.write_parts(parts, folder)
+        return cut(read(folder))
 
 
 def _theorem_items(spark, d):

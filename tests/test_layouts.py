@@ -52,6 +52,21 @@ def test_few_steps_come_near(spark):
     assert np.allclose(values[0], dense(edges)[1][1], atol=0.02)
 
 
+def test_springs(spark):
+    """Two cliques with one edge between: neighbours come near, the cliques come apart, no two nodes coincide, and the layout is the same again."""
+    edges = [(a + c, b + c, 1.0) for c in (0, 10) for a in range(6) for b in range(a)] + [(0, 10, 0.2), (3, 3, 5.0)]
+    nodes = spark.createDataFrame([(i,) for i in (*range(6), *range(10, 16), 99)], "node int")
+    df = spark.createDataFrame(edges, "src int, dst int, weight double")
+    made = [{r["node"]: np.array([r["x"], r["y"]]) for r in graph.springs(nodes, df, 12).collect()} for _ in range(2)]
+    at = made[0]
+    assert sorted(at) == [*range(6), *range(10, 16), 99] and all(np.isfinite(p).all() for p in at.values())
+    far = lambda pairs: np.mean([np.linalg.norm(at[a] - at[b]) for a, b in pairs])
+    within = [(a, b) for a, b, _ in edges if a != b and (a < 10) == (b < 10)]
+    across = [(a, b) for a in range(1, 6) for b in range(11, 16)]
+    assert far(across) > 1.5 * far(within) and min(np.linalg.norm(at[a] - at[b]) for a, b in within) > 1e-4
+    assert all(np.allclose(made[1][n], p, atol=1e-6) for n, p in at.items())
+
+
 def test_related(spark):
     rng = random.Random(2)
     edges = [(rng.choice([0, 0, 1, rng.randint(2, 60)]), rng.randint(0, 60), rng.choice([0.5, 1.0, 2.0])) for _ in range(600)]
