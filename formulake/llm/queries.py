@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, fim, html, licenses, linededup, packing, pii, quality, resampling, secrets, simhash, tokenfiles, tokens
-from .common import checkpoint_dir, read
+from .common import checkpoint_dir, read, remove
 
 #: Production parameters.
 TOKENIZER = "byte_bpe_50k.json"
@@ -73,7 +73,9 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
     tokenfiles.write_token_files(read(spark, sf_dir, "documents"), folder, tokens.vocabulary(TOKENIZER), END_ID)
-    return tokenfiles.read_token_files(spark, folder)
+    found = tokenfiles.read_token_files(spark, folder)  # follows from its own checkpoint
+    remove(spark, folder)
+    return found
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
