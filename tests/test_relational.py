@@ -197,13 +197,12 @@ def test_related_concepts(spark, threshold):
     assert expected <= got and all(0.6 * jac(rows[i][1], rows[j][1]) + 0.4 * jac(rows[i][2], rows[j][2]) > threshold - 1e-9 for i, j in got)
 
 
-def test_cluster_pairs_in_blocks(spark, monkeypatch):
+def test_cluster_pairs_however_dealt(spark):
     prints = spark.createDataFrame([(i, f"h{i}", ["a", "bc"[i % 2]], ["Add"], [], i % 3) for i in range(30)], "id int, hash string, symbols array<string>, operations array<string>, functions array<string>, complexity int")
     members = prints.select("id", F.col("id").alias("class"), F.lit(1).cast("long").alias("n"))
     clusters = prints.select(F.col("id").alias("class"), (F.col("id") % 2).alias("cluster"))
     whole = sorted(map(tuple, cluster.confidence_and_center(prints, members, clusters).collect()))
-    monkeypatch.setattr(cluster, "PAIR_BLOCK", 4)
-    parts = sorted(map(tuple, cluster.confidence_and_center(prints, members, clusters).collect()))
+    parts = sorted(map(tuple, cluster.confidence_and_center(prints.repartition(7), members.repartition(5), clusters).collect()))
     assert [(a, c) for a, _, c in whole] == [(a, c) for a, _, c in parts] and [x for _, x, _ in parts] == pytest.approx([x for _, x, _ in whole])
 
 
