@@ -650,7 +650,7 @@ def test_empty_and_repeated(spark, sf_dir, tmp_path):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_large_ids_beside_nulls(spark):
