@@ -101,8 +101,11 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def meeting(keyed: DataFrame) -> DataFrame:
-    """All meetings (src, dst, x, y) of two vectors under a key; a pair may meet more than once."""
-    other = keyed.select("table", "key", F.col("class").alias("dst"), F.col("sketch").alias("y"))
+    """All meetings (src, dst, x, y) of two vectors under a key; a pair may meet more than once.
+
+    By a shuffle: a vector has a row for each table, which the planner's estimate leaves out, so it would broadcast them all.
+    """
+    other = keyed.select("table", "key", F.col("class").alias("dst"), F.col("sketch").alias("y")).hint("merge")
     return keyed.select("table", "key", F.col("class").alias("src"), F.col("sketch").alias("x")).join(other, ["table", "key"]).filter("src < dst").select("src", "dst", "x", "y")
 
 
@@ -113,7 +116,7 @@ def _grid(classes: DataFrame, places: int, eps: float) -> DataFrame:
     near = celled.withColumnRenamed("class", "dst")
     for c in names:
         near = near.withColumn(c, F.explode(F.array(*(F.col(c) + i for i in (-1, 0, 1)))))
-    return celled.withColumnRenamed("class", "src").join(near, names).filter("src < dst").select("src", "dst")
+    return celled.withColumnRenamed("class", "src").join(near.hint("merge"), names).filter("src < dst").select("src", "dst")
 
 
 def vector_links(rows: DataFrame, vector: str, eps: float, id_col: str = "id", miss: float = 1e-6) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +129,7 @@ def vector_links(rows: DataFrame, vector: str, eps: float, id_col: str = "id", m
     """
     named = rows.select(F.col(id_col).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("v IS NOT NULL")
     classes = named.groupBy("v").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n"))
-    members = named.join(classes, "v").select("id", "class", "n")
+    members = named.join(classes.hint("merge"), "v").select("id", "class", "n")
     sample = np.array([r["v"] for r in classes.select("class", "v").orderBy(F.xxhash64("class"), "class").limit(SAMPLE_ROWS).collect()], np.float64)
     places = sample.shape[1] if len(sample) else 1
     if places <= GRID_PLACES:
@@ -134,6 +137,6 @@ def vector_links(rows: DataFrame, vector: str, eps: float, id_col: str = "id", m
     else:
         near = squared_distance(F.col("x"), F.col("y")) <= eps * eps * (1 + 1e-9) + 1e-12  # projections are never farther apart than the vectors
         pairs = meeting(hashed(classes, choose(sample, eps, miss))).filter(near).select("src", "dst").distinct()
-    of = classes.select("class", "v")
+    of = classes.select("class", "v").hint("merge")
     both = pairs.join(of.withColumnsRenamed({"class": "src", "v": "a"}), "src").join(of.withColumnsRenamed({"class": "dst", "v": "b"}), "dst")
     return both.select("src", "dst", F.sqrt(squared_distance(F.col("a"), F.col("b"))).alias("weight")).filter(F.col("weight") <= eps), members
