@@ -415,3 +415,19 @@ def test_same_interval():
     for distance, width in ((0.5, 2.0), (1.4, 2.0), (3.0, 1.0)):
         shift, offset = rng.standard_normal(200_000) * distance, rng.uniform(0, width, 200_000)
         assert abs((np.floor((shift + offset) / width) == 0).mean() - radius.same_interval(np.array([distance]), width)[0]) < 0.005
+
+
+def test_cosines_of_many_queries(spark, monkeypatch):
+    """More queries than one block holds, with null and zero vectors, null elements, and other lengths."""
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 300)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(1200)]
+    rows += [(2000, None), (2001, [0.0] * 4), (2002, [1.0, None, 1.0, 1.0]), (2003, [1.0, 2.0]), (2004, [])]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    got = {(r["query"], r["id"]): r["cosine"] for r in cluster.cosine_to(df, df.filter("vec_id < 1100 OR vec_id >= 2000")).filter("query % 50 = 0 OR query > 1999").collect()}
+    asked = [r for r in rows if r[0] % 50 == 0 and r[0] < 1100 or r[0] >= 2000]
+    assert len(got) == len(asked) * len(rows)
+    for q, a in asked:
+        for i, b in rows:
+            plain = a and b and len(a) == len(b) and None not in a + b and np.any(a) and np.any(b)
+            assert abs(got[q, i] - (np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) if plain else 0.0)) < 1e-12
