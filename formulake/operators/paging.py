@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a range, about.
+#: Rows of a range, about; more where there would be too many ranges.
 RANGE_ROWS = 100_000
+#: Ranges at most. Each is a task, a folder and a row of sizes, which the driver hears of.
+MOST_RANGES = 1_000
 
 
 def build_pages(rows: DataFrame, path: str, *order: Column | str, range_rows: int = RANGE_ROWS) -> None:
-    """Writes ``rows`` in ranges of a total order, one folder a range, each row with its place there, and the ranges' sizes beside."""
+    """Writes ``rows`` in ranges of a total order, one folder a range, each row with its place there, and the ranges' sizes beside.
+
+    A large table has ``MOST_RANGES`` of them and more rows in each; a range is
+    in order, so the files' statistics lead to a place in it.
+    """
     spark = rows.sparkSession
-    ranges = max(1, -(-rows.count() // range_rows))
+    ranges = min(max(1, -(-rows.count() // range_rows)), MOST_RANGES)
     dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     placed = dealt.select("*", F.spark_partition_id().alias("range"), (F.monotonically_increasing_id() % (1 << 33)).alias("place"))
     placed.write.mode("overwrite").partitionBy("range").parquet(f"{path}/rows")

@@ -44,6 +44,16 @@ def test_a_page_reads_its_range(paged):
     assert len(files) == 1 and f"range={middle[0]}/" in files.pop()
 
 
+def test_ranges_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(paging, "MOST_RANGES", 7, raising=False)
+    paging.build_pages(spark.range(3000).withColumn("x", -F.col("id")), str(tmp_path), "x", range_rows=20)
+    pages = paging.Pages(spark, str(tmp_path))
+    assert pages.total == 3000 and len(pages.first) <= 7 and max(n for _, _, n in pages.first) > 300
+    for number in (1, 40, 77, 120):
+        got, told = pages.page(number, 25)
+        assert [-r["x"] for r in got.collect()] == [*range(2999 - 25 * (number - 1), 2999 - 25 * number, -1)] and told["pages"] == 120
+
+
 def test_no_rows_to_page(spark, tmp_path):
     paging.build_pages(spark.createDataFrame([], "id int"), str(tmp_path), "id")
     got, told = paging.Pages(spark, str(tmp_path)).page(3, 10)
