@@ -16,19 +16,25 @@ def terms(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
+#: Rows whose terms a task counts, about.
+PART_ROWS = 50_000
+
+
 def tfidf(rows: DataFrame, formula: str = "formula", id_col: str = "id", most: int = 1000) -> DataFrame:
     """(id, term, weight): rows of length 1, over the ``most`` most frequent terms (ties in order of the alphabet).
 
     The limit on terms is part of the embedding. IDF is ln((1 + n) / (1 + df)) + 1.
     """
     n = rows.count()
-    each = rows.select(F.col(id_col).alias("id"), F.explode(terms(latex.formula_words(F.col(formula)))).alias("term"))
+    # Dealt by id before terms are made, in as many parts as the rows need: however few files they come from, no task counts more than a part.
+    dealt = rows.select(F.col(id_col).alias("id"), F.col(formula).alias("__f")).repartition(max(1, -(-n // PART_ROWS)), "id")
+    each = dealt.select("id", F.explode(terms(latex.formula_words(F.col("__f")))).alias("term"))
     tf = each.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     chosen = df.orderBy(F.desc("total"), "term").limit(most).select("term", (F.log((1.0 + F.lit(float(n))) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     raw = tf.join(F.broadcast(chosen), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))  # at most `most` rows
     length = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
-    return raw.join(length, "id").select("id", "term", (F.col("w") / F.col("l")).alias("weight"))
+    return raw.join(length.hint("merge"), "id").select("id", "term", (F.col("w") / F.col("l")).alias("weight"))
 
 
 def unit(v: Column, epsilon: float = 1e-8) -> Column:

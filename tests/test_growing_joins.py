@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from formulake.operators import graph, radius
+from formulake.operators import embedding, graph, radius
 
 
 def broadcasts(df):
@@ -29,3 +29,13 @@ def test_springs_join_by_a_shuffle(spark, monkeypatch):
     spark.sparkContext.setCheckpointDir("/tmp/checkpoints/test-growing-joins")
     graph.springs(nodes, edges, 2)
     assert len(seen) == 4 and not any(seen)
+
+
+def test_terms_are_counted_in_parts(spark, tmp_path, monkeypatch):
+    """However few files the rows come from, the tasks that count terms grow with the rows; a row's weights have length 1."""
+    monkeypatch.setattr(embedding, "PART_ROWS", 100, raising=False)
+    spark.range(1000).select("id", F.concat(F.lit("x"), F.col("id").cast("string"), F.lit(" + sin(y)")).alias("formula")).coalesce(1).write.parquet(f"{tmp_path}/rows")
+    made = embedding.tfidf(spark.read.parquet(f"{tmp_path}/rows"), "formula", most=5)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and ", 10), REPARTITION_BY_NUM" in plan and plan.count("BroadcastExchange") <= 2  # the chosen terms
+    assert {round(r["l"], 9) for r in made.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("l")).collect()} == {1.0}
