@@ -37,3 +37,12 @@ def test_recent(spark):
     assert expiry.recent_metrics(rows.limit(0), "at", "op", "seconds", 3).collect() == []
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert "GreaterThan(ts," in expiry.recent(events, "ts", 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_slots_go_at_once(spark, tmp_path):
+    """Two thousand slots expire with one step of the watermark: an operation is told anew once, not for each slot."""
+    rows = [(m, "a", float(m)) for m in range(2000)]
+    assert run(spark, tmp_path, 0, *rows)["a"][0] == 131  # newest 1999, watermark 1989: slots that end after 1869
+    told = spark.read.parquet(f"{tmp_path}/out")
+    assert told.count() == 6 and told.groupBy("shard").count().filter("count = 2").count() == 3
+    assert run(spark, tmp_path, 1, (1995, "a", 5000.0), (1860, "a", 9000.0))["a"] == (132, (sum(range(1869, 2000)) + 5000.0) / 132, 1869.0, 5000.0)
