@@ -12,14 +12,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import algebra as A
 from ..functions import expr as E
 
 Frames = Iterator[pd.DataFrame]
 
 
+#: Rows that a task joins with their results, about.
+PART_ROWS = 50_000
+#: Most results that are sent to all tasks.
+BROADCAST_ROWS = 50_000
+
+
 def _distinct(rows: DataFrame, formula: str, work: Callable[[str], list[tuple]], schema: str, failed: list[tuple] = ()) -> DataFrame:
-    """``work`` on each distinct formula, its rows joined back to all rows of the formula. A formula on which it fails gives the rows ``failed``."""
+    """``work`` on each distinct formula, its rows joined back to all rows of the formula. A formula on which it fails gives the rows ``failed``.
+
+    The results are made once and, where they are few, sent to all tasks. The
+    rows are dealt into parts of ``PART_ROWS`` before each gets its results, so
+    a file that compresses well is not one task with all of them.
+    """
     names = [c.strip().split(" ")[0] for c in schema.split(", ")]
 
     def alone(text: str) -> list[tuple]:
@@ -33,8 +45,11 @@ def _distinct(rows: DataFrame, formula: str, work: Callable[[str], list[tuple]],
             out = [(x, *row) for x in f["__f"] for row in alone(x)]
             yield pd.DataFrame(out, columns=["__f", *names])
 
-    done = rows.select(F.col(formula).alias("__f")).filter("__f IS NOT NULL").distinct().mapInPandas(run, f"__f string, {schema}")
-    return rows.join(done, rows[formula] == done["__f"], "left").drop("__f")
+    done = cut(rows.select(F.col(formula).alias("__f")).filter("__f IS NOT NULL").distinct().mapInPandas(run, f"__f string, {schema}"))
+    by = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    dealt = rows.repartition(max(1, -(-rows.count() // PART_ROWS)), *by)
+    few = F.broadcast(done) if done.count() <= BROADCAST_ROWS else done.hint("merge")
+    return dealt.join(few, F.col(f"`{formula}`") == F.col("__f"), "left").drop("__f")
 
 
 def fingerprints(rows: DataFrame, formula: str = "formula") -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from formulake.operators import embedding, graph, radius
+from formulake.operators import embedding, expressions, graph, radius
 
 
 def broadcasts(df):
@@ -39,3 +39,17 @@ def test_terms_are_counted_in_parts(spark, tmp_path, monkeypatch):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id" in plan and ", 10), REPARTITION_BY_NUM" in plan and plan.count("BroadcastExchange") <= 2  # the chosen terms
     assert {round(r["l"], 9) for r in made.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("l")).collect()} == {1.0}
+
+
+def test_results_meet_rows_in_parts(spark, tmp_path, monkeypatch):
+    """Rows of one file are dealt into parts before they get their results; few results are sent and many are joined, with the same rows."""
+    spark.range(1000).select("id", F.concat(F.lit("x + "), (F.col("id") % 5).cast("string")).alias("formula")).coalesce(1).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    monkeypatch.setattr(expressions, "PART_ROWS", 100, raising=False)
+    made = []
+    for most in (1000, 2):
+        monkeypatch.setattr(expressions, "BROADCAST_ROWS", most, raising=False)
+        df = expressions.hypotheses(rows)
+        assert ", 10), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString() and broadcasts(df) == (most == 1000)
+        made.append(sorted(map(str, df.collect())))
+    assert made[0] == made[1] and len({r["id"] for r in df.select("id").collect()}) == 1000
