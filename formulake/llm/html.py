@@ -6,10 +6,12 @@ merged, the most frequent first, by simple tree matching: matched nodes are one,
 others are added at their place, so the host's tree covers all its layouts. All
 shapes are aligned with it, which gives the same node to the same slot of all
 pages. A text that stands in one slot on most pages that have the slot is
-template; texts that vary are content. Pages are counted, not blocks, and pages
-of equal text once. Landmarks (navigation, footer, adverts, comments and the
-like, by element, role, or a word of the class or id) are never content, and
-articles, where a page has any, bound it, but for teasers of others.
+template; texts that vary are content. A host's tree has a bound; where nodes
+have no room in it, all slots of the host are also known by their paths. Pages
+are counted, not blocks, and pages of equal text once. Landmarks (navigation,
+footer, adverts, comments and the like, by element, role, or a word of the class
+or id) are never content, and articles, where a page has any, bound it, but for
+teasers of others.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ CONSTANT_SHARE = 0.5
 LEAST_PAGES = 5
 #: Largest table of template texts that is sent to all tasks; a larger one is joined by host and shape.
 BROADCAST_BYTES = 16 << 20
-#: Most nodes of a shape or a host's tree; texts in nodes beyond are never template.
+#: Most nodes of a host's tree, and of a shape that it is compared with. Where a host has more, slots are known by their paths, too.
 MOST_NODES = 5_000
 #: Shapes of a host that one task merges at once; hosts with more are merged in parts first.
 MERGED_SHAPES, PARTS = 1_000, 64
@@ -218,17 +220,34 @@ def shape(root: Node) -> str:
                 last, same = number[k], after
                 after += size[last]
             nodes[k].slot = same
-    return "\n".join(lines[:MOST_NODES])
+    return "\n".join(lines)
+
+
+def paths(layout: str) -> list[int]:
+    """For each node of a shape a number below zero that tells its path: of each step the label and how many of its siblings before have it."""
+    import xxhash
+
+    out: list[int] = []
+    above: list[tuple[int, dict[str, int]]] = []  # the path's number, and its children by label
+    for line in layout.split("\n"):
+        depth, _, label = line.partition(" ")
+        del above[int(depth) :]
+        before, siblings = above[-1] if above else (0, {})
+        k = siblings[label] = siblings.get(label, -1) + 1
+        own = xxhash.xxh3_64_intdigest(f"{before} {k} {label}".encode("utf-8", "surrogatepass"))
+        above.append((own, {}))
+        out.append(-1 - (own >> 1))
+    return out
 
 
 class Tree:
-    """A shape or a host's tree: labels and children by node."""
+    """A shape's first MOST_NODES nodes or a host's tree: labels and children by node."""
 
     def __init__(self, text: str) -> None:
         self.labels: list[str] = []
         self.kids: list[list[int]] = []
         above: list[int] = []
-        for line in text.split("\n"):
+        for line in text.split("\n", MOST_NODES)[:MOST_NODES]:
             depth, _, label = line.partition(" ")
             del above[int(depth) :]
             if above:
@@ -324,13 +343,13 @@ def tree_match(a: Tree, b: Tree) -> dict[int, int]:
     return out
 
 
-def add_shape(tree: Tree, other: Tree) -> None:
-    """Adds to ``tree`` the nodes of ``other`` that match none of its own, each after the match of its neighbour before."""
+def add_shape(tree: Tree, other: Tree) -> bool:
+    """Adds to ``tree`` the nodes of ``other`` that match none of its own, each after the match of its neighbour before; whether all had room."""
     if tree.labels[0] != other.labels[0]:
-        return
-    match = tree_match(tree, other)
+        return False
+    match, whole = tree_match(tree, other), True
     if len(match) == len(other.labels):
-        return
+        return True
     for q, p in sorted(match.items()):
         at = 0
         for k in other.kids[q]:
@@ -344,6 +363,7 @@ def add_shape(tree: Tree, other: Tree) -> None:
                 own = len(new) - 1
                 todo += [(c, own) for c in reversed(other.kids[x])]
             if len(tree.labels) + len(new) > MOST_NODES:
+                whole = False
                 continue
             base = len(tree.labels)
             for label, above in new:
@@ -353,6 +373,7 @@ def add_shape(tree: Tree, other: Tree) -> None:
                     tree.kids[base + above].append(len(tree.labels) - 1)
             tree.kids[p].insert(at, base)
             at += 1
+    return whole
 
 
 def blocks(root: Node, drop: Callable[[int, str], bool] | None = None, lenient: bool = False) -> list[tuple[int, str, str]]:
@@ -475,31 +496,33 @@ def _digest(text: str) -> int:
 
 
 def _host_trees(layouts: DataFrame) -> DataFrame:
-    """(host, part, tree): the merged tree of each host's shapes, once for each part of the host's shapes."""
+    """(host, part, tree, whole): the merged tree of each host's shapes, once for each part of the host's shapes, and whether it has all their nodes."""
+    names = ["host", "part", "n", "layout", "whole"]
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, tree, n = None, None, 0
+        now, tree, n, whole = None, None, 0, True
         for f in frames:
             out = []
-            for host, part, own, layout in zip(f["host"], f["part"].tolist(), f["n"].tolist(), f["layout"], strict=True):
+            for host, part, own, layout, had in zip(f["host"], f["part"].tolist(), f["n"].tolist(), f["layout"], f["whole"].tolist(), strict=True):
+                had = had and layout.count("\n") < MOST_NODES
                 if (host, part) != now:
                     if tree:
-                        out.append((*now, n, tree.text()))
-                    now, tree, n = (host, part), Tree(layout), own
+                        out.append((*now, n, tree.text(), whole))
+                    now, tree, n, whole = (host, part), Tree(layout), own, had
                 else:
-                    add_shape(tree, Tree(layout))
+                    whole = add_shape(tree, Tree(layout)) and had and whole
                     n += own
             if out:
-                yield pd.DataFrame(out, columns=["host", "part", "n", "layout"])
+                yield pd.DataFrame(out, columns=names)
         if tree:
-            yield pd.DataFrame([(*now, n, tree.text())], columns=["host", "part", "n", "layout"])
+            yield pd.DataFrame([(*now, n, tree.text(), whole)], columns=names)
 
     def merged(rows: DataFrame) -> DataFrame:  # streamed: a task holds one tree
-        return rows.repartition("host", "part").sortWithinPartitions("host", "part", F.desc("n"), "layout").mapInPandas(merge, "host string, part int, n long, layout string")
+        return rows.repartition("host", "part").sortWithinPartitions("host", "part", F.desc("n"), "layout").mapInPandas(merge, "host string, part int, n long, layout string, whole boolean")
 
-    parts = cut(merged(layouts.select("host", "part", "n", "layout")))
+    parts = cut(merged(layouts.select("host", "part", "n", "layout", F.lit(True).alias("whole"))))
     whole = merged(parts.withColumn("part", F.lit(0)))
-    return parts.select("host", "part").join(whole.select("host", F.col("layout").alias("tree")), "host")
+    return parts.select("host", "part").join(whole.select("host", F.col("layout").alias("tree"), "whole"), "host")
 
 
 def template_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -515,7 +538,7 @@ def template_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html
                 plain = [x for *x, tag in own if tag not in HEADINGS] or [x for *x, _ in own]
                 code, copy = _digest(layout), _digest(f"{layout}{plain}")
                 seen.add((host, code, -1, 0, copy, layout))
-                seen.update((host, code, slot, text, copy, None) for slot, text, _ in own if slot < MOST_NODES)
+                seen.update((host, code, slot, text, copy, None) for slot, text, _ in own)
             yield pd.DataFrame(list(seen), columns=["host", "shape", "slot", "text", "copy", "layout"])
 
     got = pages.select(url_col, html_col).mapInPandas(facts, "host string, shape long, slot int, text long, copy long, layout string")
@@ -527,21 +550,23 @@ def template_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html
     layouts = cut(layouts.join(hosts, "host").withColumn("part", part).drop("pages", "shapes"))
 
     def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = None
+        tree, whole = None, True
         for f in frames:
             out = []
             for host, code, n, layout in zip(f["host"], f["shape"].tolist(), f["n"].tolist(), f["layout"], strict=True):
                 if n < 0:
-                    tree = Tree(layout)
-                else:
-                    out += [(host, code, slot, node, n) for slot, node in tree_match(tree, Tree(layout)).items()]
+                    tree, whole = Tree(layout), n == -1
+                    continue
+                out += [(host, code, slot, node, n) for slot, node in tree_match(tree, Tree(layout)).items()]
+                if not whole:
+                    out += [(host, code, slot, node, n) for slot, node in enumerate(paths(layout))]
             if out:
                 yield pd.DataFrame(out, columns=["host", "shape", "slot", "node", "pages"])
 
     # A tree comes before the shapes that are aligned with it; it is not copied to their rows.
-    trees = _host_trees(layouts).select("host", "part", F.lit(0).cast("long").alias("shape"), F.lit(-1).cast("long").alias("n"), F.col("tree").alias("layout"))
+    trees = _host_trees(layouts).select("host", "part", F.lit(0).cast("long").alias("shape"), F.when(F.col("whole"), -1).otherwise(-2).cast("long").alias("n"), F.col("tree").alias("layout"))
     both = trees.unionByName(layouts).repartition("host", "part").sortWithinPartitions("host", "part", F.col("n") >= 0, "shape")
-    nodes = cut(both.mapInPandas(align, "host string, shape long, slot int, node int, pages long"))
+    nodes = cut(both.mapInPandas(align, "host string, shape long, slot int, node long, pages long"))
     slots = nodes.groupBy("host", "node").agg(F.sum("pages").alias("pages"))
     # Texts on too few pages of the host are none, wherever they stand.
     texts = got.filter("slot >= 0").drop("layout")
@@ -549,7 +574,7 @@ def template_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html
     placed = cut(texts.join(often, ["host", "text"], "left_semi").join(nodes.drop("pages"), ["host", "shape", "slot"]))
     most = placed.groupBy("host", "node", "text").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_PAGES).join(slots, ["host", "node"]).filter(F.col("n") > CONSTANT_SHARE * F.col("pages"))
     fixed = placed.join(most.select("host", "node", "text"), ["host", "node", "text"], "left_semi")
-    return fixed.groupBy("host", "shape").agg(F.array_sort(F.collect_list(F.struct("slot", "text"))).alias("fixed"))
+    return fixed.groupBy("host", "shape").agg(F.array_sort(F.collect_set(F.struct("slot", "text"))).alias("fixed"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

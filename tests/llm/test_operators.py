@@ -638,6 +638,25 @@ def test_html_alignment_decides(spark, monkeypatch):
         monkeypatch.setattr(html, "MERGED_SHAPES", 1)  # merged in parts
 
 
+@pytest.mark.parametrize("kind", ["long pages", "many layouts"])
+def test_html_slots_beyond_the_tree(spark, kind):
+    """Template texts are found in slots that have no room in the host's tree, and texts that vary there stay."""
+    rows, content = [], {}
+    for i in range(12):
+        if kind == "long pages":  # 6,001 blocks or more before the last ones, of which one page has more
+            own = [f"story {i} {k}" for k in range(3_000 + i)]
+            body = "".join(f"<div><h4>{t}</h4></div><p>{t} more</p>" for t in own)
+            texts = [x for t in own for x in (t, f"{t} more")]
+        else:  # 900 blocks of each page that no other page has; the tree is full with the first six
+            texts = [f"story {i} {k}" for k in range(900)]
+            body = "".join(f"<div class='c{chr(97 + i)}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}'>{t}</div>" for k, t in enumerate(texts))
+        last = f"<section><p>ever the same words</p><blockquote>said {i}</blockquote></section>" if kind == "long pages" or i >= 6 else f"said {i}"
+        rows.append((i, "http://long.example/x", f"<html><body>{body}{last}</body></html>"))
+        content[i] = "\n".join([*texts, f"said {i}"])
+    got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == content
+
+
 def test_html_columns_and_edges(spark):
     names = ["host", "shape", "slot", "text", "copy", "layout", "n", "fixed", "n_chars", "part", "node"]
     page = "<nav>x</nav><p>Body</p>"
