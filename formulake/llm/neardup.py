@@ -10,15 +10,21 @@ of the documents. Documents of equal shingle sets are one entry from the start,
 so copies cost nothing; shards and groups above a size are taken in blocks, so
 no task holds an unbounded one. Documents and sets are known by hashes of their
 columns and shingles (128 bits each).
+
+What min-hashes and radius lose is found by an exact join: sets of the similarity
+share one of their first shingles, in any order that all sets have in common.
+Pairs that the groups don't hold are counted under these, and what the count
+allows is compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
@@ -36,6 +42,8 @@ SHARD_LIMIT = 2_000
 GROUP_BYTES = 64 << 20
 #: Bits within which a tree's center holds prints.
 REACH = 16
+#: A shingle that seems to be in more sets than this, by a sample of so many, comes last in the order, so that other shingles lead; the most frequent, at most so many, do.
+HOT, SAMPLE, MOST_HOT = 200, 20_000, 100_000
 #: Most entries that are sent to all tasks.
 BROADCAST_ROWS = 500_000
 
@@ -82,6 +90,20 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return shared >= least * (len(both) - shared)
 
 
+def leading(own: np.ndarray, least: float, last: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a sorted set, of which it shares one with every set of similarity ``least`` or more; those in ``last`` come after all others."""
+    if last is not None:
+        own = own[np.argsort(np.isin(own, last), kind="stable")]
+    return own[: len(own) - math.ceil(least * len(own) - 1e-9) + 1].view(np.int64)
+
+
+def code(own: np.ndarray) -> int:
+    """64 bits of a set."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 1)).view(np.int64))
+
+
 class BucketTree:
     """A BK-tree of centers, children keyed by their Hamming distance to the parent; a center holds the prints within ``REACH`` bits of it."""
 
@@ -213,6 +235,63 @@ def row_key(docs: DataFrame) -> Column:
     return F.concat(F.hex(F.xxhash64(nulls, *each)), F.lit(":"), F.hex(F.xxhash64(F.lit("second"), nulls, *each)))
 
 
+def _frequent(given: DataFrame, words: int) -> np.ndarray:
+    """Shingles that very many sets seem to have, from a sample. They come last in the order of shingles, which any order may be; no result depends on them."""
+    total = given.count()
+    share = min(1.0, SAMPLE / max(total, 1))
+
+    def shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for t in f["text"]:
+                yield pd.DataFrame({"token": shingle_set(t, words).view(np.int64)})
+
+    some = given.filter(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))).select("text").distinct()
+    counts = some.mapInPandas(shingles, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(2.0, HOT * share))
+    return np.sort(np.array([x["token"] for x in counts.orderBy(F.desc("n"), "token").limit(MOST_HOT).collect()], np.int64).view(np.uint64))
+
+
+def _missed(given: DataFrame, entries: DataFrame, groups: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (src, dst) of all entries (row, same, size, code) of similarity ``least`` or more that are in different ``groups`` (same, group)."""
+    last = _frequent(given, words)
+
+    def firsts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [x for x in (shingle_set(t, words) for t in f["text"]) if len(x)]
+            yield pd.DataFrame({"code": np.array([code(own) for own in found], np.int64), "first": [leading(own, least, last) for own in found]})
+
+    each = given.select("text").mapInPandas(firsts, "code long, first array<long>").select("code", F.explode("first").alias("token"))
+    under = Window.partitionBy("token")
+    # One shuffle of them all: a shingle under which one set stands is gone before anything is joined.
+    many = each.withColumns({"x": F.min("code").over(under), "y": F.max("code").over(under)}).filter("x <> y").select("token", "code")
+    many = cut(many.distinct())
+    ends = cut(entries.join(groups, "same", "left").select("row", "same", "size", "code", F.xxhash64(F.coalesce("group", "same")).alias("of")))
+    each = many.join(ends.select("code", "of", "size"), "code")
+    shared = each.groupBy("token").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x <> y")
+    held = cut(each.join(shared.select("token"), "token"))
+    other = held.withColumnsRenamed({"code": "code2", "of": "of2", "size": "size2"})
+    both = held.join(other, "token").filter((F.col("of") != F.col("of2")) & (F.col("code") < F.col("code2")))
+    both = both.filter(F.least("size", "size2") >= least * F.greatest("size", "size2") - 1e-9)
+    # Of the common shingles at most those of one set that don't lead it are not counted.
+    need = least / (1 + least) * (F.col("size") + F.col("size2")) - F.ceil(least * F.greatest("size", "size2") - 1e-9) + 1
+    pairs = cut(both.groupBy("code", "code2", "size", "size2").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= need - 1e-6).select("code", "code2"))
+    wanted = cut(pairs.select(F.explode(F.array("code", "code2")).alias("code")).distinct().join(ends.select("code", "same", "row"), "code"))
+
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.drop(columns="text").assign(shingles=[shingle_set(t, words).tobytes() for t in f["text"]])
+
+    texts = given.select("row", "text").join(wanted, "row").select("code", "same", "text")
+    whole = cut(texts.mapInPandas(sets, "code long, same string, shingles binary").dropDuplicates(["code"]))
+
+    def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            near = [similar(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), least) for a, b in zip(f["a"], f["b"], strict=True)]
+            yield f.loc[near, ["src", "dst"]]
+
+    one, two = (whole.select(F.col("code").alias(c), F.col("same").alias(end), F.col("shingles").alias(v)).hint("merge") for c, end, v in (("code", "src", "a"), ("code2", "dst", "b")))
+    return pairs.join(one, "code").join(two, "code2").select("src", "dst", "a", "b").mapInPandas(compared, "src string, dst string")
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, limit: int = SHARD_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): ``row`` (128 bits of all columns) and ``same`` (digest of the shingle set) for each row of ``docs``, with its id; and (same, group) of the linked ones.
 
@@ -224,14 +303,14 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
 
     def sketched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            made = [(*sketch(own), len(own)) for own in (shingle_set(t, words) for t in f["text"])]
-            yield f[["row", "id"]].assign(**{c: [m[k] for m in made] for k, c in enumerate(("same", "a", "b", "keys", "size"))})
+            made = [(*sketch(own), len(own), code(own)) for own in (shingle_set(t, words) for t in f["text"])]
+            yield f[["row", "id"]].assign(**{c: [m[k] for m in made] for k, c in enumerate(("same", "a", "b", "keys", "size", "code"))})
 
-    rows = cut(given.mapInPandas(sketched, "row string, id string, same string, a long, b long, keys array<long>, size long"))
+    rows = cut(given.mapInPandas(sketched, "row string, id string, same string, a long, b long, keys array<long>, size long, code long"))
     # All columns but the first follow from the set, so any row's will do; the least row stands for its copies.
-    entries = rows.filter("same <> ''").groupBy("same").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("a", "b", "keys", "size")))
+    entries = rows.filter("same <> ''").groupBy("same").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("a", "b", "keys", "size", "code")))
     entries = cut(entries)
-    near = cut(_connected(_in_blocks(_shards(entries.drop("row", "size"), radius, limit), "shard", limit), "key", radius, None))
+    near = cut(_connected(_in_blocks(_shards(entries.drop("row", "size", "code"), radius, limit), "shard", limit), "key", radius, None))
     groups = connected_components(near, cut).withColumnsRenamed({"node": "same", "component": "key"})
     linked = cut(entries.join(groups, "same").select("row", "same", "a", "b", "key", "size"))
     by_bytes = F.ceil(F.sum("size") * 8.0 * limit / GROUP_BYTES).cast("long")
@@ -246,7 +325,10 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     texts = given.select("row", "text").join(few, "row").select("same", "a", "b", "key", "n", "text")
     held = texts.mapInPandas(sets, "same string, a long, b long, key string, n long, shingles binary").dropDuplicates(["same"])
     exact = cut(_connected(_in_blocks(held, "group", limit), "key", radius, similarity))
-    return rows.select("row", "id", "same"), connected_components(exact, cut).withColumnsRenamed({"node": "same", "component": "group"})
+    named = lambda links: connected_components(links, cut).withColumnsRenamed({"node": "same", "component": "group"})
+    found = cut(named(exact))
+    missed = cut(_missed(given, entries.select("row", "same", "size", "code"), found, words, similarity))
+    return rows.select("row", "id", "same"), found if missed.isEmpty() else named(exact.unionByName(missed))
 
 
 def _rank(kind: str) -> Column:

@@ -285,6 +285,24 @@ def test_near_groups(spark, docs, monkeypatch, limit, size):
     assert max(expected.count(c) for c in set(expected)) > 40
 
 
+@pytest.mark.parametrize("hot", [neardup.HOT, 3])
+def test_near_groups_that_sketches_lose(spark, docs, monkeypatch, hot):
+    """Pairs at the threshold are found whatever min-hashes and fingerprints say, also under shingles that lead many sets."""
+    monkeypatch.setattr(neardup, "HOT", hot, raising=False)
+    monkeypatch.setattr(neardup, "_shards", lambda entries, radius, limit: entries.selectExpr("xxhash64(same) AS key", "1L AS n", "same", "a", "b").limit(0))
+    rng = random.Random(8)
+    texts = list(docs.text[:300])
+    long = [t for t in texts if t and 60 < len(t.split()) < 1000]
+    texts += [edited(rng, rng.choice(long), s) for s in (0.005, 0.01, 0.02, 0.025) for _ in range(20)] + [edited(rng, long[0], 0.004) for _ in range(20)]
+    texts += ["a b c d", "a b c d", "x", "one two three four five six seven eight nine", "one two three four five six seven eight nine ten"]
+    expected = brute.near_groups(texts)
+    rows, groups = neardup.near_groups(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5))
+    of = {r["same"]: r["group"] for r in groups.collect()}
+    got = {int(r["id"]): of.get(r["same"], r["same"]) for r in rows.collect()}
+    pairs = {(expected[i], got[i]) for i in range(len(texts))}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) < len(texts) - 60
+
+
 def test_decontamination(spark, sf_dir, table, docs, monkeypatch):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("cast(item_id AS string) item_id", "text")
     extra = spark.createDataFrame([("s1", "a b c"), ("s2", "Emoji"), ("n", None), ("s1", "one two")], "item_id string, text string")
