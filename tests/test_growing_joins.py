@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from formulake.operators import embedding, expressions, graph, radius
+from formulake.operators import cluster, embedding, expressions, graph, radius
 
 
 def broadcasts(df):
@@ -53,3 +53,23 @@ def test_results_meet_rows_in_parts(spark, tmp_path, monkeypatch):
         assert ", 10), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString() and broadcasts(df) == (most == 1000)
         made.append(sorted(map(str, df.collect())))
     assert made[0] == made[1] and len({r["id"] for r in df.select("id").collect()}) == 1000
+
+
+def test_fingerprints_meet_by_a_shuffle(spark, tmp_path):
+    """Rows, classes and clusters of small files; before, the planner sent all rows with their fingerprints to the driver."""
+    rows = spark.range(2000).selectExpr("id", "concat('h', id % 7) AS hash", "array('x', concat('y', id % 50)) AS symbols", "array('Add') AS operations", "array() AS functions", "id % 3 AS complexity")
+    rows.withColumn("functions", F.col("functions").cast("array<string>")).write.parquet(f"{tmp_path}/prints")
+    prints = spark.read.parquet(f"{tmp_path}/prints")
+    links, members = cluster.similar_fingerprints(prints, 0.7)
+    assert broadcasts(members) == 0 and members.count() == 2000
+    members.write.parquet(f"{tmp_path}/members")
+    members = spark.read.parquet(f"{tmp_path}/members")
+    members.select("class", (F.col("class") % 4).alias("cluster")).distinct().write.parquet(f"{tmp_path}/clusters")
+    clusters = spark.read.parquet(f"{tmp_path}/clusters")
+    out = cluster.confidence_and_center(prints, members, clusters)
+    assert broadcasts(out) == 0
+    classes = cluster.fingerprint_classes(prints)
+    assert classes.filter("class >= 1050").count() == 0 and classes.agg(F.sum("n")).first()[0] == 2000
+    few = cluster.confidence_and_center(classes.select(F.col("class").alias("id"), "f.*"), classes, clusters)
+    found = [{r["cluster"]: (round(r["confidence"], 9), r["center"]) for r in df.collect()} for df in (out, few)]
+    assert found[0] == found[1] and len(found[0]) == 4
