@@ -84,6 +84,15 @@ def test_grams(spark):
     assert [sorted(r["g"]) for r in got] == [["ab\0", "abc", "bca", "cab"], [], [], ["ab\0"]]
 
 
+def test_grams_in_one_pass(spark):
+    """Every run of three characters, of whatever length in bytes, by one pattern and not by functions over arrays of characters."""
+    given = ["a\nb\r\u2028c", "😀x😀😀é漢", "\0\0\0", "ab" * 6000 + "😀", "".join(random.Random(13).choices(LETTERS + "\n", k=3000)), None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "id int, t string").select("id", index.grams(F.col("t")).alias("g"))
+    expected = {i: None if t is None else sorted({(t + "\0")[k : k + 3] for k in range(len(t) - 1)}) for i, t in enumerate(given)}
+    assert {r["id"]: r["g"] and sorted(r["g"]) for r in df.collect()} == expected
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def fresh(tmp_path, name="own"):
     return index.Index(f"{tmp_path}/{name}", ("body", "note"), ("body",), buckets=4)
 
