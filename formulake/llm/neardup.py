@@ -47,25 +47,37 @@ HOT, SAMPLE, MOST_HOT = 200, 20_000, 100_000
 #: Most entries that are sent to all tasks.
 BROADCAST_ROWS = 500_000
 
+# An odd number whose powers tell the places of a run.
+_PLACE = 0x9FB21C651E98DF25
+
 # Odd multipliers of the min-hashes, from the golden ratio's bits.
 _FACTORS = [(0x9E3779B97F4A7C15 * (2 * k + 1)) & ((1 << 64) - 1) for k in range(1, KEYS + 1)]
 
 
-def _mixed(h: np.ndarray, factor: int) -> np.ndarray:
-    x = (h ^ (h >> np.uint64(31))) * np.uint64(factor)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+def _mixed(h: np.ndarray, factor: int | np.ndarray) -> np.ndarray:
+    x = (h ^ (h >> np.uint64(31))) * np.asarray(factor, np.uint64)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct XXH64 (seed 42) of the runs of ``words`` words, A-Z lower-cased; a shorter text is one run, one without words has none."""
-    import xxhash
+    """Sorted distinct hashes of the runs of ``words`` words, A-Z lower-cased; a shorter text is one run, one without words has none.
+
+    A run's hash is a sum of its words' XXH64, each times an odd number of its place, mixed.
+    """
+    from xxhash import xxh64_digest
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.zeros(0, np.uint64)
-    runs = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(s, 42) for s in runs], dtype="<u8"))
+    each = np.frombuffer(b"".join(map(xxh64_digest, w)), ">u8").astype("<u8")
+    long = min(words, len(w))
+    runs = np.full(len(w) - long + 1, long, "<u8")
+    for i in range(long):
+        runs += each[i : i + len(runs)] * np.uint64(pow(_PLACE, i + 1, 1 << 64))
+    runs = np.sort(_mixed(runs, _PLACE))
+    return runs[np.append(True, runs[1:] != runs[:-1])]
 
 
 def sketch(own: np.ndarray) -> tuple[str, int, int, list[int]]:
@@ -77,7 +89,8 @@ def sketch(own: np.ndarray) -> tuple[str, int, int, list[int]]:
         return "", 0, 0, []
     second = _mixed(own, 0xD6E8FEB86659FD93)
     halves = [signed(np.packbits(2 * _count_bits(h) > len(h), bitorder="little").view("<u8")[0]) for h in (own, second)]
-    return xxhash.xxh3_128_hexdigest(own.tobytes()), *halves, [signed(_mixed(own, f).min()) for f in _FACTORS]
+    least = _mixed(own, np.array(_FACTORS, np.uint64)[:, None]).min(axis=1)
+    return xxhash.xxh3_128_hexdigest(own.tobytes()), *halves, least.view(np.int64).tolist()
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -91,9 +104,10 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def leading(own: np.ndarray, least: float, last: np.ndarray | None = None) -> np.ndarray:
-    """The first shingles of a sorted set, of which it shares one with every set of similarity ``least`` or more; those in ``last`` come after all others."""
-    if last is not None:
-        own = own[np.argsort(np.isin(own, last), kind="stable")]
+    """The first shingles of a sorted set, of which it shares one with every set of similarity ``least`` or more; those in ``last`` (sorted) come after all others."""
+    if last is not None and len(last):
+        late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own  # the set's size counts, not that of ``last``
+        own = np.concatenate([own[~late], own[late]])
     return own[: len(own) - math.ceil(least * len(own) - 1e-9) + 1].view(np.int64)
 
 

@@ -1,7 +1,9 @@
 """Every operator against a plain version, on real rows and on edge cases."""
 
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -303,6 +305,32 @@ def test_near_groups_that_sketches_lose(spark, docs, monkeypatch, hot):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) < len(texts) - 60
 
 
+def test_leading_shingles_among_many_frequent_ones():
+    """A set's first shingles, also where some, all or none of it are frequent; the work follows the set, not the list of frequent ones."""
+    rng = np.random.default_rng(4)
+    last = np.unique(rng.integers(0, 1 << 63, 100_000).astype(np.uint64))
+    for own in (rng.integers(0, 1 << 63, 40).astype(np.uint64), last[:30], last[-3:], np.concatenate([last[5000:5040], rng.integers(0, 1 << 63, 60).astype(np.uint64)])):
+        own, often = np.unique(own), set(last.tolist())
+        ordered = sorted(own.tolist(), key=lambda x: (x in often, x))
+        expected = ordered[: len(own) - math.ceil(0.8 * len(own) - 1e-9) + 1]
+        assert neardup.leading(own, 0.8, last).tolist() == expected
+        assert neardup.leading(own, 0.8, last[:0]).tolist() == neardup.leading(own, 0.8).tolist()
+    begin = time.process_time()
+    for _ in range(1000):
+        neardup.leading(own, 0.8, last)
+    assert time.process_time() - begin < 2
+
+
+def test_shingle_sets():
+    """Runs of equal words at other places, orders and lengths are told apart; case, white space and copies are not."""
+    of = lambda t, k=5: neardup.shingle_set(t, k).tolist()
+    assert of("a b c d e") == of(" A\tb\nC d  e ") and len(of("a b c d e f")) == 2 and of("a b c d e")[0] in of("a b c d e f")
+    assert len({tuple(of(t)) for t in ("a b c d e", "b a c d e", "e d c b a", "a b c d", "a", "a a", "a a a a a")}) == 7
+    assert len(of("a a a a a a a")) == 1 and of(None) == of(" ") == [] and of("x y z x y z x y z", 3) == sorted(set(of("x y z x y", 3)))
+    text = " ".join(f"w{i % 700}" for i in range(3000))
+    assert len(of(text)) == len({tuple(f"w{(i + k) % 700}" for k in range(5)) for i in range(2996)})
+
+
 def test_decontamination(spark, sf_dir, table, docs, monkeypatch):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("cast(item_id AS string) item_id", "text")
     extra = spark.createDataFrame([("s1", "a b c"), ("s2", "Emoji"), ("n", None), ("s1", "one two")], "item_id string, text string")
