@@ -409,6 +409,41 @@ def test_few_vectors_meet(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize(("scale", "shift"), [(1.0, 0.0), (1.0, 3e4), (1e-3, 0.0)])
+def test_vectors_meet_in_blocks(spark, monkeypatch, scale, shift):
+    """All links of many small blocks and tiles, once each, also far from the origin, with copies, null and infinite elements; a vector moves once a block, not under many keys."""
+    monkeypatch.setattr(radius, "BLOCK", 60, raising=False)
+    monkeypatch.setattr(radius, "TILE", (16, 24), raising=False)
+    rng = np.random.default_rng(8)
+    centers = rng.standard_normal((40, 12))
+    v = (centers[rng.integers(0, 40, 500)] + rng.standard_normal((500, 12)) * 0.12) * scale + shift
+    v[490:] = v[:10]
+    eps = 0.5 * scale
+    rows = [(f"k{i:03}", x.tolist()) for i, x in enumerate(v)] + [("null", None), ("part", [None] + [shift] * 11), ("far", [float("inf")] * 12), ("none", [float("nan")] * 12)]
+    df = spark.createDataFrame(rows, "id string, v array<double>").repartition(5)
+    links, members = radius.vector_links(df, "v", eps)
+    of = {r["id"]: (r["class"], r["n"]) for r in members.collect()}
+    assert len(of) == len(rows) - 1 and of["k490"] == of["k000"] == ("k000", 2)
+    got = sorted((r["src"], r["dst"], r["weight"]) for r in links.collect())
+    d = np.sqrt(((v[:490, None] - v[None, :490]) ** 2).sum(-1))
+    expected = sorted((f"k{i:03}", f"k{j:03}", d[i, j]) for i, j in np.argwhere(np.triu(d <= eps, 1)).tolist())
+    assert [g[:2] for g in got] == [e[:2] for e in expected] and len(got) > 500
+    assert np.allclose([g[2] for g in got], [e[2] for e in expected], atol=0, rtol=1e-9)
+    plan = links._jdf.queryExecution().toString()
+    assert "posexplode" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_many_vectors_are_hashed(spark, monkeypatch):
+    monkeypatch.setattr(radius, "MOST_IN_BLOCKS", 100)
+    rng = np.random.default_rng(9)
+    v = np.repeat(rng.standard_normal((150, 12)), 2, axis=0) + rng.standard_normal((300, 12)) * 0.03
+    links, _ = radius.vector_links(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, v array<double>"), "v", 0.5)
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    assert "posexplode" in links._jdf.queryExecution().toString()
+    assert {(r["src"], r["dst"]) for r in links.collect()} == {tuple(x) for x in np.argwhere(np.triu(d <= 0.5, 1)).tolist()}
+    assert radius.choose(v, 0.5, 1e-6, 1e-4).projections > radius.choose(v, 0.5, 1e-6).projections
+
+
 def test_same_interval():
     """The formula against a count."""
     rng = np.random.default_rng(2)
