@@ -466,3 +466,24 @@ def test_cosines_of_many_queries(spark, monkeypatch):
         for i, b in rows:
             plain = a and b and len(a) == len(b) and None not in a + b and np.any(a) and np.any(b)
             assert abs(got[q, i] - (np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) if plain else 0.0)) < 1e-12
+
+
+@pytest.mark.parametrize("size", [7, 10_000])
+def test_whole_cosine_matrix(spark, monkeypatch, size):
+    """Every row against every row, both ways and with itself, in many blocks and in one; repeated rows count, odd vectors give 0."""
+    monkeypatch.setattr(cluster, "MATRIX_ROWS", size, raising=False)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    rows += [rows[3], (2000, None), (2001, [0.0] * 4), (2002, [1.0, None, 1.0, 1.0]), (2003, [1.0, 2.0]), (2004, []), (None, [1.0] * 4)]
+    got = sorted(map(tuple, cluster.cosines(spark.createDataFrame(rows, "vec_id int, embedding array<double>")).collect()), key=repr)
+    plain = lambda a, b: a and b and len(a) == len(b) and None not in a + b and np.any(a) and np.any(b)
+    expected = sorted(((q, i, np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) if plain(a, b) else 0.0) for q, a in rows for i, b in rows), key=repr)
+    assert len(got) == len(rows) ** 2 and sorted(((g[0], g[1]) for g in got), key=repr) == sorted(((e[0], e[1]) for e in expected), key=repr)
+    by = lambda found: {(q, i): c for q, i, c in found}
+    assert all(abs(by(got)[k] - c) < 1e-12 for k, c in by(expected).items())
+
+
+def test_cosine_matrix_asks_every_row(spark):
+    n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    df = registry.QUERIES["cosine_matrix"](spark, "/root/testdata/sf0.001")
+    assert df.count() == n * n and df.select("query").distinct().count() == n
