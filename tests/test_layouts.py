@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formulake.operators import cluster, graph
+from formulake.plans import index_queries, registry
 
 
 def dense(edges):
@@ -60,6 +61,26 @@ def test_few_steps_come_near(spark):
     assert np.allclose(values[0], dense(edges)[1][1], atol=0.02)
 
 
+def test_spectral_goes_on_until_it_is_exact(spark):
+    """Few numbers a node, many restarts, and eigenvectors as near as those of a dense matrix."""
+    rng = random.Random(3)
+    edges = [(i, 100 + rng.randrange(12), rng.uniform(1, 50)) for i in range(80) for _ in range(4)]
+    made, values = graph.spectral(spark.createDataFrame(edges, "src int, dst int, weight double"), steps=8)
+    nodes, known, vectors = dense(edges)
+    got = {r["node"]: r["x"] for r in made.collect()}
+    assert np.allclose(values, known[1:3], atol=1e-8)
+    assert all(np.allclose(abs(np.array([got[n][k] for n in nodes]) @ vectors[:, k + 1]), 1.0, atol=1e-8) for k in range(2))
+
+
+def test_spectral_layout_is_whole(spark):
+    """The registered query against dense eigenvectors of all sales."""
+    sold = index_queries._sold(spark, "/root/testdata/sf0.001").collect()
+    nodes, _, vectors = dense([tuple(r) for r in sold])
+    got = {r["node"]: (r["x"], r["y"]) for r in registry.QUERIES["spectral_layout"](spark, "/root/testdata/sf0.001").collect()}
+    assert sorted(got) == nodes
+    assert all(abs(abs(vectors[i, k + 1]) - got[n][k]) < 1.5e-4 for i, n in enumerate(nodes) for k in range(2))
+
+
 def test_springs(spark):
     """Two cliques with one edge between: neighbours come near, the cliques come apart, no two nodes coincide, and the layout is the same again."""
     edges = [(a + c, b + c, 1.0) for c in (0, 10) for a in range(6) for b in range(a)] + [(0, 10, 0.2), (3, 3, 5.0)]
